@@ -53,13 +53,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     for p in probs:
         approx_points += [max(0.0, p - margin), min(1.0, p + margin)]
     stats = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
+        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", approx_points, accuracy).alias("_ap"))
+    # Groups smaller than accuracy/2 bracket their whole range (at most that
+    # many distinct values); larger ones have >= 1.5 ranks of slack.
+    small = F.col("_n") < F.lit(accuracy // 2)
     bounds = stats.select(
         *keys, "_n",
         F.explode(F.array(*[
             F.struct(F.lit(i).alias("_pi"), F.lit(p).alias("_p"),
-                     F.col("_ap")[2 * i].alias("_lo"), F.col("_ap")[2 * i + 1].alias("_hi"))
+                     F.when(small, F.col("_min")).otherwise(F.col("_ap")[2 * i]).alias("_lo"),
+                     F.when(small, F.col("_max")).otherwise(F.col("_ap")[2 * i + 1]).alias("_hi"))
             for i, p in enumerate(probs)])).alias("_b")
     ).select(*keys, "_n", "_b.*")
 
@@ -96,3 +100,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
                  accuracy: int = 100_000) -> DataFrame:
     return exact_quantiles(df, keys, value, [0.5], [name], accuracy)
+
+
+def exact_quantiles_many(df: DataFrame, keys: Sequence[str], values: Sequence[str],
+                         prob: float, suffix: str = "", accuracy: int = 100_000) -> DataFrame:
+    """Exact quantile ``prob`` of several columns per group in one run.
+
+    The value columns are unpivoted to ``(keys, _var, _val)`` so that all of
+    them share the two distributed passes; the result is pivoted back to one
+    column per input (``<name><suffix>``).
+    """
+    keys = list(keys)
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(v).alias("_var"), F.col(v).cast("double").alias("_val")) for v in values
+    ])).alias("_kv")).select(*keys, "_kv._var", "_kv._val")
+    q = exact_quantiles(long, keys + ["_var"], "_val", [prob], ["_q"], accuracy)
+    if keys:
+        return q.groupBy(*keys).agg(*[
+            F.max(F.when(F.col("_var") == v, F.col("_q"))).alias(f"{v}{suffix}") for v in values])
+    return q.agg(*[F.max(F.when(F.col("_var") == v, F.col("_q"))).alias(f"{v}{suffix}") for v in values])

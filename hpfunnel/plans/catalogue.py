@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.text import categorize_reason, normalize_text
 from ..operators import funnel
+from ..session import materialize
 from ..sources.proposals import load_lines
 from .oracle import norm_sql, q, with_lines
 
@@ -197,3 +198,229 @@ SELECT main.*, hp_analiticas, hp_conversion_total, {R("hp_conversion_total_pct")
 FROM main, hpagg"""))
 def q_business_kpis(spark, sf_dir):
     return rounded(funnel.business_kpis(load_lines(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# Parameterised summaries (R2)
+# --------------------------------------------------------------------------
+
+PARTIAL_YEARS = (1996, 1998)
+PARTIAL_AREA = "LARGE"
+FULL_YEARS = (1900, 2100)
+
+
+def _summary_sql(years, area):
+    area_cond = f" AND DES_AO = {q(area)}" if area and area != "Todas" else ""
+    return f"""
+, b AS (SELECT min(ANIO) AS lo, max(ANIO) AS hi FROM lines),
+f AS (SELECT lines.* FROM lines, b
+      WHERE (coalesce(ANIO BETWEEN {years[0]} AND {years[1]}, false)
+             OR (ANIO IS NULL AND coalesce({years[0]} <= b.lo AND {years[1]} >= b.hi, false))){area_cond})
+SELECT CAST(count(*) AS BIGINT) AS records,
+       {R("coalesce(avg(CAST(propuesta_convertida AS INTEGER)) * 100.0, 0.0)")} AS conversion_pct,
+       CAST(count_if(etapa_comercial = {q(K.STAGE_ACTIVE)}) AS BIGINT) AS active,
+       CAST(count_if(etapa_comercial = {q(K.STAGE_INACTIVE)}) AS BIGINT) AS inactive,
+       {R("median(CASE WHEN propuesta_convertida AND dias_conversion_hp_oi >= 0 THEN dias_conversion_hp_oi END)")} AS median_days,
+       {R(_billed(K.PEN))} AS pen, {R(_billed(K.USD))} AS usd
+FROM f"""
+
+
+def _summary_spark(spark, sf_dir, years, area):
+    from ..operators import summary
+    lines = load_lines(spark, sf_dir)
+    return rounded(summary.summary_metrics(summary.filter_dashboard(lines, years, area)))
+
+
+@register("filtered_summary", with_lines(_summary_sql(PARTIAL_YEARS, PARTIAL_AREA)))
+def q_filtered_summary(spark, sf_dir):
+    return _summary_spark(spark, sf_dir, PARTIAL_YEARS, PARTIAL_AREA)
+
+
+@register("filtered_summary_full", with_lines(_summary_sql(FULL_YEARS, "Todas")))
+def q_filtered_summary_full(spark, sf_dir):
+    return _summary_spark(spark, sf_dir, FULL_YEARS, "Todas")
+
+
+@register("annual_trend", with_lines(f"""
+SELECT ANIO, CAST(count(*) AS BIGINT) AS Registros,
+       {R("avg(CAST(propuesta_convertida AS INTEGER)) * 100.0")} AS Conversion_pct
+FROM lines WHERE ANIO IS NOT NULL GROUP BY ANIO"""))
+def q_annual_trend(spark, sf_dir):
+    from ..operators import summary
+    return rounded(summary.annual_trend(load_lines(spark, sf_dir)))
+
+
+@register("area_list", with_lines("SELECT DISTINCT DES_AO AS area FROM lines WHERE DES_AO IS NOT NULL"))
+def q_area_list(spark, sf_dir):
+    from ..operators import summary
+    return summary.area_list(load_lines(spark, sf_dir))
+
+
+@register("year_bounds", with_lines("SELECT min(ANIO) AS anio_min, max(ANIO) AS anio_max FROM lines"))
+def q_year_bounds(spark, sf_dir):
+    from ..operators import summary
+    return summary.year_bounds(load_lines(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Clients, segments, top clients, serving tables
+# --------------------------------------------------------------------------
+
+_M_SQL = f"""
+m AS (
+  SELECT *, CASE WHEN MON IN ({q(K.PEN)}, {q(K.USD)}) THEN MON ELSE {q(K.OTHER_CURRENCY)} END AS MON_limpia,
+         CASE WHEN ImporteB IS NOT NULL AND ImporteB <> 0
+              THEN CAST(diferencia_facturacion AS DOUBLE) / CAST(ImporteB AS DOUBLE) * 100.0 END AS pdo
+  FROM lines
+  WHERE NomCliente <> '' AND lower(NomCliente) NOT IN ('nan', {q(K.NOT_SPECIFIED.lower())}))"""
+
+
+def _sum_cur(cur):
+    return f"CAST(coalesce(sum(CASE WHEN MON_limpia = {q(cur)} THEN impFacturado END), 0) AS DOUBLE)"
+
+
+_CF_SQL = f"""{_M_SQL},
+cagg AS (
+  SELECT NomCliente,
+         {_sum_cur(K.PEN)} AS facturacion_soles_total,
+         {_sum_cur(K.USD)} AS facturacion_dolares_total,
+         median(pdo) AS porcentaje_diferencia_mediana,
+         sum(nParticipante) AS participantes_total,
+         avg(duracion) AS duracion_promedio,
+         avg(CAST(propuesta_convertida AS INTEGER)) AS tasa_conversion_hp_oi,
+         CAST(count(DISTINCT Desc_Servicio) AS DOUBLE) AS cantidad_servicios_distintos,
+         CAST(count(*) AS DOUBLE) AS cantidad_registros,
+         count_if(MON_limpia = {q(K.PEN)}) AS _n_pen, count_if(MON_limpia = {q(K.USD)}) AS _n_usd
+  FROM m GROUP BY NomCliente),
+cf AS (
+  SELECT * FROM cagg
+  WHERE facturacion_soles_total + facturacion_dolares_total > 0
+    AND {' AND '.join(f'{c} IS NOT NULL' for c in K.CLIENT_FEATURES)}),
+lg AS (
+  SELECT NomCliente, _n_pen, _n_usd,
+         {', '.join((f'ln(1 + {c}) AS {c}' if c in K.LOG_FEATURES else c) for c in K.CLIENT_FEATURES)}
+  FROM cf),
+st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in K.CLIENT_FEATURES)} FROM lg),
+sc AS (
+  SELECT NomCliente, _n_pen, _n_usd,
+         {', '.join(f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END AS {c}' for c in K.CLIENT_FEATURES)}
+  FROM lg, st),
+cl AS (SELECT NomCliente, CAST(cantidad_registros >= 0 AS INTEGER) AS cluster_validado FROM sc),
+cm AS (SELECT cluster_validado, median(cantidad_registros) AS act FROM cf JOIN cl USING (NomCliente) GROUP BY 1),
+topc AS (SELECT cluster_validado AS top FROM cm ORDER BY act DESC, cluster_validado LIMIT 1),
+seg AS (
+  SELECT cf.*, cl.cluster_validado,
+         CASE WHEN cl.cluster_validado = (SELECT top FROM topc) THEN {q(K.SEGMENT_HIGH)} ELSE {q(K.SEGMENT_LOW)} END
+           AS segmento_negocio
+  FROM cf JOIN cl USING (NomCliente))"""
+
+
+def _clients_ready(spark, sf_dir):
+    from ..operators import clients as C
+    lines = load_lines(spark, sf_dir)
+    feats = materialize(C.client_features(lines))
+    return lines, feats
+
+
+def _rule_segmented(spark, sf_dir):
+    from ..operators import clients as C
+    lines, feats = _clients_ready(spark, sf_dir)
+    seg = materialize(C.label_segments(feats, C.rule_clusters(C.scaled_features(feats))))
+    return lines, seg
+
+
+@register("client_billing_pivot", with_lines(f""", {_M_SQL}
+SELECT NomCliente, {R(_sum_cur(K.PEN))} AS facturacion_soles_total, {R(_sum_cur(K.USD))} AS facturacion_dolares_total
+FROM m GROUP BY NomCliente"""))
+def q_client_billing_pivot(spark, sf_dir):
+    from ..operators import clients as C
+    return rounded(C.client_billing_pivot(load_lines(spark, sf_dir)))
+
+
+@register("client_operations", with_lines(f""", {_M_SQL}
+SELECT NomCliente, {R("median(pdo)")} AS porcentaje_diferencia_mediana, {R("sum(nParticipante)")} AS participantes_total,
+       {R("avg(duracion)")} AS duracion_promedio, {R("avg(CAST(propuesta_convertida AS INTEGER))")} AS tasa_conversion_hp_oi,
+       CAST(count(DISTINCT Desc_Servicio) AS BIGINT) AS cantidad_servicios_distintos,
+       CAST(count(*) AS BIGINT) AS cantidad_registros
+FROM m GROUP BY NomCliente"""))
+def q_client_operations(spark, sf_dir):
+    from ..operators import clients as C
+    return rounded(C.client_operations(load_lines(spark, sf_dir)))
+
+
+@register("client_features", with_lines(f""", {_CF_SQL}
+SELECT NomCliente, {', '.join(f'{R(c)} AS {c}' for c in K.CLIENT_FEATURES)} FROM cf"""))
+def q_client_features(spark, sf_dir):
+    _, feats = _clients_ready(spark, sf_dir)
+    return rounded(feats.select("NomCliente", *K.CLIENT_FEATURES))
+
+
+@register("client_scaled_features", with_lines(f""", {_CF_SQL}
+SELECT NomCliente, {', '.join(f'{R(c)} AS {c}' for c in K.CLIENT_FEATURES)} FROM sc"""))
+def q_client_scaled_features(spark, sf_dir):
+    from ..operators import clients as C
+    _, feats = _clients_ready(spark, sf_dir)
+    return rounded(C.scaled_features(feats).select("NomCliente", *K.CLIENT_FEATURES))
+
+
+@register("rule_segments", with_lines(f""", {_CF_SQL}
+SELECT NomCliente, cluster_validado, segmento_negocio FROM seg"""))
+def q_rule_segments(spark, sf_dir):
+    _, seg = _rule_segmented(spark, sf_dir)
+    return seg.select("NomCliente", "cluster_validado", "segmento_negocio")
+
+
+_SEG_SUMMARY_SQL = f"""
+, per AS (
+  SELECT cluster_validado, any_value(segmento_negocio) AS Segmento, CAST(count(*) AS BIGINT) AS Clientes,
+         sum(cantidad_registros) AS ops, sum(facturacion_soles_total) AS pen, sum(facturacion_dolares_total) AS usd,
+         median(cantidad_registros) AS Operaciones_por_cliente_mediana,
+         median(cantidad_servicios_distintos) AS Servicios_distintos_mediana,
+         median(participantes_total) AS Participantes_mediana,
+         median(tasa_conversion_hp_oi) * 100.0 AS Conversion_HP_OI_mediana_pct,
+         median(duracion_promedio) AS Duracion_mediana,
+         median(facturacion_soles_total) AS Facturacion_PEN_por_cliente_mediana,
+         median(facturacion_dolares_total) AS Facturacion_USD_por_cliente_mediana
+  FROM seg GROUP BY cluster_validado),
+summ AS (
+  SELECT cluster_validado, Segmento, Clientes,
+         {R("Clientes / sum(Clientes) OVER () * 100.0")} AS pct_clientes,
+         {R("ops / sum(ops) OVER () * 100.0")} AS pct_operaciones,
+         {R("CASE WHEN sum(pen) OVER () <> 0 THEN pen / sum(pen) OVER () * 100.0 END")} AS pct_facturacion_PEN,
+         {R("CASE WHEN sum(usd) OVER () <> 0 THEN usd / sum(usd) OVER () * 100.0 END")} AS pct_facturacion_USD,
+         {', '.join(f'{R(c)} AS {c}' for c in ['Operaciones_por_cliente_mediana', 'Servicios_distintos_mediana', 'Participantes_mediana', 'Conversion_HP_OI_mediana_pct', 'Duracion_mediana', 'Facturacion_PEN_por_cliente_mediana', 'Facturacion_USD_por_cliente_mediana'])}
+  FROM per)"""
+
+
+@register("segment_summary", with_lines(f""", {_CF_SQL} {_SEG_SUMMARY_SQL}
+SELECT * FROM summ"""))
+def q_segment_summary(spark, sf_dir):
+    from ..operators import clients as C
+    _, seg = _rule_segmented(spark, sf_dir)
+    return rounded(C.segment_summary(seg))
+
+
+@register("segment_shares_long", with_lines(f""", {_CF_SQL} {_SEG_SUMMARY_SQL}
+SELECT Segmento, metrica, valor FROM summ
+UNPIVOT INCLUDE NULLS (valor FOR metrica IN (pct_clientes, pct_operaciones, pct_facturacion_PEN, pct_facturacion_USD))"""))
+def q_segment_shares_long(spark, sf_dir):
+    from ..operators import clients as C
+    _, seg = _rule_segmented(spark, sf_dir)
+    return rounded(C.segment_shares_long(C.segment_summary(seg)))
+
+
+@register("top_clients_by_segment", with_lines(f""", {_CF_SQL},
+pc AS (
+  SELECT segmento_negocio, NomCliente, {q(K.PEN)} AS Moneda, _n_pen AS n, facturacion_soles_total AS Facturacion FROM seg
+  UNION ALL
+  SELECT segmento_negocio, NomCliente, {q(K.USD)}, _n_usd, facturacion_dolares_total FROM seg),
+rk AS (
+  SELECT *, row_number() OVER (PARTITION BY segmento_negocio, Moneda ORDER BY Facturacion DESC, NomCliente) AS Posicion
+  FROM pc WHERE n > 0)
+SELECT segmento_negocio AS Segmento, Moneda, CAST(Posicion AS INTEGER) AS Posicion, NomCliente AS Cliente,
+       {R("Facturacion")} AS Facturacion
+FROM rk WHERE Posicion <= {K.TOP_CLIENTS_PER_SEGMENT}"""))
+def q_top_clients_by_segment(spark, sf_dir):
+    from ..operators import clients as C
+    _, seg = _rule_segmented(spark, sf_dir)
+    return rounded(C.top_clients(seg))

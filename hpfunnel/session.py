@@ -70,3 +70,15 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def materialize(df, eager: bool = True):
+    """Cut lineage by writing ``df`` to the shared checkpoint folder.
+
+    Used where a derived table (client features, modelling base, scored
+    grid) feeds several later plans: each of them then starts from the
+    written files instead of re-planning and re-running the whole upstream
+    plan, and a lost executor only costs the re-read of those files.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)

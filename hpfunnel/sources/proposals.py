@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.text import categorize_reason, clean_category
+from ..functions.text import categorize_reason, clean_category, normalize_text
 from .adapter import raw_proposal_lines
 
 # Declared types of the source columns (everything else passes through).
@@ -89,10 +89,14 @@ def prepare_lines(df: DataFrame) -> DataFrame:
     cleaned = typed.withColumns({c: clean_category(F.col(c)) for c in K.CATEGORICAL_SOURCE_COLUMNS})
     cleaned = cleaned.withColumn(
         "propuesta_convertida", F.coalesce(F.col("propuesta_convertida"), F.lit(False)))
-    return cleaned.withColumns({
+    # The folded text is its own column so the keyword tests share it
+    # (Catalyst keeps a non-trivial expression referenced many times in its
+    # own projection instead of inlining it into every test).
+    with_text = cleaned.withColumn("_reason_text", normalize_text(F.col("DescAnulado")))
+    return with_text.withColumns({
         "etapa_comercial": stage_expr(F.col("propuesta_convertida"), F.col("Desc_Estado")),
-        "motivo_negocio": categorize_reason(F.col("DescAnulado")),
-    })
+        "motivo_negocio": categorize_reason(F.col("_reason_text"), already_normalized=True),
+    }).drop("_reason_text")
 
 
 def load_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from ..functions.text import categorize_reason, normalize_text
 from ..operators import funnel
 from ..session import materialize
 from ..sources.proposals import load_lines
-from .oracle import norm_sql, q, with_lines
+from .oracle import _WS, norm_sql, q, with_lines
 
 DIGITS = 6
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -424,3 +424,160 @@ def q_top_clients_by_segment(spark, sf_dir):
     from ..operators import clients as C
     _, seg = _rule_segmented(spark, sf_dir)
     return rounded(C.top_clients(seg))
+
+
+def finalize(df: DataFrame) -> DataFrame:
+    """Oracle-stable output: decimals -> double, timestamps -> text, round."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DecimalType):
+            c = F.round(c.cast("double"), DIGITS)
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.round(c, DIGITS)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+_TS_COLS = {"Fecha", "FechaOI"}
+_DEC_COLS = {"ImporteB", "impFacturado", "diferencia_facturacion", "ingreso_neto_estimado"}
+_DBL_COLS = {"duracion", "nParticipante"}
+
+
+def _sql_col(c: str, prefix: str = "") -> str:
+    if c in _TS_COLS:
+        return f"strftime({prefix}{c}, '%Y-%m-%d %H:%M:%S') AS {c}"
+    if c in _DEC_COLS or c in _DBL_COLS:
+        return f"{R(prefix + c)} AS {c}"
+    return f"{prefix}{c} AS {c}"
+
+
+_DASH_SQL = f""",
+dash AS (
+  SELECT l.case_id, {', '.join('l.' + c for c in K.DASHBOARD_COLUMNS)},
+         coalesce(seg.segmento_negocio, {q(K.SEGMENT_NONE)}) AS segmento_negocio
+  FROM lines l LEFT JOIN seg ON l.NomCliente = seg.NomCliente),
+cases AS (
+  SELECT * FROM dash
+  WHERE ImporteB IS NOT NULL AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND Fecha IS NOT NULL
+  ORDER BY Fecha DESC, case_id LIMIT {K.RECENT_CASES})"""
+
+_CASE_COLS = ["case_id", *K.DASHBOARD_COLUMNS, "segmento_negocio"]
+
+
+def _dash_and_cases(spark, sf_dir):
+    from ..operators import clients as C
+    lines, seg = _rule_segmented(spark, sf_dir)
+    dash = C.dashboard_table(lines, seg)
+    return dash, C.scenario_cases(dash)
+
+
+@register("dashboard_table", with_lines(f""", {_CF_SQL} {_DASH_SQL}
+SELECT {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM dash"""))
+def q_dashboard_table(spark, sf_dir):
+    dash, _ = _dash_and_cases(spark, sf_dir)
+    return finalize(dash)
+
+
+@register("recent_cases", with_lines(f""", {_CF_SQL} {_DASH_SQL}
+SELECT {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM cases"""))
+def q_recent_cases(spark, sf_dir):
+    _, cases = _dash_and_cases(spark, sf_dir)
+    return finalize(cases)
+
+
+@register("case_lookup", with_lines(f""", {_CF_SQL} {_DASH_SQL},
+probe AS (SELECT 'no-such-case' AS wanted UNION ALL SELECT max(case_id) FROM cases),
+pick AS (
+  SELECT p.wanted, c.*, row_number() OVER (PARTITION BY p.wanted
+           ORDER BY CAST(coalesce(c.case_id = p.wanted, false) AS INTEGER) DESC, c.Fecha DESC, c.case_id) AS rn
+  FROM probe p, cases c)
+SELECT wanted, {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM pick WHERE rn = 1"""))
+def q_case_lookup(spark, sf_dir):
+    from ..operators.cases import case_lookup
+    _, cases = _dash_and_cases(spark, sf_dir)
+    cases = materialize(cases)
+    known = cases.agg(F.max("case_id")).scalar()
+    a = case_lookup(cases, F.lit("no-such-case")).withColumn("wanted", F.lit("no-such-case"))
+    b = case_lookup(cases, known).withColumn("wanted", known)
+    return finalize(a.unionByName(b).select("wanted", *_CASE_COLS))
+
+
+def _short_sql(col: str, n: int) -> str:
+    v = f"CASE WHEN {col} IS NULL OR {col} = '' THEN {q(K.NOT_SPECIFIED)} ELSE {col} END"
+    head = f"regexp_replace(substr({v}, 1, {n - 1}), '{_WS}+$', '')"
+    return f"CASE WHEN length({v}) <= {n} THEN {v} ELSE {head} || {q(K.ELLIPSIS)} END"
+
+
+@register("case_labels", with_lines(f""", {_CF_SQL} {_DASH_SQL}
+SELECT case_id,
+       coalesce(strftime(Fecha, '%d/%m/%Y'), 'Sin fecha') || ' · HP ' || coalesce(CAST(numHP AS VARCHAR), 'N/E')
+       || ' · ' || {_short_sql('NomCliente', 30)} || ' · ' || {_short_sql('Desc_Servicio', 35)} || ' · ' || MON
+       AS label
+FROM cases"""))
+def q_case_labels(spark, sf_dir):
+    from ..operators.cases import case_labels
+    _, cases = _dash_and_cases(spark, sf_dir)
+    return case_labels(cases)
+
+
+@register("case_summaries", with_lines(f""", {_CF_SQL} {_DASH_SQL}
+SELECT case_id, coalesce(strftime(Fecha, '%d/%m/%Y'), {q(K.NOT_SPECIFIED)}) AS fecha,
+       coalesce(CAST(numHP AS VARCHAR), {q(K.NOT_SPECIFIED)}) AS hp, NomCliente AS cliente,
+       Desc_Servicio AS servicio, DES_AO AS area, MON AS moneda,
+       {R("coalesce(CAST(ImporteB AS DOUBLE), 0.0)")} AS importe,
+       {R("coalesce(nParticipante, 0.0)")} AS participantes,
+       {R(f"coalesce(duracion, {K.DEFAULT_DURATION})")} AS duracion,
+       {R("CAST(impFacturado AS DOUBLE)")} AS facturacion_real,
+       Desc_Estado AS estado, segmento_negocio AS segmento
+FROM cases"""))
+def q_case_summaries(spark, sf_dir):
+    from ..operators.cases import case_summaries
+    _, cases = _dash_and_cases(spark, sf_dir)
+    return finalize(case_summaries(cases).drop("importe_texto"))
+
+
+def _grid_sql(step_a, step_p, step_d):
+    return f"""
+, g AS (
+  SELECT c.*, a.pa, p.pp, d.pd
+  FROM cases c, unnest(range(-50, 101, {step_a})) a(pa), unnest(range(-50, 201, {step_p})) p(pp),
+       unnest(range(-50, 101, {step_d})) d(pd)),
+s AS (
+  SELECT case_id, pa AS pct_importe, pp AS pct_participantes, pd AS pct_duracion,
+         greatest(0.0, coalesce(CAST(ImporteB AS DOUBLE), 0.0) * (1.0 + pa / 100.0)) AS amount,
+         greatest(0.0, coalesce(nParticipante, 0.0) * (1.0 + pp / 100.0)) AS participants,
+         greatest(1.0, greatest(0.0, coalesce(CASE WHEN duracion = 0 THEN {K.DEFAULT_DURATION} ELSE duracion END
+                                           * (1.0 + pd / 100.0), 0.0))) AS duration,
+         CASE WHEN MON IN ({q(K.PEN)}, {q(K.USD)}) THEN MON ELSE {q(K.PEN)} END AS MON
+  FROM g)"""
+
+
+@register("scenario_grid", with_lines(f""", {_CF_SQL} {_DASH_SQL} {_grid_sql(25, 50, 50)}
+SELECT case_id, CAST(pct_importe AS INTEGER) AS pct_importe, CAST(pct_participantes AS INTEGER) AS pct_participantes,
+       CAST(pct_duracion AS INTEGER) AS pct_duracion, MON,
+       {R("amount")} AS ImporteB, {R("participants")} AS nParticipante, {R("duration")} AS duracion,
+       {R("amount / (amount + 50000.0)")} AS probability,
+       CAST(amount / (amount + 50000.0) >= 0.5 AS INTEGER) AS classification,
+       CASE WHEN amount / (amount + 50000.0) >= 0.75 THEN {q(K.BAND_HIGH[1])}
+            WHEN amount / (amount + 50000.0) >= 0.5 THEN {q(K.BAND_MID_HIGH[1])}
+            WHEN amount / (amount + 50000.0) >= 0.3 THEN {q(K.BAND_MID[1])} ELSE {q(K.BAND_LOW)} END AS level,
+       {R("least(100.0, greatest(0.0, amount / (amount + 50000.0) * 100.0))")} AS gauge,
+       {R("amount * 0.97")} AS estimate, {R("amount * 0.97 * 0.8")} AS range_low, {R("amount * 0.97 * 1.2")} AS range_high
+FROM s"""))
+def q_scenario_grid(spark, sf_dir):
+    from ..operators import scenarios as S
+    _, cases = _dash_and_cases(spark, sf_dir)
+    scored = S.formula_scores(S.scenario_grid(cases))
+    return finalize(scored.select(
+        "case_id", "pct_importe", "pct_participantes", "pct_duracion", "MON", "ImporteB", "nParticipante",
+        "duracion", "probability", "classification", "level", "gauge", "estimate", "range_low", "range_high"))
+
+
+@register("scenario_detail")
+def q_scenario_detail(spark, sf_dir):
+    from ..operators import scenarios as S
+    _, cases = _dash_and_cases(spark, sf_dir)
+    return S.scenario_detail(S.scenario_grid(cases))

@@ -61,17 +61,19 @@ def _fold_tables():
     return "".join(single_from), "".join(single_to), multi
 
 
-def _regex_class(chars) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
-
-
 def _expand_multi(col: Column) -> Column:
     """Replace every multi-character-expansion code point by its ASCII text."""
     _, _, multi = _fold_tables()
     if not multi:
         return col
     longest = max(len(a) for _, a in multi)
-    cls = _regex_class([c for c, _ in multi])
+    multi_chars = "".join(c for c, _ in multi)
+
+    def has_multi(x: Column) -> Column:
+        # translate() is a hash lookup per character; a large regex
+        # character class would be scanned linearly at every position.
+        return F.length(F.translate(x, multi_chars, "")) != F.length(x)
+
     # position j of the expansion: characters with a j-th letter map to it,
     # shorter ones are listed last without a target and so are deleted.
     parts = []
@@ -84,11 +86,11 @@ def _expand_multi(col: Column) -> Column:
 
     def per_char(c: Column) -> Column:
         expanded = F.concat(*[F.translate(c, s, d) for s, d in parts])
-        return F.when(c.rlike(cls), expanded).otherwise(c)
+        return F.when(has_multi(c), expanded).otherwise(c)
 
     chars = F.regexp_extract_all(col, F.lit("(?s)."), 0)
     slow = F.array_join(F.transform(chars, per_char), "")
-    return F.when(col.rlike(cls), slow).otherwise(col)
+    return F.when(has_multi(col), slow).otherwise(col)
 
 
 def normalize_text(col: Column) -> Column:
@@ -103,7 +105,7 @@ def normalize_text(col: Column) -> Column:
     s = F.regexp_replace(s, "[^\\x{00}-\\x{7F}]", "")
     s = F.upper(s)
     s = F.regexp_replace(s, f"{ASCII_WHITESPACE_CLASS}+", " ")
-    return F.regexp_replace(s, "^ +| +$", "")
+    return F.trim(s)  # only single spaces are left as whitespace
 
 
 def _any_contains(text: Column, words) -> Column:

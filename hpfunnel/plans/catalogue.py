@@ -581,3 +581,171 @@ def q_scenario_detail(spark, sf_dir):
     from ..operators import scenarios as S
     _, cases = _dash_and_cases(spark, sf_dir)
     return S.scenario_detail(S.scenario_grid(cases))
+
+
+# --------------------------------------------------------------------------
+# Split, thresholds, targets, preprocessing statistics, evaluation
+# --------------------------------------------------------------------------
+
+_SPLIT_SQL = f""",
+base AS (SELECT * FROM lines WHERE impFacturado IS NOT NULL AND impFacturado > 0
+         AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND ImporteB IS NOT NULL),
+hs AS (SELECT *, md5(case_id || '|{K.RANDOM_STATE}') AS h FROM base),
+sp AS (SELECT *, row_number() OVER (PARTITION BY MON ORDER BY h, case_id)
+                 <= ceil({K.TEST_SIZE} * count(*) OVER (PARTITION BY MON)) AS is_test FROM hs),
+th AS (SELECT MON, median(CAST(impFacturado AS DOUBLE)) AS umbral FROM sp WHERE NOT is_test GROUP BY MON),
+lab AS (SELECT sp.*, th.umbral, CAST(CAST(impFacturado AS DOUBLE) > umbral AS INTEGER) AS target
+        FROM sp JOIN th USING (MON)),
+ev AS (SELECT case_id, MON, ANIO, DES_AO, target AS real,
+              CAST(ImporteB AS DOUBLE) / (CAST(ImporteB AS DOUBLE) + umbral) AS probabilidad_alta,
+              CAST(CAST(ImporteB AS DOUBLE) / (CAST(ImporteB AS DOUBLE) + umbral) >= 0.5 AS INTEGER) AS prediccion,
+              CAST(impFacturado AS DOUBLE) AS yreal, CAST(ImporteB AS DOUBLE) AS yhat
+       FROM lab WHERE is_test)"""
+
+
+def _labeled(spark, sf_dir):
+    from ..operators import split as SP
+    base = SP.modelling_base(load_lines(spark, sf_dir))
+    sp = materialize(SP.stratified_split(base))
+    th = SP.train_thresholds(sp)
+    return sp, th, SP.label_targets(sp, th)
+
+
+def _eval_frame(spark, sf_dir):
+    _, _, lab = _labeled(spark, sf_dir)
+    p = F.col("ImporteB").cast("double") / (F.col("ImporteB").cast("double") + F.col("umbral"))
+    return lab.where("is_test").select(
+        "case_id", "MON", "ANIO", "DES_AO", F.col("target").alias("real"), p.alias("probabilidad_alta"),
+        (p >= K.DECISION_THRESHOLD).cast("int").alias("prediccion"),
+        F.col("impFacturado").cast("double").alias("yreal"), F.col("ImporteB").cast("double").alias("yhat"))
+
+
+@register("model_split", with_lines(_SPLIT_SQL + "\nSELECT case_id, MON, is_test FROM sp"))
+def q_model_split(spark, sf_dir):
+    sp, _, _ = _labeled(spark, sf_dir)
+    return sp.select("case_id", "MON", "is_test")
+
+
+@register("train_thresholds", with_lines(_SPLIT_SQL + f"\nSELECT MON, {R('umbral')} AS umbral FROM th"))
+def q_train_thresholds(spark, sf_dir):
+    _, th, _ = _labeled(spark, sf_dir)
+    return rounded(th)
+
+
+@register("labeled_targets", with_lines(_SPLIT_SQL + "\nSELECT case_id, MON, is_test, target FROM lab"))
+def q_labeled_targets(spark, sf_dir):
+    _, _, lab = _labeled(spark, sf_dir)
+    return lab.select("case_id", "MON", "is_test", "target")
+
+
+@register("class_weights", with_lines(_SPLIT_SQL + f"""
+SELECT target, CAST(count(*) AS BIGINT) AS n_clase, {R("sum(count(*)) OVER () / (2.0 * count(*))")} AS peso
+FROM lab WHERE NOT is_test GROUP BY target"""))
+def q_class_weights(spark, sf_dir):
+    from ..operators import split as SP
+    _, _, lab = _labeled(spark, sf_dir)
+    return rounded(SP.class_weights(lab))
+
+
+@register("imputer_medians", with_lines(_SPLIT_SQL + f"""
+SELECT {', '.join(f"{R(f'median(CAST({c} AS DOUBLE))')} AS {c}" for c in K.NUMERIC_FEATURES)}
+FROM sp WHERE NOT is_test"""))
+def q_imputer_medians(spark, sf_dir):
+    from ..operators import split as SP
+    sp, _, _ = _labeled(spark, sf_dir)
+    return rounded(SP.imputer_medians(sp))
+
+
+@register("category_buckets", with_lines(_SPLIT_SQL + f""",
+lg AS ({' UNION ALL '.join(f"SELECT {q(c)} AS variable, CAST({c} AS VARCHAR) AS categoria FROM sp WHERE NOT is_test" for c in K.CATEGORICAL_CLASS_FEATURES)})
+SELECT variable, categoria, CAST(count(*) AS BIGINT) AS n,
+       CASE WHEN count(*) >= {K.MIN_FREQUENCY_CLASS} THEN categoria ELSE 'infrequent_sklearn' END AS bucket
+FROM lg GROUP BY variable, categoria"""))
+def q_category_buckets(spark, sf_dir):
+    from ..operators import split as SP
+    sp, _, _ = _labeled(spark, sf_dir)
+    return SP.category_buckets(sp)
+
+
+_AUC_SQL = """
+auc AS (
+  SELECT (sum(CASE WHEN real = 1 THEN ar END) - sum(real) * (sum(real) + 1) / 2.0)
+         / (CAST(sum(real) AS DOUBLE) * (count(*) - sum(real))) AS ROC_AUC
+  FROM (SELECT real, rank() OVER (ORDER BY probabilidad_alta)
+                     + (count(*) OVER (PARTITION BY probabilidad_alta) - 1) / 2.0 AS ar FROM ev))"""
+
+
+@register("classification_metrics", with_lines(_SPLIT_SQL + f""", {_AUC_SQL},
+cm AS (SELECT count(*) AS n, count_if(real = 1 AND prediccion = 1) AS tp, count_if(real = 0 AND prediccion = 1) AS fp,
+              count_if(real = 1 AND prediccion = 0) AS fn, count_if(real = 0 AND prediccion = 0) AS tn FROM ev)
+SELECT {R("coalesce((tp + tn) / NULLIF(CAST(n AS DOUBLE), 0), 0.0)")} AS Accuracy,
+       {R("coalesce(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0.0)")} AS Precision,
+       {R("coalesce(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0.0)")} AS Recall,
+       {R("coalesce(2 * tp / NULLIF(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0)")} AS F1,
+       CAST(n AS BIGINT) AS Muestra_prueba, {R("ROC_AUC")} AS ROC_AUC
+FROM cm, auc"""))
+def q_classification_metrics(spark, sf_dir):
+    from ..operators import evaluate as EV
+    return rounded(EV.classification_metrics(_eval_frame(spark, sf_dir)))
+
+
+@register("confusion_cells", with_lines(_SPLIT_SQL + """,
+sp2 AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(r, p))
+SELECT CAST(r AS INTEGER) AS real, CAST(p AS INTEGER) AS prediccion, CAST(count(ev.real) AS BIGINT) AS casos
+FROM sp2 LEFT JOIN ev ON ev.real = sp2.r AND ev.prediccion = sp2.p GROUP BY r, p"""))
+def q_confusion_cells(spark, sf_dir):
+    from ..operators import evaluate as EV
+    return EV.confusion_cells(_eval_frame(spark, sf_dir)).select(
+        F.col("real").cast("int").alias("real"), F.col("prediccion").cast("int").alias("prediccion"),
+        F.col("casos").cast("bigint").alias("casos"))
+
+
+@register("roc_auc_rank", with_lines(_SPLIT_SQL + f", {_AUC_SQL}\nSELECT {R('ROC_AUC')} AS ROC_AUC FROM auc"))
+def q_roc_auc_rank(spark, sf_dir):
+    from ..operators import evaluate as EV
+    return rounded(EV.roc_auc(_eval_frame(spark, sf_dir), "real", "probabilidad_alta"))
+
+
+def _reg_metrics_sql(where: str, by: str | None):
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""
+SELECT {sel}CAST(count(*) AS BIGINT) AS records,
+       {R("CASE WHEN count(*) >= 2 THEN avg(abs(yreal - yhat)) END")} AS mae,
+       {R("CASE WHEN count(*) >= 2 THEN sqrt(avg((yreal - yhat) * (yreal - yhat))) END")} AS rmse,
+       {R('''CASE WHEN count(*) > 2 THEN CASE WHEN var_pop(yreal) * count(*) = 0
+             THEN CASE WHEN sum((yreal - yhat) * (yreal - yhat)) = 0 THEN 1.0 ELSE 0.0 END
+             ELSE 1.0 - sum((yreal - yhat) * (yreal - yhat)) / (var_pop(yreal) * count(*)) END END''')} AS r2
+FROM ev WHERE yreal IS NOT NULL AND yhat IS NOT NULL {where} {grp}"""
+
+
+@register("regression_metrics", with_lines(_SPLIT_SQL + _reg_metrics_sql("", "MON")))
+def q_regression_metrics(spark, sf_dir):
+    from ..operators import evaluate as EV
+    ev = _eval_frame(spark, sf_dir)
+    return rounded(EV.regression_metrics(ev, ["MON"], "yreal", "yhat"))
+
+
+SUBSET = (K.PEN, (1996, 1999), "LARGE")
+
+
+@register("regression_subset", with_lines(_SPLIT_SQL + _reg_metrics_sql(
+    f"AND MON = {q(SUBSET[0])} AND ANIO BETWEEN {SUBSET[1][0]} AND {SUBSET[1][1]} AND DES_AO = {q(SUBSET[2])}", None)))
+def q_regression_subset(spark, sf_dir):
+    from ..operators import evaluate as EV
+    ev = _eval_frame(spark, sf_dir).drop("real", "prediccion") \
+        .withColumnsRenamed({"yreal": "real", "yhat": "prediccion"})
+    return rounded(EV.regression_metrics(EV.regression_subset(ev, *SUBSET)))
+
+
+@register("regression_points", with_lines(_SPLIT_SQL + f""",
+pts AS (SELECT case_id, yreal, yhat FROM ev WHERE yreal IS NOT NULL AND yhat IS NOT NULL AND MON = {q(SUBSET[0])}
+        AND ANIO BETWEEN {SUBSET[1][0]} AND {SUBSET[1][1]} AND DES_AO = {q(SUBSET[2])})
+SELECT case_id, {R('yreal')} AS real, {R('yhat')} AS prediccion,
+       {R('(SELECT greatest(max(yreal), max(yhat)) FROM pts)')} AS eje_max FROM pts"""))
+def q_regression_points(spark, sf_dir):
+    from ..operators import evaluate as EV
+    ev = _eval_frame(spark, sf_dir).drop("real", "prediccion") \
+        .withColumnsRenamed({"yreal": "real", "yhat": "prediccion"})
+    pts = EV.regression_subset(ev, *SUBSET).select("case_id", "real", "prediccion")
+    return rounded(pts.withColumn("eje_max", EV.axis_max(pts)))

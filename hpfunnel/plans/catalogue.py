@@ -749,3 +749,172 @@ def q_regression_points(spark, sf_dir):
         .withColumnsRenamed({"yreal": "real", "yhat": "prediccion"})
     pts = EV.regression_subset(ev, *SUBSET).select("case_id", "real", "prediccion")
     return rounded(pts.withColumn("eje_max", EV.axis_max(pts)))
+
+
+# --------------------------------------------------------------------------
+# Models (rows-only checks): forests, intervals, importances, K-Means, PCA
+# --------------------------------------------------------------------------
+
+_MODEL_CACHE: dict = {}
+
+
+def _cached(spark, sf_dir, kind, build):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = build()
+    return _MODEL_CACHE[key]
+
+
+def _classifier(spark, sf_dir):
+    from ..operators import models as M
+    return _cached(spark, sf_dir, "clf", lambda: M.train_classifier(load_lines(spark, sf_dir)))
+
+
+def _regressors(spark, sf_dir):
+    from ..operators import models as M
+    return _cached(spark, sf_dir, "reg", lambda: M.train_regressors(load_lines(spark, sf_dir)))
+
+
+def _segmentation(spark, sf_dir):
+    from ..operators import segments as SG
+    return _cached(spark, sf_dir, "seg", lambda: SG.build_segments(_clients_ready(spark, sf_dir)[1]))
+
+
+@register("rf_class_predictions")
+def q_rf_class_predictions(spark, sf_dir):
+    from ..operators import models as M
+    return finalize(M.classification_predictions(_classifier(spark, sf_dir)))
+
+
+@register("rf_class_metrics")
+def q_rf_class_metrics(spark, sf_dir):
+    from ..operators import evaluate as EV
+    from ..operators import models as M
+    preds = M.classification_predictions(_classifier(spark, sf_dir))
+    return rounded(EV.classification_metrics(preds))
+
+
+@register("rf_class_confusion")
+def q_rf_class_confusion(spark, sf_dir):
+    from ..operators import evaluate as EV
+    from ..operators import models as M
+    return EV.confusion_cells(M.classification_predictions(_classifier(spark, sf_dir)))
+
+
+@register("rf_class_importance")
+def q_rf_class_importance(spark, sf_dir):
+    from ..operators import models as M
+    m = _classifier(spark, sf_dir)
+    return rounded(M.importances(spark, m.preprocessor, m.forest, m.test, K.CATEGORICAL_CLASS_FEATURES))
+
+
+@register("rf_reg_predictions")
+def q_rf_reg_predictions(spark, sf_dir):
+    from ..operators import models as M
+    return finalize(M.regression_predictions(_regressors(spark, sf_dir)))
+
+
+@register("rf_reg_metrics")
+def q_rf_reg_metrics(spark, sf_dir):
+    from ..operators import evaluate as EV
+    from ..operators import models as M
+    preds = M.regression_predictions(_regressors(spark, sf_dir))
+    return rounded(EV.regression_metrics(preds, ["MON"]))
+
+
+@register("rf_reg_importance")
+def q_rf_reg_importance(spark, sf_dir):
+    from ..operators import models as M
+    frames = [M.importances(spark, r.preprocessor, r.forest, r.test, K.CATEGORICAL_REG_FEATURES, cur)
+              for cur, r in _regressors(spark, sf_dir).items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return rounded(out)
+
+
+@register("rf_scenarios")
+def q_rf_scenarios(spark, sf_dir):
+    """R1 with the trained models: probability, band, estimate and tree range
+    for every case x coarse grid point, each currency on its own regressor."""
+    from ..operators import models as M
+    from ..operators import scenarios as S
+    clf, regs = _classifier(spark, sf_dir), _regressors(spark, sf_dir)
+    _, cases = _dash_and_cases(spark, sf_dir)
+    grid = materialize(S.scenario_grid(cases).withColumn(
+        "scenario_id", F.concat_ws("|", "case_id", "pct_importe", "pct_participantes", "pct_duracion")))
+    probs = M.classify(clf, grid).select("scenario_id", "probabilidad_alta")
+    parts = []
+    for cur, r in regs.items():
+        est = M.regress(r, grid.where(F.col("MON") == cur), key="scenario_id")
+        parts.append(est.select("scenario_id", F.col("prediction").alias("estimate"),
+                                F.col("rango_p10").alias("range_low"), F.col("rango_p90").alias("range_high")))
+    ests = parts[0]
+    for p in parts[1:]:
+        ests = ests.unionByName(p)
+    scored = grid.join(probs, "scenario_id").join(ests, "scenario_id") \
+        .withColumnRenamed("probabilidad_alta", "probability")
+    out = S.decorate_scores(scored).join(F.broadcast(clf.thresholds), "MON")
+    return finalize(out.select("case_id", "pct_importe", "pct_participantes", "pct_duracion", "MON",
+                               "probability", "classification", "level", "gauge", "estimate",
+                               "range_low", "range_high", F.col("umbral").alias("threshold")))
+
+
+@register("kmeans_k_sweep")
+def q_kmeans_k_sweep(spark, sf_dir):
+    return rounded(_segmentation(spark, sf_dir).scores)
+
+
+@register("kmeans_segments")
+def q_kmeans_segments(spark, sf_dir):
+    seg = _segmentation(spark, sf_dir)
+    return rounded(seg.clients.select("NomCliente", *K.CLIENT_FEATURES, "cluster_validado", "segmento_negocio",
+                                      "PCA_1", "PCA_2"))
+
+
+@register("kmeans_segment_summary")
+def q_kmeans_segment_summary(spark, sf_dir):
+    from ..operators import clients as C
+    return rounded(C.segment_summary(_segmentation(spark, sf_dir).clients))
+
+
+@register("pca_points")
+def q_pca_points(spark, sf_dir):
+    seg = _segmentation(spark, sf_dir)
+    return rounded(seg.clients.select("NomCliente", "segmento_negocio", "PCA_1", "PCA_2", "cantidad_registros",
+                                      "cantidad_servicios_distintos", "tasa_conversion_hp_oi"))
+
+
+@register("segment_meta")
+def q_segment_meta(spark, sf_dir):
+    from ..operators import segments as SG
+    return SG.segment_meta(_segmentation(spark, sf_dir))
+
+
+@register("sink_roundtrip")
+def q_sink_roundtrip(spark, sf_dir):
+    """S1-S11 round trip: write the prepared lines and the funnel in every
+    format to the shared folder, read them back, report rows per format."""
+    from ..session import shared_path
+    from ..sources import sinks
+    from ..sources.proposals import read_lines
+    from ..operators import funnel
+    lines = load_lines(spark, sf_dir)
+    base = shared_path(spark, "sinks")
+    parquet_path, csv_path, gz_path, json_path = (f"{base}/{x}" for x in ("parquet", "csv", "csv_gz", "json"))
+    sinks.write_parquet(lines.select("case_id", *K.DASHBOARD_COLUMNS), parquet_path, ["ANIO"])
+    sinks.write_csv(lines.select("case_id", *K.DASHBOARD_COLUMNS), csv_path)
+    sinks.write_csv(lines.select("case_id", *K.DASHBOARD_COLUMNS), gz_path, gzip=True)
+    sinks.write_json(funnel.funnel_stages(lines), json_path)
+    back = {
+        "parquet": read_lines(spark, parquet_path),
+        "csv": read_lines(spark, csv_path, fmt="csv"),
+        "csv_gz": read_lines(spark, gz_path, fmt="csv"),
+        "json": sinks.read_json_table(spark, json_path),
+    }
+    parts = [df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("formato"), "filas")
+             for name, df in back.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import materialize, shared_path
+from ..session import materialize, shared_path, spread
 from . import split as SP
 from .features import FEATURES, fit_preprocessor, slot_sources
 
@@ -64,8 +64,8 @@ def train_classifier(lines: DataFrame, params: ForestParams | None = None) -> Cl
     thresholds = materialize(SP.train_thresholds(split))
     labeled = SP.label_targets(split, thresholds)
     weights = SP.class_weights(labeled)
-    train = materialize(labeled.where(~F.col("is_test")).join(F.broadcast(weights.select("target", "peso")),
-                                                              "target"))
+    train = spread(materialize(labeled.where(~F.col("is_test")).join(
+        F.broadcast(weights.select("target", "peso")), "target")))
     pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_CLASS_FEATURES, K.MIN_FREQUENCY_CLASS)
     rf = RandomForestClassifier(
         featuresCol=FEATURES, labelCol="target", weightCol="peso", numTrees=params.num_trees,
@@ -152,8 +152,8 @@ def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> di
     out = {}
     for cur in K.VALID_CURRENCIES:  # group order of the reference (sorted currency codes)
         part = split.where(F.col("MON") == cur)
-        train = materialize(part.where(~F.col("is_test")).withColumn(
-            "y", F.col("impFacturado").cast("double")))
+        train = spread(materialize(part.where(~F.col("is_test")).withColumn(
+            "y", F.col("impFacturado").cast("double"))))
         pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_REG_FEATURES,
                                K.MIN_FREQUENCY_REG[cur])
         rf = RandomForestRegressor(

@@ -18,7 +18,7 @@ from ..functions.text import categorize_reason, normalize_text
 from ..operators import funnel
 from ..session import materialize
 from ..sources.proposals import load_lines
-from .oracle import _WS, norm_sql, q, with_lines
+from .oracle import _WS, RAW_SQL, clean_sql, norm_sql, q, with_lines
 
 DIGITS = 6
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -918,3 +918,55 @@ def q_sink_roundtrip(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# --------------------------------------------------------------------------
+# Typed ingest: text round trip with injected bad cells
+# --------------------------------------------------------------------------
+
+_BAD_TEXT = {"ImporteB": "n/a", "Fecha": "31/02/xx", "ANIO": "año?", "nParticipante": "NaN",
+             "duracion": "inf", "propuesta_convertida": "quizá", "NomCliente": "  "}
+
+
+def _bad_rule_spark():
+    return (F.length("case_id") % 7) == 0
+
+
+@register("typed_ingest", f"""WITH {RAW_SQL.strip()},
+txt AS (
+  SELECT case_id,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['Fecha'])} ELSE strftime(Fecha, '%Y-%m-%d %H:%M:%S') END AS Fecha,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['ANIO'])} ELSE CAST(ANIO AS VARCHAR) END AS ANIO,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['ImporteB'])} ELSE CAST(ImporteB AS VARCHAR) END AS ImporteB,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['nParticipante'])} ELSE CAST(nParticipante AS VARCHAR) END AS nParticipante,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['duracion'])} ELSE CAST(duracion AS VARCHAR) END AS duracion,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['propuesta_convertida'])} ELSE CAST(propuesta_convertida AS VARCHAR) END AS propuesta_convertida,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['NomCliente'])} ELSE NomCliente END AS NomCliente
+  FROM raw)
+SELECT case_id,
+  strftime(TRY_CAST(Fecha AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS Fecha,
+  TRY_CAST(ANIO AS INTEGER) AS ANIO,
+  {R("TRY_CAST(ImporteB AS DECIMAL(18,2))")} AS ImporteB,
+  {R("CASE WHEN isnan(TRY_CAST(nParticipante AS DOUBLE)) THEN NULL ELSE TRY_CAST(nParticipante AS DOUBLE) END")} AS nParticipante,
+  CASE WHEN isinf(TRY_CAST(duracion AS DOUBLE)) THEN 'inf' ELSE CAST({R("TRY_CAST(duracion AS DOUBLE)")} AS VARCHAR) END AS duracion,
+  coalesce(TRY_CAST(propuesta_convertida AS BOOLEAN), false) AS propuesta_convertida,
+  {clean_sql('NomCliente')} AS NomCliente
+FROM txt""")
+def q_typed_ingest(spark, sf_dir):
+    from ..sources.adapter import raw_proposal_lines
+    from ..sources.proposals import type_lines
+    from ..functions.text import clean_category
+    raw = raw_proposal_lines(spark, sf_dir)
+    bad = _bad_rule_spark()
+    txt = raw.select("case_id", *[
+        F.when(bad, F.lit(v)).otherwise(
+            F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "Fecha" else F.col(c).cast("string")).alias(c)
+        for c, v in _BAD_TEXT.items()])
+    typed = type_lines(txt).select(
+        "case_id", "Fecha", "ANIO", "ImporteB", "nParticipante", "duracion",
+        F.coalesce("propuesta_convertida", F.lit(False)).alias("propuesta_convertida"),
+        clean_category(F.col("NomCliente")).alias("NomCliente"))
+    out = finalize(typed)
+    inf = F.abs(F.col("duracion")) == F.lit(float("inf"))
+    return out.withColumn("duracion", F.when(inf, F.lit("inf")).otherwise(
+        F.col("duracion").cast("string")))

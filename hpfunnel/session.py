@@ -82,3 +82,18 @@ def materialize(df, eager: bool = True):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give an iterative learner at least one partition per core.
+
+    AQE coalesces small results into few partitions, which is right for
+    one-pass queries but leaves most cores idle when an estimator scans the
+    same data dozens of times.  Large inputs already have enough partitions
+    and are returned untouched.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

@@ -32,6 +32,9 @@ class ForestParams:
     min_instances: int = 2
     max_bins: int = 64
     seed: int = K.RANDOM_STATE
+    # node statistics aggregated per pass over the data: a larger budget
+    # means fewer passes for deep forests over wide one-hot vectors
+    max_memory_mb: int = 1024
 
 
 @dataclass
@@ -70,7 +73,8 @@ def train_classifier(lines: DataFrame, params: ForestParams | None = None) -> Cl
     rf = RandomForestClassifier(
         featuresCol=FEATURES, labelCol="target", weightCol="peso", numTrees=params.num_trees,
         maxDepth=params.max_depth, minInstancesPerNode=params.min_instances, maxBins=params.max_bins,
-        featureSubsetStrategy="sqrt", bootstrap=True, seed=params.seed)
+        featureSubsetStrategy="sqrt", bootstrap=True, seed=params.seed,
+        maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
     forest = rf.fit(pre.transform(train))
     test = labeled.where(F.col("is_test"))
     return Classifier(pre, forest, thresholds, split, test)
@@ -159,7 +163,8 @@ def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> di
         rf = RandomForestRegressor(
             featuresCol=FEATURES, labelCol="y", numTrees=params.num_trees, maxDepth=params.max_depth,
             minInstancesPerNode=params.min_instances, maxBins=params.max_bins, featureSubsetStrategy="all",
-            bootstrap=True, seed=params.seed, leafCol="leaves")
+            bootstrap=True, seed=params.seed, leafCol="leaves",
+            maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
         forest = rf.fit(pre.transform(train))
         out[cur] = Regressor(cur, pre, forest, materialize(leaf_table(spark, forest)),
                              part.where(F.col("is_test")))

@@ -970,3 +970,39 @@ def q_typed_ingest(spark, sf_dir):
     inf = F.abs(F.col("duracion")) == F.lit(float("inf"))
     return out.withColumn("duracion", F.when(inf, F.lit("inf")).otherwise(
         F.col("duracion").cast("string")))
+
+
+@register("top_clients_slice", with_lines(f""", {_CF_SQL},
+pc AS (
+  SELECT segmento_negocio, NomCliente, {q(K.PEN)} AS Moneda, _n_pen AS n, facturacion_soles_total AS Facturacion FROM seg
+  UNION ALL
+  SELECT segmento_negocio, NomCliente, {q(K.USD)}, _n_usd, facturacion_dolares_total FROM seg),
+rk AS (
+  SELECT *, row_number() OVER (PARTITION BY segmento_negocio, Moneda ORDER BY Facturacion DESC, NomCliente) AS Posicion
+  FROM pc WHERE n > 0)
+SELECT segmento_negocio AS Segmento, Moneda, CAST(Posicion AS INTEGER) AS Posicion, NomCliente AS Cliente,
+       {R("Facturacion")} AS Facturacion
+FROM rk WHERE Posicion <= 10 AND segmento_negocio = {q(K.SEGMENT_HIGH)} AND Moneda = {q(K.USD)}"""))
+def q_top_clients_slice(spark, sf_dir):
+    from ..operators import clients as C
+    from ..operators.report import top_clients_slice
+    _, seg = _rule_segmented(spark, sf_dir)
+    return rounded(top_clients_slice(C.top_clients(seg), K.SEGMENT_HIGH, K.USD, 10).drop("Facturacion_texto"))
+
+
+@register("rf_class_report")
+def q_rf_class_report(spark, sf_dir):
+    from ..operators import evaluate as EV
+    from ..operators import models as M
+    from ..operators.report import classification_record
+    m = _classifier(spark, sf_dir)
+    preds = M.classification_predictions(m)
+    rec = classification_record(EV.classification_metrics(preds), m.thresholds, EV.confusion_cells(preds),
+                                m.split)
+    return rounded(rec.drop("Umbrales", "Matriz_confusion"))
+
+
+@register("rf_reg_importance_top")
+def q_rf_reg_importance_top(spark, sf_dir):
+    from ..operators.report import importance_for, top_importances
+    return top_importances(importance_for(q_rf_reg_importance(spark, sf_dir), K.PEN), 8)

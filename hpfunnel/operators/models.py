@@ -35,6 +35,11 @@ class ForestParams:
     # node statistics aggregated per pass over the data: a larger budget
     # means fewer passes for deep forests over wide one-hot vectors
     max_memory_mb: int = 1024
+    # features tried per split in the regressors.  The reference tries all
+    # of them; over a one-hot vector with thousands of slots that multiplies
+    # the node statistics of every level, so the default is Spark's own
+    # regression default (one third); pass "all" for the reference setting.
+    regression_features: str = "onethird"
 
 
 @dataclass
@@ -162,7 +167,8 @@ def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> di
                                K.MIN_FREQUENCY_REG[cur])
         rf = RandomForestRegressor(
             featuresCol=FEATURES, labelCol="y", numTrees=params.num_trees, maxDepth=params.max_depth,
-            minInstancesPerNode=params.min_instances, maxBins=params.max_bins, featureSubsetStrategy="all",
+            minInstancesPerNode=params.min_instances, maxBins=params.max_bins,
+            featureSubsetStrategy=params.regression_features,
             bootstrap=True, seed=params.seed, leafCol="leaves",
             maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
         forest = rf.fit(pre.transform(train))

@@ -89,3 +89,31 @@ def test_scenario_defaults_and_bands(spark):
     p = spark.createDataFrame([(0.75,), (0.5,), (0.3,), (0.2999,)], "p double")
     got = [r[0] for r in p.select(S.score_band(F.col("p"))).collect()]
     assert got == [K.BAND_HIGH[1], K.BAND_MID_HIGH[1], K.BAND_MID[1], K.BAND_LOW]
+
+
+def test_missing_source_fails(spark):
+    from pyspark.errors import AnalysisException
+
+    from hpfunnel.sources.proposals import read_lines
+    with pytest.raises(AnalysisException) as e:
+        read_lines(spark, "/nonexistent/hpfunnel/lines.parquet")
+    assert "PATH_NOT_FOUND" in str(e.value)
+
+
+def test_unsupported_currency_routing():
+    from hpfunnel.sources.sinks import regressor_for
+    with pytest.raises(ValueError):
+        regressor_for({"S/.": object()}, "EUR")
+
+
+def test_csv_roundtrip_types_bad_cells(spark, tmp_path):
+    from hpfunnel.sources.proposals import read_lines
+    p = tmp_path / "lines.csv"
+    p.write_text("case_id,Fecha,ImporteB,ANIO,propuesta_convertida,NomCliente,Desc_Estado\n"
+                 "a,2020-01-02 00:00:00,12.5,2020,true,  Foo ,HP Activo\n"
+                 "b,not a date,n/a,x,,,HP Inactivo\n", encoding="utf-8")
+    rows = {r.case_id: r for r in read_lines(spark, str(p), fmt="csv").collect()}
+    assert rows["a"].ImporteB == 12.5 and rows["a"].ANIO == 2020 and rows["a"].NomCliente == "Foo"
+    assert rows["b"].Fecha is None and rows["b"].ImporteB is None and rows["b"].ANIO is None
+    assert rows["b"].propuesta_convertida is False and rows["b"].NomCliente == K.NOT_SPECIFIED
+    assert rows["a"].etapa_comercial == K.STAGE_CONVERTED and rows["b"].etapa_comercial == K.STAGE_INACTIVE

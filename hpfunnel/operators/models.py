@@ -3,9 +3,9 @@ regressors, scoring, importances and per-tree prediction ranges.
 
 Training data is written once to the shared checkpoint folder before the
 forest iterates over it; tree induction itself is Spark ML's data-parallel
-level-wise algorithm.  The P10/P90 range across trees is a join of each
-row's leaf indices (``leafCol``) with the saved forest's leaf table,
-followed by an exact per-row percentile over the ``numTrees`` values.
+level-wise algorithm.  The P10/P90 range across trees joins each row's leaf
+indices (``leafCol``) with the saved forest's leaf table and takes an exact
+per-row percentile over the ``numTrees`` values.
 """
 
 from __future__ import annotations
@@ -141,9 +141,11 @@ def tree_ranges(scored: DataFrame, leaves: DataFrame, key: str = "case_id",
                 probs=(0.1, 0.9)) -> DataFrame:
     """Per-row quantiles of the individual tree predictions.
 
-    Each row yields ``numTrees`` (tree, leaf) pairs; the leaf table is
-    model-sized (AQE broadcasts it when small); the per-row percentile is
-    exact over at most ``numTrees`` values.
+    Each row yields ``numTrees`` (tree, leaf) pairs that are joined with the
+    forest's leaf table -- model-sized (at most ``numTrees`` times the
+    leaves of one tree), so AQE broadcasts it when small -- and reduced per
+    row with Spark's exact percentile over at most ``numTrees`` values.
+    Returns ``key, rango_p10, rango_p90``.
     """
     exploded = scored.select(key, F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf")) \
         .withColumn("leaf", F.col("leaf").cast("int"))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.text import categorize_reason, normalize_text
 from ..operators import funnel
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources.proposals import load_lines
 from .oracle import _WS, RAW_SQL, clean_sql, norm_sql, q, with_lines
 
@@ -841,8 +841,8 @@ def q_rf_scenarios(spark, sf_dir):
     from ..operators import scenarios as S
     clf, regs = _classifier(spark, sf_dir), _regressors(spark, sf_dir)
     _, cases = _dash_and_cases(spark, sf_dir)
-    grid = materialize(S.scenario_grid(cases).withColumn(
-        "scenario_id", F.concat_ws("|", "case_id", "pct_importe", "pct_participantes", "pct_duracion")))
+    grid = spread(materialize(S.scenario_grid(cases, S.MODEL_GRID).withColumn(
+        "scenario_id", F.concat_ws("|", "case_id", "pct_importe", "pct_participantes", "pct_duracion"))))
     probs = M.classify(clf, grid).select("scenario_id", "probabilidad_alta")
     parts = []
     for cur, r in regs.items():

@@ -36,6 +36,16 @@ def test_regressors_and_tree_ranges(spark, lines):
     preds = M.regression_predictions(regs)
     bad = preds.where((F.col("rango_p10") > F.col("rango_p90")) | F.col("rango_p10").isNull()).count()
     assert bad == 0
+    # the array lookup equals an explicit explode + join of the leaf table
+    r = regs[K.PEN]
+    scored = r.forest.transform(r.preprocessor.transform(r.test))
+    ranged = M.tree_ranges(scored, r.leaves).select("case_id", "rango_p10", "rango_p90")
+    ex = scored.select("case_id", F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf")) \
+        .withColumn("leaf", F.col("leaf").cast("int")).join(r.leaves, ["treeID", "leaf"]) \
+        .groupBy("case_id").agg(F.percentile("pred", [0.1, 0.9]).alias("q"))
+    d = ranged.join(ex, "case_id").agg(F.max(F.abs(F.col("rango_p10") - F.col("q")[0])),
+                                       F.max(F.abs(F.col("rango_p90") - F.col("q")[1]))).first()
+    assert d[0] < 1e-6 and d[1] < 1e-6
     # forest prediction is the mean of the joined leaf predictions
     r = regs[K.PEN]
     scored = r.forest.transform(r.preprocessor.transform(r.test))

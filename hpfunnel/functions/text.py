@@ -27,10 +27,27 @@ PY_WHITESPACE_CLASS = (
 ASCII_WHITESPACE_CLASS = "[\\x{09}-\\x{0D}\\x{1C}-\\x{1F}\\x{20}]"
 
 
+# The same set as literal characters, for translate()-based membership tests.
+PY_WHITESPACE_CHARS = "".join(
+    [chr(c) for c in range(0x09, 0x0E)] + [chr(c) for c in range(0x1C, 0x21)]
+    + ["\x85", "\xa0", "\u1680"] + [chr(c) for c in range(0x2000, 0x200B)]
+    + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"])
+
+
+def _is_ws(ch: Column) -> Column:
+    """True for a one-character string in the whitespace set (hash lookup)."""
+    return (F.length(ch) == 1) & (F.length(F.translate(ch, PY_WHITESPACE_CHARS, "")) == 0)
+
+
 def py_strip(col: Column) -> Column:
-    """Trim leading/trailing whitespace exactly like Python's ``str.strip``."""
-    return F.regexp_replace(
-        col, f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$", "")
+    """Trim leading/trailing whitespace exactly like Python's ``str.strip``.
+
+    The regex runs only when the first or last character is whitespace;
+    every other value passes through after two hash lookups.
+    """
+    needs = _is_ws(F.substring(col, 1, 1)) | _is_ws(F.substring(col, -1, 1))
+    stripped = F.regexp_replace(col, f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$", "")
+    return F.when(needs, stripped).otherwise(col)
 
 
 @functools.lru_cache(maxsize=1)
@@ -100,9 +117,9 @@ def normalize_text(col: Column) -> Column:
     """
     src, dst, _ = _fold_tables()
     s = F.coalesce(col.cast("string"), F.lit(""))
-    s = _expand_multi(s)
-    s = F.translate(s, src, dst)
-    s = F.regexp_replace(s, "[^\\x{00}-\\x{7F}]", "")
+    # pure-ASCII text (one byte per character) skips the folding tables
+    folded = F.regexp_replace(F.translate(_expand_multi(s), src, dst), "[^\\x{00}-\\x{7F}]", "")
+    s = F.when(F.octet_length(s) == F.length(s), s).otherwise(folded)
     s = F.upper(s)
     s = F.regexp_replace(s, f"{ASCII_WHITESPACE_CLASS}+", " ")
     return F.trim(s)  # only single spaces are left as whitespace
@@ -127,8 +144,9 @@ def categorize_reason(col: Column, already_normalized: bool = False) -> Column:
 
 def clean_category(col: Column) -> Column:
     """Null -> sentinel, strip, empty -> sentinel (string categoricals)."""
-    stripped = py_strip(F.coalesce(col.cast("string"), F.lit(K.NOT_SPECIFIED)))
-    return F.when(stripped == "", F.lit(K.NOT_SPECIFIED)).otherwise(stripped)
+    v = F.coalesce(col.cast("string"), F.lit(K.NOT_SPECIFIED))
+    blank = F.length(F.translate(v, PY_WHITESPACE_CHARS, "")) == 0  # empty or all whitespace
+    return F.when(blank, F.lit(K.NOT_SPECIFIED)).otherwise(py_strip(v))
 
 
 def shorten(col: Column, max_length: int = K.SHORTEN_LENGTH) -> Column:

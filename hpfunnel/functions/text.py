@@ -45,7 +45,7 @@ def py_strip(col: Column) -> Column:
     The regex runs only when the first or last character is whitespace;
     every other value passes through after two hash lookups.
     """
-    needs = _is_ws(F.substring(col, 1, 1)) | _is_ws(F.substring(col, -1, 1))
+    needs = col.rlike(f"^{PY_WHITESPACE_CLASS}|{PY_WHITESPACE_CLASS}$")
     stripped = F.regexp_replace(col, f"^{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+$", "")
     return F.when(needs, stripped).otherwise(col)
 
@@ -145,7 +145,7 @@ def categorize_reason(col: Column, already_normalized: bool = False) -> Column:
 def clean_category(col: Column) -> Column:
     """Null -> sentinel, strip, empty -> sentinel (string categoricals)."""
     v = F.coalesce(col.cast("string"), F.lit(K.NOT_SPECIFIED))
-    blank = F.length(F.translate(v, PY_WHITESPACE_CHARS, "")) == 0  # empty or all whitespace
+    blank = v.rlike(f"^{PY_WHITESPACE_CLASS}*$")  # empty or all whitespace
     return F.when(blank, F.lit(K.NOT_SPECIFIED)).otherwise(py_strip(v))
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licences, urls
-from .common import table, written
+from . import exact_dedup, langid, licences, secrets, urls
+from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,6 +38,11 @@ FROM t
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.span_summary(secrets.scan_secrets(docs), "doc_id")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -68,8 +73,17 @@ SELECT page_id, host, path, rule, CASE
 FROM d
 """
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    return langid.identify(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model) \
+        .drop("text")
+
+
 REGISTRY = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+    "op3_secret_scan": (op3_secret_scan, None),
     "op4_url_filter": (op4_url_filter, OP4_SQL),
+    "op9_language_id": (op9_language_id, None),
 }

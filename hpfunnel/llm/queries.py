@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, secrets, urls
+from . import exact_dedup, langid, licences, secrets, toxicity, urls
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,10 +80,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("text")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.withColumn("held_out", held_out(F.col("doc_id"))), model).drop("text")
+
+
 REGISTRY = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_url_filter": (op4_url_filter, OP4_SQL),
     "op9_language_id": (op9_language_id, None),
+    "op10_toxicity": (op10_toxicity, None),
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, secrets, topk, toxicity, urls
+from . import exact_dedup, langid, licences, mixing, secrets, topk, toxicity, urls
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +73,13 @@ SELECT page_id, host, path, rule, CASE
 FROM d
 """
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The texts are read once, to count their words.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("words"))
+    mixed = mixing.mix(written(docs, "document-sizes"), size_col="words")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -111,6 +118,7 @@ REGISTRY = {
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_url_filter": (op4_url_filter, OP4_SQL),
+    "op5_mix": (op5_mix, None),
     "op7_top_k": (op7_top_k, OP7_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),

@@ -10,12 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, mixing, secrets, topk, toxicity, urls
+from . import exact_dedup, langid, licences, mixing, packing, secrets, topk, toxicity, urls
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def word_vocabulary(path: str | None = None) -> str:
+    """A tokenizer file's text (default: the installed word_bpe_49k.json); tasks get it with their function."""
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.licence_summary(licences.scan_licences(docs), "doc_id")
@@ -80,6 +89,11 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), word_vocabulary())
+    return packing.pack(pieces).drop("ids")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
@@ -119,6 +133,7 @@ REGISTRY = {
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_url_filter": (op4_url_filter, OP4_SQL),
     "op5_mix": (op5_mix, None),
+    "op6_best_fit_packing": (op6_best_fit_packing, None),
     "op7_top_k": (op7_top_k, OP7_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),

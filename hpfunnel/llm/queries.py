@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, mixing, packing, secrets, topk, toxicity, urls
+from . import exact_dedup, langid, licences, mixing, near_dedup, packing, secrets, topk, toxicity, urls
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,6 +114,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.mark_near_copies(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs)
@@ -135,6 +139,7 @@ REGISTRY = {
     "op5_mix": (op5_mix, None),
     "op6_best_fit_packing": (op6_best_fit_packing, None),
     "op7_top_k": (op7_top_k, OP7_SQL),
+    "op8_near_dedup": (op8_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
 }

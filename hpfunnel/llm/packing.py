@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import quoted, written
 
 CAPACITY, END = 4096, 1
-#: Pre-tokens whose ids a task remembers.
+#: Runs and pre-tokens whose ids a task remembers.
 REMEMBERED = 400_000
 
 PIECES = T.StructType([
@@ -53,33 +53,46 @@ PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[
 class Encoder(dict):
     """Token ids of texts, as little-endian unsigned 32-bit values.
 
-    A BPE's ids of a text are those of its pre-tokens in a row, so each
-    pre-token goes through the tokenizer once and is remembered.  Texts with
-    characters beyond ASCII and Latin-1 letters, or with a special token's
-    brackets, go through the tokenizer whole, as does everything if the
-    vocabulary's pre-tokens are not the known ones.
+    A BPE's ids of a text are those of its pre-tokens in a row, and no
+    pre-token holds white space.  So each pre-token goes through the
+    vocabulary's model once, and the ids of every run between white space
+    are remembered.  Texts with characters beyond ASCII and Latin-1 letters,
+    or with a special token's brackets, go through the tokenizer whole, as
+    does everything if the vocabulary's pre-tokens are not the known ones.
     """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pretokens: dict[str, bytes] = {}
         probe = "It's 3 o'clock: café & ÀÉ--x's, you'll_see!? (2x4)\n\tend 'tis"
-        self.known = False
-        self.known = self.whole(probe) == b"".join(map(self.__getitem__, PRETOKEN.findall(probe.lower())))
-        self.clear()
+        self.known = True
+        self.known = self.whole(probe) == self.encode(probe)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, pretoken: str) -> bytes:
+    def pretoken(self, word: str) -> bytes:
+        ids = self.pretokens.get(word)
+        if ids is None:
+            mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+            ids = self.pretokens[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return ids
+
+    def __missing__(self, run: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        ids = self[pretoken] = self.whole(pretoken)
+        if len(self.pretokens) > REMEMBERED:
+            self.pretokens.clear()
+        ids = self[run] = b"".join(map(self.pretoken, PRETOKEN.findall(run)))
         return ids
 
     def encode(self, text: str) -> bytes:
         if self.known and PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, PRETOKEN.findall(text.lower())))
+            return b"".join(map(self.__getitem__, text.lower().split()))
         return self.whole(text)
 
 

@@ -30,9 +30,9 @@ from .common import held_out, packed, quoted, unpacked
 TRAIN_ROWS = 50_000
 #: Hashed n-gram features; smoothing of their counts.
 FEATURES, ALPHA = 1 << 14, 0.5
-#: Sharpness of the loss, temperature of scores, least gap between the two
-#: nearest codewords as a share of a clear text's gap.
-SHARP, HEAT, GAP = 2.0, 6.0, 0.02
+#: Sharpness of the loss, temperature of scores, and the gap in loss between the
+#: two nearest codewords under which a text is ambiguous (a clear one has about 0.9).
+SHARP, HEAT, GAP = 2.0, 6.0, 0.05
 UNKNOWN = "und"
 
 SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),

@@ -24,7 +24,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, written
+from .common import packed, quoted, unpacked, written
 
 #: Most copies of a document, and the sources' weights in code-point order.
 MOST, WEIGHTS = 3, (1, 2, 3)
@@ -189,12 +189,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         "taken": n * F.col("size")})
 
 
-def mixed_rows(df: DataFrame, **columns: str) -> DataFrame:
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row as many times as it has copies, with its own columns."""
-    names = df.columns
-    row = df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names]).alias("row"))
-    row = row.select("row", *[F.col("row").getField(columns.get(c, d)).alias(c) for c, d in
-                              (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))])
-    taken = mix(row, "id_col", "text_col", "source_col").filter("copies > 0")
-    again = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.select(*[F.col("row").getField(c).alias(c) for c in names])
+    row = F.struct(*[quoted(c).alias(c) for c in df.columns]).alias("row")
+    rows = df.select(row, quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(source_col).alias("source"))
+    again = mix(rows, "id").filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return again.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

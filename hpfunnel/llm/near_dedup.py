@@ -8,11 +8,23 @@ functions picks the ``PICK`` smallest labelled shingles and keeps them in
 text order: texts agree in a band if they share those shingles in the same
 order, which is likely at high edit similarity and unlikely otherwise.
 
-Texts that agree in a band share a bucket and are candidates.  First everyone
-is aligned with its bucket's leader; that settles nearly all.  Texts that
-still share a bucket with texts of another class after that are aligned
-across the classes, with no cap, so that no link between classes is lost.
-Classes are the connected components of the links.
+Texts that agree in a band share a bucket and are candidates.  A shingle that
+no other candidate has counts against every pair of its text: a similar
+pair's texts have at most a ninth of their shingles on one side only.  So a
+text's *slack* is a ninth of its shingles less its private ones, and a pair
+of negative slack in sum cannot be similar.  That is exact, and splits large
+groups of copies that are edited too much to be near each other without
+looking at their pairs.
+
+Everyone is aligned with its bucket's leader, the text with most slack; that
+settles nearly all.  Texts that then still share a bucket with the leader
+but not its class may be linked to another member.  Two members differ at
+least by the difference of what they lost of the leader's shingles, beyond
+their private ones; who has no partner left by that exact bound (looked up
+in the most slack that members of each loss have) is settled too.  The few
+others are aligned with the bucket's other classes, with no cap, so that no
+link between classes is lost.  Classes are the connected components of the
+links.
 
 A pair is linked if an alignment of the labelled shingles, within a band
 around the diagonal that any pair of sufficient similarity keeps to, matches
@@ -28,7 +40,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,32 +105,31 @@ def sketch(marks: np.ndarray) -> np.ndarray:
     return x
 
 
-def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Distinct shingles that the best alignment of two word sequences matches, and their union.
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Distinct shingles that the best alignment of two word sequences matches, their
+    union, and how many distinct shingles both have anywhere.
 
     A match joins equal labelled shingles; matches may not cross (their
     longest chain is the alignment) and lie within a band around the
     diagonal.  A similar pair leaves under a ninth of its shingles unmatched,
     so positions drift by less than the band's quarter of the longer text.
-    Returns no matches as soon as the pair cannot be similar.
+    Matches are not counted where the pair cannot be similar.
     """
     ha, hb = shingles(a), shingles(b)
-    da, db = len(np.unique(ha)), len(np.unique(hb))
-    more, less = SIMILAR
-    least = -(-more * (da + db) // (more + less))
-    if min(da, db) < least:
-        return 0, da + db
+    sa, sb = np.unique(ha), np.unique(hb)
+    both = len(np.intersect1d(sa, sb, assume_unique=True))
+    total = len(sa) + len(sb)
+    if (SIMILAR[0] + SIMILAR[1]) * both < SIMILAR[0] * total:
+        return 0, total, both
     _, ia, ib = np.intersect1d(labelled(ha), labelled(hb), assume_unique=True, return_indices=True)
     near = np.abs(ia - ib) <= max(64, max(len(ha), len(hb)) // 4)
     ia, ib = ia[near], ib[near]
-    if len(ia) < least:
-        return 0, da + db
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order]
     if (np.diff(ib) < 0).any():
         ia = ia[chain(ib)]
-    c = len(np.unique(ha[ia]))
-    return c, da + db - c
+    matched = len(np.unique(ha[ia]))
+    return matched, total - matched, both
 
 
 def chain(values: np.ndarray) -> np.ndarray:
@@ -142,9 +153,10 @@ def chain(values: np.ndarray) -> np.ndarray:
     return np.array(out[::-1], int)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    matched, union = aligned(a, b)
-    return matched > 0 and SIMILAR[1] * matched >= SIMILAR[0] * union
+def compare(a: np.ndarray, b: np.ndarray) -> tuple[bool, int]:
+    """Whether the pair is similar, and the shingles both have."""
+    matched, union, both = aligned(a, b)
+    return matched > 0 and SIMILAR[1] * matched >= SIMILAR[0] * union, both
 
 
 PREPARED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("words", T.BinaryType()),
@@ -199,53 +211,94 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose word sequences (no, words) are similar.
+    """The pairs (a, b) with ``similar`` and ``both``, from the texts' words (no, words).
 
     A text that is in many pairs makes its key hot; both joins are plain
     sort-merge joins of fresh shuffles, whose hot partitions AQE splits.
     """
-    @F.pandas_udf(T.BooleanType())
-    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("similar boolean, both bigint")
+    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for left, right in batches:
-            yield pd.Series([similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
-                             for x, y in zip(left, right)], dtype=bool)
+            yield pd.DataFrame([compare(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
+                                for x, y in zip(left, right)], columns=["similar", "both"])
 
     a = blobs.select(F.col("no").alias("a"), F.col("words").alias("left"))
     b = blobs.select(F.col("no").alias("b"), F.col("words").alias("right"))
-    return written(pairs.join(a, "a").join(b, "b").filter(check("left", "right")).select("a", "b"), "links")
+    checked = pairs.join(a, "a").join(b, "b").select("a", "b", check("left", "right").alias("v"))
+    return written(checked.select("a", "b", "v.similar", "v.both"), "verified")
+
+
+def slacks(words: DataFrame) -> DataFrame:
+    """(no, size, slack) of texts (no, words): distinct shingles, and nine times the slack.
+
+    Private shingles are those that no other text of the table has; any pair
+    that is looked at lies within the table.
+    """
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for blobs in batches:
+            yield pd.Series([np.unique(shingles(np.frombuffer(x, np.uint32))).view(np.int64) for x in blobs], dtype=object)
+
+    own = words.select("no", distinct("words").alias("shingles"))
+    counted = own.select("no", F.explode("shingles").alias("shingle")).groupBy("shingle") \
+        .agg(F.count("*").alias("n"), F.min("no").alias("no"))
+    private = counted.filter("n = 1").groupBy("no").agg(F.count("*").alias("private"))
+    size = own.select("no", F.size("shingles").cast("bigint").alias("size"))
+    return size.join(private, "no", "left").select(
+        "no", "size", (F.col("size") - 9 * F.coalesce("private", F.lit(0))).alias("slack"))
 
 
 def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
     """All links (a, b) needed for the classes of distinct texts (no, bands); ``words``: (no, words)."""
     buckets = texts.filter(F.col("bands").isNotNull()).select(
         "no", F.posexplode("bands").alias("band", "hash")).select("no", F.xxhash64("band", "hash").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("no").alias("leader"), F.max("no").alias("last")) \
-        .filter("leader < last").drop("last")
+    shared = buckets.groupBy("bucket").agg(F.min("no").alias("low"), F.max("no").alias("high")) \
+        .filter("low < high").select("bucket")
     members = written(hand_back(buckets, shared, "bucket"), "bucket-members")
     blobs = written(words.join(members.select("no").distinct(), "no", "left_semi"), "candidate-words")
-
-    led = written(members.filter("no <> leader").select(F.col("leader").alias("a"), F.col("no").alias("b")).distinct(),
-                  "leader-pairs")
-    links = verify(led, blobs)
-
-    # Buckets in which more than one class is left: align across the classes.
-    labels = components(links)
-    classed = members.join(labels, "no", "left").select("no", "bucket", F.coalesce("label", "no").alias("label"))
-    classed = written(classed, "classed-members")
-    mixed = classed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")) \
-        .filter("low < high").select("bucket", "low")
-    # a text whose class leads the bucket's classes only meets the texts of later ones
-    open_ = written(hand_back(classed, mixed, "bucket"), "open-members")
-    sizes = blobs.select("no", F.octet_length("words").alias("size"))
-    open_ = open_.join(sizes, "no")
-    x = open_.select("bucket", F.col("no").alias("a"), F.col("label").alias("class_a"), F.col("size").alias("size_a"))
-    y = open_.select("bucket", F.col("no").alias("b"), F.col("label").alias("class_b"), F.col("size").alias("size_b"))
-    across = x.join(y, "bucket").filter(
-        (F.col("class_a") < F.col("class_b"))
-        & (F.greatest("size_a", "size_b") * SIMILAR[0] <= (F.least("size_a", "size_b") + 4 * SHINGLE) * SIMILAR[1]))
-    tried = led.union(led.select("b", "a"))
-    across = written(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "class-pairs")
-    return links.union(verify(across, blobs))
+    known = written(slacks(blobs), "slacks")
+
+    members = written(members.join(known, "no"), "known-members")
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("slack", "no", "size")).alias("lead"), F.count("*").alias("n")) \
+        .filter("n > 1").select("bucket", "lead")
+    # who cannot be similar to the text of most slack cannot be similar to anyone in the bucket
+    led = written(hand_back(members, leaders, "bucket").filter(F.col("slack") + F.col("lead.slack") >= 0), "led-members")
+    pairs = led.filter((F.col("no") != F.col("lead.no")) & _of_a_size(F.col("size"), F.col("lead.size"))) \
+        .select(F.least("no", "lead.no").alias("a"), F.greatest("no", "lead.no").alias("b")).distinct()
+    verified = verify(written(pairs, "leader-pairs"), blobs)
+    links = verified.filter("similar").select("a", "b")
+
+    # The same outcome seen from either side, to hand it back to the buckets' members.
+    seen = verified.select(F.col("a").alias("no"), F.col("b").alias("lead_no"), "both") \
+        .union(verified.select(F.col("b").alias("no"), F.col("a").alias("lead_no"), "both"))
+    labels = written(components(links), "leader-classes")
+    of_leader = labels.select(F.col("no").alias("lead_no"), F.col("label").alias("lead_label"))
+    classed = led.select("bucket", "no", "size", "slack", F.col("lead.no").alias("lead_no"), F.col("lead.size").alias("lead_size")) \
+        .join(labels, "no", "left").join(of_leader, "lead_no", "left").join(seen, ["no", "lead_no"], "left")
+    # shingles of the leader that a member has not; unknown (null) where sizes are too far apart
+    loss = F.when(F.col("no") == F.col("lead_no"), F.lit(0)).otherwise(F.col("lead_size") - F.col("both")).cast("bigint")
+    classed = written(classed.select(
+        "bucket", "no", "size", "slack", loss.alias("loss"), F.coalesce("label", "no").alias("label"),
+        (F.coalesce("label", "no") != F.coalesce("lead_label", "lead_no")).alias("outside")), "classed-members")
+
+    def of(*names: str) -> list[Column]:
+        return [F.col(c).alias(f"{c}_x") for c in names]
+
+    room = F.col("slack") + F.col("slack_x") - 9 * F.coalesce(F.abs(F.col("loss") - F.col("loss_x")), F.lit(0))
+    profile = classed.groupBy("bucket", "loss").agg(F.max("slack").alias("slack"))
+    outside = classed.filter("outside").select("bucket", *of("no", "size", "slack", "loss", "label"))
+    hopeful = outside.join(profile, "bucket").filter(room >= 0).select("bucket", "no_x").distinct()
+    outside = outside.join(written(hopeful, "open-members"), ["bucket", "no_x"], "left_semi")
+    across = outside.join(classed, "bucket").filter(
+        (F.col("label") != F.col("label_x")) & (room >= 0) & _of_a_size(F.col("size"), F.col("size_x"))) \
+        .select(F.least("no", "no_x").alias("a"), F.greatest("no", "no_x").alias("b")).distinct()
+    across = written(across.join(verified, ["a", "b"], "left_anti"), "class-pairs")
+    return links.union(verify(across, blobs).filter("similar").select("a", "b"))
+
+
+def _of_a_size(x: Column, y: Column) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

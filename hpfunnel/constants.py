@@ -132,6 +132,27 @@ BAND_HIGH = (0.75, "Potencial alto")
 BAND_MID_HIGH = (0.50, "Potencial medio-alto")
 BAND_MID = (0.30, "Potencial intermedio")
 BAND_LOW = "Potencial bajo"
+BAND_MESSAGES = {
+    "Potencial alto": "El escenario aparece en el grupo de mayor potencial relativo. Conviene priorizar "
+                      "el seguimiento, validando disponibilidad, precio y condiciones comerciales.",
+    "Potencial medio-alto": "El escenario supera el punto de decisión, pero requiere revisión comercial antes de "
+                            "asignar prioridad alta.",
+    "Potencial intermedio": "El potencial estimado es intermedio. Puede mejorar con una propuesta mejor calificada "
+                            "o mayor información sobre el cliente y el servicio.",
+    "Potencial bajo": "El escenario se parece más a operaciones de facturación baja o media dentro de su moneda. "
+                      "No significa que deba descartarse; indica menor prioridad relativa según el historial.",
+}
+DETAIL_VARIABLES = [
+    "Cliente",
+    "Servicio",
+    "Área",
+    "Importe simulado",
+    "Participantes simulados",
+    "Duración simulada",
+    "Probabilidad de alta relativa",
+    "Facturación histórica del caso",
+]
+NO_BILLING = "Sin facturación registrada"
 DECISION_THRESHOLD = 0.50
 DEFAULT_DURATION = 15.0
 SHORTEN_LENGTH = 52
@@ -141,6 +162,8 @@ ELLIPSIS = "…"
 MIN_FREQUENCY_CLASS = 10
 MIN_FREQUENCY_REG = {PEN: 10, USD: 5}
 RECENT_CASES = 2500
+# changes in percent (amount, participants, duration) of the registered scenario queries
+SCENARIO_POINTS = [(0, 0, 0), (10, 20, 0), (-20, 0, 50), (50, 100, -50)]
 AGED_DAYS = 90
 
 # --- fixed values: source columns of the proposal-line table ---------------

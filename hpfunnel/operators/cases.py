@@ -1,23 +1,26 @@
-"""Case lookup and per-case summaries over the (bounded) scenario case table."""
+"""Case lookup and per-case summaries over the eligible cases."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.formatting import case_label, format_currency
 
 
-def case_lookup(cases: DataFrame, case_id: Column) -> DataFrame:
-    """the case with ``case_id``; unknown or null id -> the latest case.
+def case_lookup(cases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """for every id in ``wanted`` (column ``wanted``) its case; unknown
+    or null ids get the latest case.
 
-    The case table is capped by construction (latest N cases), so ordering
-    it for a one-row answer is a bounded TakeOrdered.
+    The ids meet the cases in one join on the id; the latest case is one
+    TakeOrdered row, found once and added where nothing matched.
     """
-    match = F.coalesce(F.col("case_id") == case_id.cast("string"), F.lit(False))
-    return cases.withColumn("_m", match.cast("int")) \
-        .orderBy(F.desc("_m"), F.desc("Fecha"), F.asc("case_id")).limit(1).drop("_m")
+    hit = wanted.join(cases, wanted["wanted"] == cases["case_id"], "left")
+    latest = cases.orderBy(F.desc("Fecha"), F.asc("case_id")).limit(1)
+    missing = hit.where(F.col("case_id").isNull()).select("wanted", F.lit(1).alias("_one"))
+    filled = missing.join(latest.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return hit.where(F.col("case_id").isNotNull()).unionByName(filled)
 
 
 def case_labels(cases: DataFrame) -> DataFrame:

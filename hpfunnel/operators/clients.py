@@ -197,12 +197,20 @@ def dashboard_table(lines: DataFrame, segmented: DataFrame) -> DataFrame:
         .select("case_id", *K.DASHBOARD_COLUMNS, "segmento_negocio")
 
 
-def scenario_cases(dashboard: DataFrame, limit: int | None = K.RECENT_CASES) -> DataFrame:
-    """Eligible cases, latest first (tie-break on the case id)."""
-    ok = dashboard.where(F.col("ImporteB").isNotNull() & F.col("MON").isin(*K.VALID_CURRENCIES)
-                         & F.col("Fecha").isNotNull())
-    ordered = ok.orderBy(F.desc("Fecha"), F.asc("case_id"))
-    return ordered.limit(limit) if limit else ordered
+def eligible_cases(lines: DataFrame) -> DataFrame:
+    """lines that can be simulated (amount, valid currency, date)."""
+    return lines.where(F.col("ImporteB").isNotNull() & F.col("MON").isin(*K.VALID_CURRENCIES)
+                       & F.col("Fecha").isNotNull())
+
+
+def recent_cases(lines: DataFrame, segmented: DataFrame, limit: int = K.RECENT_CASES) -> DataFrame:
+    """The latest eligible cases (ties by case id) with their segment.
+
+    The limit is the feature here, and comes before the join: the client
+    side is unique and the join is left, so only ``limit`` rows meet it.
+    """
+    latest = eligible_cases(lines).orderBy(F.desc("Fecha"), F.asc("case_id")).limit(limit)
+    return dashboard_table(latest, segmented)
 
 
 def client_billing_pivot(lines: DataFrame) -> DataFrame:

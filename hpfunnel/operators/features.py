@@ -2,13 +2,13 @@
 
 numeric  : exact training medians fill the gaps (SQLTransformer, so the
            fitted values travel inside the saved pipeline)
-category : StringIndexer (frequency order, unseen kept) -> cap every index
-           past the last frequent category into one "infrequent" slot ->
-           OneHotEncoder (sparse, all slots, invalid kept)
+category : rare values are replaced by null in a distributed count and join,
+           then StringIndexer (frequency order; anything else, rare or
+           unseen, shares the last slot) -> OneHotEncoder (sparse, all slots)
 assemble : VectorAssembler
 
-Only model-sized values reach the driver: four medians and one count of
-frequent categories per feature.
+Only model-sized values reach the driver: four medians and the labels that
+are frequent.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ from .quantiles import exact_quantiles_many
 FEATURES = "features"
 
 
-def _frequent_counts(train: DataFrame, categorical: Sequence[str], min_frequency: int) -> dict[str, int]:
-    long = train.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("v"), F.col(c).cast("string").alias("c")) for c in categorical
-    ])).alias("kv")).select("kv.*")
-    freq = long.groupBy("v", "c").count().where(F.col("count") >= min_frequency) \
-        .groupBy("v").count().collect()
-    got = {r["v"]: int(r["count"]) for r in freq}
-    return {c: got.get(c, 0) for c in categorical}
+def _without_rare(train: DataFrame, columns: Sequence[str], min_frequency: int) -> DataFrame:
+    """The columns alone, values seen fewer than ``min_frequency`` times as null."""
+    out = train.select(*columns)
+    for c in columns:
+        frequent = out.groupBy(F.col(c).alias("_v")).count().where(F.col("count") >= min_frequency)
+        out = out.join(frequent, out[c] == frequent["_v"], "left").drop(c, "count").withColumnRenamed("_v", c)
+    return out
 
 
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -45,18 +44,15 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequ
     ) + " FROM __THIS__")
     cast_cats = SQLTransformer(statement="SELECT *, " + ", ".join(
         f"coalesce(CAST(`{c}` AS STRING), 'No especificado') AS `str_{c}`" for c in categorical) + " FROM __THIS__")
-    indexer = StringIndexer(inputCols=[f"str_{c}" for c in categorical],
-                            outputCols=[f"idx_{c}" for c in categorical],
-                            stringOrderType="frequencyDesc", handleInvalid="keep")
-    frequent = _frequent_counts(train, categorical, min_frequency)
-    cap = SQLTransformer(statement="SELECT *, " + ", ".join(
-        f"CAST(least(`idx_{c}`, {float(frequent[c])!r}) AS DOUBLE) AS `cat_{c}`" for c in categorical
-    ) + " FROM __THIS__")
-    ohe = OneHotEncoder(inputCols=[f"cat_{c}" for c in categorical], outputCols=[f"ohe_{c}" for c in categorical],
+    texts = [f"str_{c}" for c in categorical]
+    indexer = StringIndexer(inputCols=texts, outputCols=[f"idx_{c}" for c in categorical],
+                            stringOrderType="frequencyDesc", handleInvalid="keep") \
+        .fit(_without_rare(cast_cats.transform(train), texts, min_frequency))
+    ohe = OneHotEncoder(inputCols=[f"idx_{c}" for c in categorical], outputCols=[f"ohe_{c}" for c in categorical],
                         dropLast=False, handleInvalid="keep")
     assembler = VectorAssembler(inputCols=[f"num_{c}" for c in numeric] + [f"ohe_{c}" for c in categorical],
                                 outputCol=FEATURES)
-    return Pipeline(stages=[impute, cast_cats, indexer, cap, ohe, assembler]).fit(train)
+    return Pipeline(stages=[impute, cast_cats, indexer, ohe, assembler]).fit(train)
 
 
 def slot_sources(assembled: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[str]:

@@ -3,13 +3,14 @@ regressors, scoring, importances and per-tree prediction ranges.
 
 Training data is written once to the shared checkpoint folder before the
 forest iterates over it; tree induction itself is Spark ML's data-parallel
-level-wise algorithm.  The P10/P90 range across trees joins each row's leaf
-indices (``leafCol``) with the saved forest's leaf table and takes an exact
-per-row percentile over the ``numTrees`` values.
+level-wise algorithm.  The P10/P90 range across trees looks each row's leaf
+indices (``leafCol``) up in the forest's leaf values inside the row; nothing
+is exploded, joined or shuffled for it.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import materialize, shared_path, spread
+from ..session import dealt, materialize, shared_path
 from . import split as SP
 from .features import FEATURES, fit_preprocessor, slot_sources
 
@@ -56,7 +57,8 @@ class Regressor:
     currency: str
     preprocessor: PipelineModel
     forest: RandomForestRegressionModel
-    leaves: DataFrame
+    leaves: DataFrame            # treeID, leaf, pred
+    values: str                  # the same as JSON, an array a tree
     test: DataFrame = field(repr=False, default=None)
 
 
@@ -72,8 +74,8 @@ def train_classifier(lines: DataFrame, params: ForestParams | None = None) -> Cl
     thresholds = materialize(SP.train_thresholds(split))
     labeled = SP.label_targets(split, thresholds)
     weights = SP.class_weights(labeled)
-    train = spread(materialize(labeled.where(~F.col("is_test")).join(
-        F.broadcast(weights.select("target", "peso")), "target")))
+    train = materialize(dealt(labeled.where(~F.col("is_test")).join(
+        F.broadcast(weights.select("target", "peso")), "target"), "case_id"))
     pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_CLASS_FEATURES, K.MIN_FREQUENCY_CLASS)
     rf = RandomForestClassifier(
         featuresCol=FEATURES, labelCol="target", weightCol="peso", numTrees=params.num_trees,
@@ -137,21 +139,31 @@ def leaf_table(spark: SparkSession, forest) -> DataFrame:
                              .cast("int")).drop("_nid")
 
 
-def tree_ranges(scored: DataFrame, leaves: DataFrame, key: str = "case_id",
-                probs=(0.1, 0.9)) -> DataFrame:
-    """Per-row quantiles of the individual tree predictions.
+def leaf_values(leaves: DataFrame) -> str:
+    """The leaf predictions as JSON, an array a tree; as large as the model itself,
+    which the driver holds anyway."""
+    per_tree = leaves.groupBy("treeID").agg(F.array_sort(F.collect_list(F.struct("leaf", "pred"))).alias("v"))
+    rows = per_tree.select("treeID", F.transform("v", lambda x: x["pred"]).alias("v")).orderBy("treeID").collect()
+    return json.dumps([r["v"] for r in rows])
 
-    Each row yields ``numTrees`` (tree, leaf) pairs that are joined with the
-    forest's leaf table -- model-sized (at most ``numTrees`` times the
-    leaves of one tree), so AQE broadcasts it when small -- and reduced per
-    row with Spark's exact percentile over at most ``numTrees`` values.
-    Returns ``key, rango_p10, rango_p90``.
+
+def tree_ranges(scored: DataFrame, values: str, probs=(0.1, 0.9)) -> DataFrame:
+    """Add ``rango_p10`` and ``rango_p90``, quantiles of the
+    individual tree predictions of every row (linear interpolation).
+
+    ``values`` (from ``leaf_values``) becomes a constant of the plan, in
+    which every row looks its leaves up.
     """
-    exploded = scored.select(key, F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf")) \
-        .withColumn("leaf", F.col("leaf").cast("int"))
-    q = exploded.join(leaves, ["treeID", "leaf"]).groupBy(key).agg(
-        F.percentile("pred", list(probs)).alias("_q"))
-    return q.select(key, F.col("_q")[0].alias("rango_p10"), F.col("_q")[1].alias("rango_p90"))
+    table = F.from_json(F.lit(values), "array<array<double>>")
+    hits = F.transform(vector_to_array("leaves"), lambda leaf, tree: F.get(F.get(table, tree), leaf.cast("int")))
+    out = scored.withColumn("_trees", F.array_sort(hits))
+
+    def quantile(p: float):
+        h = (F.size("_trees") - 1) * F.lit(p)
+        low = F.get("_trees", F.floor(h).cast("int"))
+        return low + (F.get("_trees", F.ceil(h).cast("int")) - low) * (h - F.floor(h))
+
+    return out.withColumns({"rango_p10": quantile(probs[0]), "rango_p90": quantile(probs[1])}).drop("_trees")
 
 
 def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> dict[str, Regressor]:
@@ -163,8 +175,8 @@ def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> di
     out = {}
     for cur in K.VALID_CURRENCIES:  # group order of the reference (sorted currency codes)
         part = split.where(F.col("MON") == cur)
-        train = spread(materialize(part.where(~F.col("is_test")).withColumn(
-            "y", F.col("impFacturado").cast("double"))))
+        train = materialize(dealt(part.where(~F.col("is_test")).withColumn(
+            "y", F.col("impFacturado").cast("double")), "case_id"))
         pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_REG_FEATURES,
                                K.MIN_FREQUENCY_REG[cur])
         rf = RandomForestRegressor(
@@ -174,16 +186,32 @@ def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> di
             bootstrap=True, seed=params.seed, leafCol="leaves",
             maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
         forest = rf.fit(pre.transform(train))
-        out[cur] = Regressor(cur, pre, forest, materialize(leaf_table(spark, forest)),
-                             part.where(F.col("is_test")))
+        leaves = leaf_table(spark, forest)
+        out[cur] = Regressor(cur, pre, forest, leaves, leaf_values(leaves), part.where(F.col("is_test")))
     return out
 
 
-def regress(model: Regressor, df: DataFrame, key: str = "case_id") -> DataFrame:
+def regress(model: Regressor, df: DataFrame) -> DataFrame:
     """Estimate plus P10/P90 tree range for every row of ``df``."""
     scored = model.forest.transform(model.preprocessor.transform(df))
-    ranges = tree_ranges(scored, model.leaves, key)
-    return scored.drop("leaves").join(ranges, key)
+    return tree_ranges(scored, model.values).drop("leaves")
+
+
+def score_scenarios(classifier: Classifier, regressors: dict[str, Regressor], grid: DataFrame) -> DataFrame:
+    """Probability, estimate and range of every scenario; its columns are carried
+    through one transform of each model, and each currency takes its own regressor."""
+    columns = grid.columns
+    frames = []
+    for currency, regressor in regressors.items():
+        part = classify(classifier, grid.where(F.col("MON") == currency)) \
+            .select(*columns, F.col("probabilidad_alta").alias("probability"))
+        frames.append(regress(regressor, part).select(
+            *columns, "probability", F.col("prediction").alias("estimate"),
+            F.col("rango_p10").alias("range_low"), F.col("rango_p90").alias("range_high")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def regression_predictions(models: dict[str, Regressor]) -> DataFrame:

@@ -3,23 +3,21 @@
 Spark's exact ``percentile``/``median`` keep one value->count map per group
 in a single aggregation buffer.  That is fine when the value domain is small
 (days, years, counts) but a group holding a third of a 100 TB table with
-continuous money values would have to fit in one task.  This operator gets
-the exact answer in two distributed passes instead:
+continuous money values would have to fit in one task.  This operator works
+on the distinct values of each group and their counts instead:
 
 1. ``percentile_approx`` per group gives, for each wanted probability ``p``,
-   a bracket ``[lo, hi]`` at ``p -/+ margin``; its rank error is bounded by
-   ``n / accuracy``, so the true order statistics around ``(n-1)*p`` lie in
-   the bracket.
-2. One aggregation counts the values below ``lo`` and collects the distinct
-   values inside the bracket with their multiplicities (a few ``n/accuracy``
-   rows per group); a running count over that small table locates the two
-   order statistics exactly.
-
-Both passes aggregate map-side first, the join to the bracket table is
-broadcast by AQE when the number of groups is small and skew-split when a
-key is hot.  The interpolation is ``lo + (hi - lo) * frac`` on the two
-neighbouring order statistics, the definition used by numpy, pandas and
-SQL ``quantile_cont``.
+   a bracket ``[lo, hi]`` around the true order statistics (its rank error is
+   bounded by ``n / accuracy``; a group of a few values is its own bracket).
+2. One aggregation counts what lies below ``lo`` and collects the distinct
+   values inside the bracket (a few ``n/accuracy`` rows per group); a running
+   count over that small table locates the two order statistics exactly.
+
+A hot group's values are dealt by a salt that depends on the value, and its
+bracket goes to every salt, so the join of the two does not gather a group
+in one task.  A bracket that missed its order statistic fails the query.
+The interpolation is ``lo + (hi - lo) * frac`` on the two neighbouring order
+statistics, the definition used by numpy, pandas and SQL ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -30,6 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SALTS = 16
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], names: Sequence[str] | None = None,
                     accuracy: int = 100_000) -> DataFrame:
@@ -39,9 +40,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     callers left-join the result where such groups must stay.
     """
     keys = list(keys)
-    if not keys:  # global quantile: one constant group, no cartesian join
-        out = exact_quantiles(df.withColumn("_g", F.lit(0)), ["_g"], value, probs, names, accuracy)
-        return out.drop("_g")
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     margin = 4.0 / accuracy
@@ -67,19 +65,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
             for i, p in enumerate(probs)])).alias("_b")
     ).select(*keys, "_n", "_b.*")
 
-    joined = base.join(bounds.select(*keys, "_pi", "_lo", "_hi"), keys)
+    # the salts are join keys too, so even a quantile without keys is an equi-join
+    salted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c1")) \
+        .withColumn("_s", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    brackets = bounds.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    cand = joined.where(inside | (F.col("_v") < F.col("_lo"))) \
-        .select(*keys, "_pi", F.when(inside, F.col("_v")).alias("_c")) \
-        .groupBy(*keys, "_pi", "_c").agg(F.count(F.lit(1)).alias("_cnt"))
-
-    below = cand.where(F.col("_c").isNull()).select(*keys, "_pi", F.col("_cnt").alias("_below"))
-    vals = cand.where(F.col("_c").isNotNull())
-    w = Window.partitionBy(*keys, "_pi").orderBy("_c") \
+    # what lies below the bracket is one row (value null); _n, _p ride along
+    cand = salted.join(brackets, [*keys, "_s"]).where(F.col("_v") <= F.col("_hi")) \
+        .select(*keys, "_pi", "_p", "_n", "_c1", F.when(inside, F.col("_v")).alias("_c")) \
+        .groupBy(*keys, "_pi", "_p", "_n", "_c").agg(F.sum("_c1").alias("_cnt"))
+    w = Window.partitionBy(*keys, "_pi").orderBy(F.asc_nulls_first("_c")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = vals.join(below, keys + ["_pi"], "left") \
-        .join(bounds.select(*keys, "_pi", "_p", "_n"), keys + ["_pi"]) \
-        .withColumn("_end", F.coalesce(F.col("_below"), F.lit(0)) + F.sum("_cnt").over(w)) \
+    ranked = cand.withColumn("_end", F.sum("_cnt").over(w)) \
         .withColumn("_start", F.col("_end") - F.col("_cnt")) \
         .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p")) \
         .withColumn("_i", F.floor("_h")) \
@@ -91,7 +88,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     picked = ranked.groupBy(*keys, "_pi").agg(
         at("_i").alias("_a"), at("_j").alias("_b2"),
         F.max(F.col("_h") - F.col("_i")).alias("_f"))
-    picked = picked.withColumn("_q", F.col("_a") + (F.col("_b2") - F.col("_a")) * F.col("_f"))
+    picked = picked.withColumn("_q", F.when(
+        F.col("_a").isNull() | F.col("_b2").isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+        .otherwise(F.col("_a") + (F.col("_b2") - F.col("_a")) * F.col("_f")))
     return picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(name)
         for i, name in enumerate(names)])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions.formatting import format_currency
 
 
@@ -46,4 +45,3 @@ def classification_record(metrics: DataFrame, thresholds: DataFrame, confusion:
                             "Matriz_confusion_json": F.to_json("Matriz_confusion")})
 
 
-__all__ = ["top_clients_slice", "importance_for", "top_importances", "classification_record", "K"]

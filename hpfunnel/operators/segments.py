@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import materialize, spread
+from ..session import dealt, materialize
 from .clients import label_segments, scaled_features
 
 X = "x"
@@ -75,7 +75,7 @@ def build_segments(client_table: DataFrame, restarts: int = K.KMEANS_RESTARTS,
     ties) -> labels -> business segment (P22) -> 2-D PCA (M12)."""
     spark = client_table.sparkSession
     scaled = scaled_features(client_table)
-    data = spread(materialize(_vectorized(scaled)))
+    data = _vectorized(materialize(dealt(scaled, "NomCliente")))
     n = data.count()
     results = k_sweep(data, n, restarts, seed)
     scores = spark.createDataFrame([(k, s) for k, _, s in results], "k int, silhouette_score double")

@@ -66,19 +66,3 @@ def annual_trend(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("Registros"),
         (F.avg(F.col("propuesta_convertida").cast("int")) * F.lit(100.0)).alias("Conversion_pct"),
     ).orderBy("ANIO")
-
-
-def filtered_views(df: DataFrame, year_range: Sequence[int], area: str | None = None) -> dict[str, DataFrame]:
-    """R2: the four panels of one filter selection over one filtered plan."""
-    from .funnel import funnel_stages, top_reasons
-    f = filter_dashboard(df, year_range, area)
-    return {
-        "summary": summary_metrics(f),
-        "funnel": funnel_stages(f),
-        "reasons": top_reasons(f, 8),
-        "trend": annual_trend(f),
-    }
-
-
-__all__ = ["year_bounds", "area_list", "filter_dashboard", "summary_metrics", "annual_trend",
-           "filtered_views", "_pct"]

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions.text import categorize_reason, normalize_text
 from ..operators import funnel
-from ..session import materialize, spread
+from ..session import materialize, shared_path, source_version
+from ..sources.adapter import TABLES
 from ..sources.proposals import load_lines
 from .oracle import _WS, RAW_SQL, clean_sql, norm_sql, q, with_lines
 
@@ -315,18 +316,29 @@ seg AS (
   FROM cf JOIN cl USING (NomCliente))"""
 
 
+_BUILT: dict = {}
+
+
+def _cached(spark, sf_dir, kind, build):
+    """What several queries start from, built once per session and version of its sources."""
+    version = "".join(source_version(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES)
+    key = (spark.sparkContext.applicationId, version, kind)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _clients_ready(spark, sf_dir):
     from ..operators import clients as C
     lines = load_lines(spark, sf_dir)
-    feats = materialize(C.client_features(lines))
-    return lines, feats
+    return lines, _cached(spark, sf_dir, "clients", lambda: materialize(C.client_features(lines)))
 
 
 def _rule_segmented(spark, sf_dir):
     from ..operators import clients as C
     lines, feats = _clients_ready(spark, sf_dir)
-    seg = materialize(C.label_segments(feats, C.rule_clusters(C.scaled_features(feats))))
-    return lines, seg
+    return lines, _cached(spark, sf_dir, "segments", lambda: materialize(
+        C.label_segments(feats, C.rule_clusters(C.scaled_features(feats)))))
 
 
 @register("client_billing_pivot", with_lines(f""", {_M_SQL}
@@ -461,35 +473,35 @@ dash AS (
   FROM lines l LEFT JOIN seg ON l.NomCliente = seg.NomCliente),
 cases AS (
   SELECT * FROM dash
-  WHERE ImporteB IS NOT NULL AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND Fecha IS NOT NULL
-  ORDER BY Fecha DESC, case_id LIMIT {K.RECENT_CASES})"""
+  WHERE ImporteB IS NOT NULL AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND Fecha IS NOT NULL)"""
 
 _CASE_COLS = ["case_id", *K.DASHBOARD_COLUMNS, "segmento_negocio"]
 
 
-def _dash_and_cases(spark, sf_dir):
+def _cases(spark, sf_dir):
+    """All eligible cases with their segment."""
     from ..operators import clients as C
     lines, seg = _rule_segmented(spark, sf_dir)
-    dash = C.dashboard_table(lines, seg)
-    return dash, C.scenario_cases(dash)
+    return C.dashboard_table(C.eligible_cases(lines), seg)
 
 
 @register("dashboard_table", with_lines(f""", {_CF_SQL} {_DASH_SQL}
 SELECT {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM dash"""))
 def q_dashboard_table(spark, sf_dir):
-    dash, _ = _dash_and_cases(spark, sf_dir)
-    return finalize(dash)
+    from ..operators import clients as C
+    return finalize(C.dashboard_table(*_rule_segmented(spark, sf_dir)))
 
 
 @register("recent_cases", with_lines(f""", {_CF_SQL} {_DASH_SQL}
-SELECT {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM cases"""))
+SELECT {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM (SELECT * FROM cases ORDER BY Fecha DESC, case_id LIMIT {K.RECENT_CASES})"""))
 def q_recent_cases(spark, sf_dir):
-    _, cases = _dash_and_cases(spark, sf_dir)
-    return finalize(cases)
+    from ..operators import clients as C
+    return finalize(C.recent_cases(*_rule_segmented(spark, sf_dir)))
 
 
 @register("case_lookup", with_lines(f""", {_CF_SQL} {_DASH_SQL},
-probe AS (SELECT 'no-such-case' AS wanted UNION ALL SELECT max(case_id) FROM cases),
+probe AS (SELECT 'no-such-case' AS wanted UNION ALL SELECT NULL UNION ALL SELECT max(case_id) FROM cases
+          UNION ALL SELECT min(case_id) FROM cases),
 pick AS (
   SELECT p.wanted, c.*, row_number() OVER (PARTITION BY p.wanted
            ORDER BY CAST(coalesce(c.case_id = p.wanted, false) AS INTEGER) DESC, c.Fecha DESC, c.case_id) AS rn
@@ -497,12 +509,18 @@ pick AS (
 SELECT wanted, {', '.join(_sql_col(c) for c in _CASE_COLS)} FROM pick WHERE rn = 1"""))
 def q_case_lookup(spark, sf_dir):
     from ..operators.cases import case_lookup
-    _, cases = _dash_and_cases(spark, sf_dir)
-    cases = materialize(cases)
-    known = cases.agg(F.max("case_id")).scalar()
-    a = case_lookup(cases, F.lit("no-such-case")).withColumn("wanted", F.lit("no-such-case"))
-    b = case_lookup(cases, known).withColumn("wanted", known)
-    return finalize(a.unionByName(b).select("wanted", *_CASE_COLS))
+    cases = _cases(spark, sf_dir)
+    wanted = cases.agg(F.array(F.max("case_id"), F.min("case_id"), F.lit("no-such-case"), F.lit(None)).alias("w")) \
+        .select(F.explode("w").alias("wanted"))
+    return finalize(case_lookup(cases, wanted).select("wanted", *_CASE_COLS))
+
+
+def _number_sql(v: str, decimals: int = 0) -> str:
+    return f"format('{{:,.{decimals}f}}', CAST({v} AS DOUBLE))"
+
+
+def _money_sql(v: str, cur: str) -> str:
+    return f"CASE WHEN {cur} = {q(K.PEN)} THEN 'S/' ELSE 'US$' END || ' ' || {_number_sql(v)}"
 
 
 def _short_sql(col: str, n: int) -> str:
@@ -519,8 +537,8 @@ SELECT case_id,
 FROM cases"""))
 def q_case_labels(spark, sf_dir):
     from ..operators.cases import case_labels
-    _, cases = _dash_and_cases(spark, sf_dir)
-    return case_labels(cases)
+    from ..operators.clients import eligible_cases
+    return case_labels(eligible_cases(load_lines(spark, sf_dir)))
 
 
 @register("case_summaries", with_lines(f""", {_CF_SQL} {_DASH_SQL}
@@ -531,83 +549,99 @@ SELECT case_id, coalesce(strftime(Fecha, '%d/%m/%Y'), {q(K.NOT_SPECIFIED)}) AS f
        {R("coalesce(nParticipante, 0.0)")} AS participantes,
        {R(f"coalesce(duracion, {K.DEFAULT_DURATION})")} AS duracion,
        {R("CAST(impFacturado AS DOUBLE)")} AS facturacion_real,
-       Desc_Estado AS estado, segmento_negocio AS segmento
+       Desc_Estado AS estado, segmento_negocio AS segmento,
+       {_money_sql("coalesce(CAST(ImporteB AS DOUBLE), 0.0)", "MON")} AS importe_texto
 FROM cases"""))
 def q_case_summaries(spark, sf_dir):
     from ..operators.cases import case_summaries
-    _, cases = _dash_and_cases(spark, sf_dir)
-    return finalize(case_summaries(cases).drop("importe_texto"))
+    return finalize(case_summaries(_cases(spark, sf_dir)))
 
 
-def _grid_sql(step_a, step_p, step_d):
-    return f"""
-, g AS (
-  SELECT c.*, a.pa, p.pp, d.pd
-  FROM cases c, unnest(range(-50, 101, {step_a})) a(pa), unnest(range(-50, 201, {step_p})) p(pp),
-       unnest(range(-50, 101, {step_d})) d(pd)),
-s AS (
-  SELECT case_id, pa AS pct_importe, pp AS pct_participantes, pd AS pct_duracion,
+_SPLIT_SQL = f""",
+base AS (SELECT * FROM lines WHERE impFacturado IS NOT NULL AND impFacturado > 0
+         AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND ImporteB IS NOT NULL),
+hs AS (SELECT *, md5(case_id || '|{K.RANDOM_STATE}') AS h FROM base),
+sp AS (SELECT *, row_number() OVER (PARTITION BY MON ORDER BY h, case_id)
+                 <= ceil({K.TEST_SIZE} * count(*) OVER (PARTITION BY MON)) AS is_test FROM hs),
+th AS (SELECT MON, median(CAST(impFacturado AS DOUBLE)) AS umbral FROM sp WHERE NOT is_test GROUP BY MON),
+lab AS (SELECT sp.*, th.umbral, CAST(CAST(impFacturado AS DOUBLE) > umbral AS INTEGER) AS target
+        FROM sp JOIN th USING (MON)),
+ev AS (SELECT case_id, MON, ANIO, DES_AO, target AS real,
+              CAST(ImporteB AS DOUBLE) / (CAST(ImporteB AS DOUBLE) + umbral) AS probabilidad_alta,
+              CAST(CAST(ImporteB AS DOUBLE) / (CAST(ImporteB AS DOUBLE) + umbral) >= 0.5 AS INTEGER) AS prediccion,
+              CAST(impFacturado AS DOUBLE) AS yreal, CAST(ImporteB AS DOUBLE) AS yhat
+       FROM lab WHERE is_test)"""
+
+
+_POINTS_SQL = ", ".join(f"({a}, {p}, {d})" for a, p, d in K.SCENARIO_POINTS)
+_ELIGIBLE_SQL = f""",
+cases AS (SELECT * FROM lines WHERE ImporteB IS NOT NULL AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND Fecha IS NOT NULL)"""
+_SCENARIO_SQL = f"""
+, s AS (
+  SELECT c.case_id, pa AS pct_importe, pp AS pct_participantes, pd AS pct_duracion, MON,
+         NomCliente, Desc_Servicio, DES_AO, CAST(impFacturado AS DOUBLE) AS billed,
          greatest(0.0, coalesce(CAST(ImporteB AS DOUBLE), 0.0) * (1.0 + pa / 100.0)) AS amount,
          greatest(0.0, coalesce(nParticipante, 0.0) * (1.0 + pp / 100.0)) AS participants,
          greatest(1.0, greatest(0.0, coalesce(CASE WHEN duracion = 0 THEN {K.DEFAULT_DURATION} ELSE duracion END
-                                           * (1.0 + pd / 100.0), 0.0))) AS duration,
-         CASE WHEN MON IN ({q(K.PEN)}, {q(K.USD)}) THEN MON ELSE {q(K.PEN)} END AS MON
-  FROM g)"""
+                                           * (1.0 + pd / 100.0), 0.0))) AS duration
+  FROM cases c, (VALUES {_POINTS_SQL}) t(pa, pp, pd)),
+f AS (
+  SELECT *, amount / (amount + 50000.0) AS p,
+         CASE WHEN amount / (amount + 50000.0) >= 0.75 THEN {q(K.BAND_HIGH[1])}
+              WHEN amount / (amount + 50000.0) >= 0.5 THEN {q(K.BAND_MID_HIGH[1])}
+              WHEN amount / (amount + 50000.0) >= 0.3 THEN {q(K.BAND_MID[1])} ELSE {q(K.BAND_LOW)} END AS level
+  FROM s)"""
+_MESSAGE_SQL = "CASE level " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in K.BAND_MESSAGES.items()) + " END"
+
+
+def _formula_scored(spark, sf_dir):
+    from ..operators import clients as C
+    from ..operators import scenarios as S
+    return S.formula_scores(S.scenario_grid(C.eligible_cases(load_lines(spark, sf_dir)), K.SCENARIO_POINTS))
 
 
-@register("scenario_grid", with_lines(f""", {_CF_SQL} {_DASH_SQL} {_grid_sql(25, 50, 50)}
-SELECT case_id, CAST(pct_importe AS INTEGER) AS pct_importe, CAST(pct_participantes AS INTEGER) AS pct_participantes,
-       CAST(pct_duracion AS INTEGER) AS pct_duracion, MON,
+@register("scenario_grid", with_lines(f"""{_ELIGIBLE_SQL} {_SCENARIO_SQL} {_SPLIT_SQL}
+SELECT f.case_id, CAST(pct_importe AS INTEGER) AS pct_importe, CAST(pct_participantes AS INTEGER) AS pct_participantes,
+       CAST(pct_duracion AS INTEGER) AS pct_duracion, f.MON,
        {R("amount")} AS ImporteB, {R("participants")} AS nParticipante, {R("duration")} AS duracion,
-       {R("amount / (amount + 50000.0)")} AS probability,
-       CAST(amount / (amount + 50000.0) >= 0.5 AS INTEGER) AS classification,
-       CASE WHEN amount / (amount + 50000.0) >= 0.75 THEN {q(K.BAND_HIGH[1])}
-            WHEN amount / (amount + 50000.0) >= 0.5 THEN {q(K.BAND_MID_HIGH[1])}
-            WHEN amount / (amount + 50000.0) >= 0.3 THEN {q(K.BAND_MID[1])} ELSE {q(K.BAND_LOW)} END AS level,
-       {R("least(100.0, greatest(0.0, amount / (amount + 50000.0) * 100.0))")} AS gauge,
-       {R("amount * 0.97")} AS estimate, {R("amount * 0.97 * 0.8")} AS range_low, {R("amount * 0.97 * 1.2")} AS range_high
-FROM s"""))
+       {R("p")} AS probability, CAST(p >= 0.5 AS INTEGER) AS classification, level, {_MESSAGE_SQL} AS message,
+       {R("least(100.0, greatest(0.0, p * 100.0))")} AS gauge,
+       {R("amount * 0.97")} AS estimate, {R("amount * 0.97 * 0.8")} AS range_low, {R("amount * 0.97 * 1.2")} AS range_high,
+       {R("th.umbral")} AS threshold
+FROM f JOIN th ON f.MON = th.MON"""))
 def q_scenario_grid(spark, sf_dir):
-    from ..operators import scenarios as S
-    _, cases = _dash_and_cases(spark, sf_dir)
-    scored = S.formula_scores(S.scenario_grid(cases))
+    _, th, _ = _labeled(spark, sf_dir)
+    scored = _formula_scored(spark, sf_dir).join(F.broadcast(th), "MON")  # a row a currency
     return finalize(scored.select(
         "case_id", "pct_importe", "pct_participantes", "pct_duracion", "MON", "ImporteB", "nParticipante",
-        "duracion", "probability", "classification", "level", "gauge", "estimate", "range_low", "range_high"))
+        "duracion", "probability", "classification", "level", "message", "gauge", "estimate", "range_low", "range_high",
+        F.col("umbral").alias("threshold")))
+
+
+_DETAIL_SQL = ", ".join(f"({q(n)}, {v})" for n, v in zip(K.DETAIL_VARIABLES, [
+    "NomCliente", "Desc_Servicio", "DES_AO", _money_sql("amount", "MON"), _number_sql("participants"),
+    _number_sql("duration"), _number_sql("p * 100.0", 1) + " || '%'",
+    f"CASE WHEN billed IS NULL THEN {q(K.NO_BILLING)} ELSE {_money_sql('billed', 'MON')} END"]))
 
 
-@register("scenario_detail")
+@register("scenario_detail", with_lines(f"""{_ELIGIBLE_SQL} {_SCENARIO_SQL}
+SELECT case_id, CAST(pct_importe AS INTEGER) AS pct_importe, CAST(pct_participantes AS INTEGER) AS pct_participantes,
+       CAST(pct_duracion AS INTEGER) AS pct_duracion, variable, valor
+FROM f, LATERAL (VALUES {_DETAIL_SQL}) d(variable, valor)"""))
 def q_scenario_detail(spark, sf_dir):
     from ..operators import scenarios as S
-    _, cases = _dash_and_cases(spark, sf_dir)
-    return S.scenario_detail(S.scenario_grid(cases))
+    return S.scenario_detail(_formula_scored(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------
 # Split, thresholds, targets, preprocessing statistics, evaluation
 # --------------------------------------------------------------------------
 
-_SPLIT_SQL = f""",
-base AS (SELECT * FROM lines WHERE impFacturado IS NOT NULL AND impFacturado > 0
-         AND MON IN ({q(K.PEN)}, {q(K.USD)}) AND ImporteB IS NOT NULL),
-hs AS (SELECT *, md5(case_id || '|{K.RANDOM_STATE}') AS h FROM base),
-sp AS (SELECT *, row_number() OVER (PARTITION BY MON ORDER BY h, case_id)
-                 <= ceil({K.TEST_SIZE} * count(*) OVER (PARTITION BY MON)) AS is_test FROM hs),
-th AS (SELECT MON, median(CAST(impFacturado AS DOUBLE)) AS umbral FROM sp WHERE NOT is_test GROUP BY MON),
-lab AS (SELECT sp.*, th.umbral, CAST(CAST(impFacturado AS DOUBLE) > umbral AS INTEGER) AS target
-        FROM sp JOIN th USING (MON)),
-ev AS (SELECT case_id, MON, ANIO, DES_AO, target AS real,
-              CAST(ImporteB AS DOUBLE) / (CAST(ImporteB AS DOUBLE) + umbral) AS probabilidad_alta,
-              CAST(CAST(ImporteB AS DOUBLE) / (CAST(ImporteB AS DOUBLE) + umbral) >= 0.5 AS INTEGER) AS prediccion,
-              CAST(impFacturado AS DOUBLE) AS yreal, CAST(ImporteB AS DOUBLE) AS yhat
-       FROM lab WHERE is_test)"""
-
-
 def _labeled(spark, sf_dir):
     from ..operators import split as SP
     base = SP.modelling_base(load_lines(spark, sf_dir))
-    sp = materialize(SP.stratified_split(base))
-    th = SP.train_thresholds(sp)
+    sp = _cached(spark, sf_dir, "split", lambda: materialize(SP.stratified_split(base)))
+    th = _cached(spark, sf_dir, "thresholds", lambda: materialize(SP.train_thresholds(sp)))
     return sp, th, SP.label_targets(sp, th)
 
 
@@ -755,16 +789,6 @@ def q_regression_points(spark, sf_dir):
 # Models (rows-only checks): forests, intervals, importances, K-Means, PCA
 # --------------------------------------------------------------------------
 
-_MODEL_CACHE: dict = {}
-
-
-def _cached(spark, sf_dir, kind, build):
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = build()
-    return _MODEL_CACHE[key]
-
-
 def _classifier(spark, sf_dir):
     from ..operators import models as M
     return _cached(spark, sf_dir, "clf", lambda: M.train_classifier(load_lines(spark, sf_dir)))
@@ -836,30 +860,52 @@ def q_rf_reg_importance(spark, sf_dir):
 @register("rf_scenarios")
 def q_rf_scenarios(spark, sf_dir):
     """R1 with the trained models: probability, band, estimate and tree range
-    for every case x coarse grid point, each currency on its own regressor."""
+    for every eligible case x scenario point, each currency on its own regressor."""
+    from ..operators import clients as C
     from ..operators import models as M
     from ..operators import scenarios as S
     clf, regs = _classifier(spark, sf_dir), _regressors(spark, sf_dir)
-    _, cases = _dash_and_cases(spark, sf_dir)
-    grid = spread(materialize(S.scenario_grid(cases, S.MODEL_GRID).withColumn(
-        "scenario_id", F.concat_ws("|", "case_id", "pct_importe", "pct_participantes", "pct_duracion"))))
-    probs = M.classify(clf, grid).select("scenario_id", "probabilidad_alta")
-    parts = []
-    for cur, r in regs.items():
-        est = M.regress(r, grid.where(F.col("MON") == cur), key="scenario_id")
-        parts.append(est.select("scenario_id", F.col("prediction").alias("estimate"),
-                                F.col("rango_p10").alias("range_low"), F.col("rango_p90").alias("range_high")))
-    ests = parts[0]
-    for p in parts[1:]:
-        ests = ests.unionByName(p)
-    scored = grid.join(probs, "scenario_id").join(ests, "scenario_id") \
-        .withColumnRenamed("probabilidad_alta", "probability")
+    cases = C.eligible_cases(load_lines(spark, sf_dir))
+    scored = M.score_scenarios(clf, regs, S.scenario_grid(cases, K.SCENARIO_POINTS))
     out = S.decorate_scores(scored).join(F.broadcast(clf.thresholds), "MON")
     return finalize(out.select("case_id", "pct_importe", "pct_participantes", "pct_duracion", "MON",
-                               "probability", "classification", "level", "gauge", "estimate",
+                               "probability", "classification", "level", "message", "gauge", "estimate",
                                "range_low", "range_high", F.col("umbral").alias("threshold")))
 
 
+# What holds for any model: who is scored, with what truth, and the ranges of the results.
+
+@register("rf_class_invariants", with_lines(_SPLIT_SQL + "\nSELECT case_id, MON, target AS real, true AS ok FROM lab WHERE is_test"))
+def q_rf_class_invariants(spark, sf_dir):
+    from ..operators import models as M
+    p = F.col("probabilidad_alta")
+    return M.classification_predictions(_classifier(spark, sf_dir)).select(
+        "case_id", "MON", "real", (p.between(0, 1) & (F.col("prediccion") == (p > 0.5).cast("int"))).alias("ok"))
+
+
+@register("rf_reg_invariants", with_lines(_SPLIT_SQL + f"\nSELECT case_id, MON, {R('yreal')} AS real, true AS ok FROM ev"))
+def q_rf_reg_invariants(spark, sf_dir):
+    from ..operators import models as M
+    ok = (F.col("rango_p10") <= F.col("rango_p90")) & (F.col("prediccion") >= 0)
+    return rounded(M.regression_predictions(_regressors(spark, sf_dir)).select("case_id", "MON", "real", ok.alias("ok")))
+
+
+@register("rf_scenario_invariants", with_lines(f"""{_ELIGIBLE_SQL} {_SCENARIO_SQL}
+SELECT case_id, CAST(pct_importe AS INTEGER) AS pct_importe, CAST(pct_participantes AS INTEGER) AS pct_participantes,
+       CAST(pct_duracion AS INTEGER) AS pct_duracion, MON, true AS ok FROM s"""))
+def q_rf_scenario_invariants(spark, sf_dir):
+    ok = F.col("probability").between(0, 1) & (F.col("estimate") >= 0) & (F.col("range_low") <= F.col("range_high"))
+    return q_rf_scenarios(spark, sf_dir).select("case_id", "pct_importe", "pct_participantes", "pct_duracion", "MON", ok.alias("ok"))
+
+
+@register("kmeans_invariants", with_lines(f""", {_CF_SQL}
+SELECT NomCliente, {', '.join(f'{R(c)} AS {c}' for c in K.CLIENT_FEATURES)}, true AS ok FROM cf"""))
+def q_kmeans_invariants(spark, sf_dir):
+    seg = _segmentation(spark, sf_dir)
+    ok = F.col("segmento_negocio").isin(K.SEGMENT_HIGH, K.SEGMENT_LOW) & F.col("cluster_validado").between(0, seg.k - 1)
+    return rounded(seg.clients.select("NomCliente", *K.CLIENT_FEATURES, ok.alias("ok")))
+
+
 @register("kmeans_k_sweep")
 def q_kmeans_k_sweep(spark, sf_dir):
     return rounded(_segmentation(spark, sf_dir).scores)
@@ -891,33 +937,43 @@ def q_segment_meta(spark, sf_dir):
     return SG.segment_meta(_segmentation(spark, sf_dir))
 
 
-@register("sink_roundtrip")
+_ROUNDTRIP_SQL = " UNION ALL ".join(
+    f"SELECT {q(f)} AS formato, CAST(count(*) AS BIGINT) AS filas, {R('sum(ImporteB)')} AS importe, "
+    f"CAST(sum(length(Desc_Servicio) + length(NomCliente)) AS BIGINT) AS letras, "
+    f"CAST(count(Fecha) + count(numHP) + count(dias_conversion_hp_oi) AS BIGINT) AS valores FROM lines"
+    for f in ("parquet", "csv", "csv_gz"))
+
+
+@register("sink_roundtrip", with_lines(f"""{_ROUNDTRIP_SQL} UNION ALL
+SELECT 'json', CAST({len(K.FUNNEL_ORDER)} AS BIGINT), NULL, CAST({sum(map(len, K.FUNNEL_ORDER))} AS BIGINT), (SELECT CAST(count(*) AS BIGINT) FROM lines)"""))
 def q_sink_roundtrip(spark, sf_dir):
     """S1-S11 round trip: write the prepared lines and the funnel in every
-    format to the shared folder, read them back, report rows per format."""
-    from ..session import shared_path
+    format to the shared folder, read them back, digest their content."""
+    from ..operators import funnel
     from ..sources import sinks
     from ..sources.proposals import read_lines
-    from ..operators import funnel
     lines = load_lines(spark, sf_dir)
     base = shared_path(spark, "sinks")
     parquet_path, csv_path, gz_path, json_path = (f"{base}/{x}" for x in ("parquet", "csv", "csv_gz", "json"))
-    sinks.write_parquet(lines.select("case_id", *K.DASHBOARD_COLUMNS), parquet_path, ["ANIO"])
-    sinks.write_csv(lines.select("case_id", *K.DASHBOARD_COLUMNS), csv_path)
-    sinks.write_csv(lines.select("case_id", *K.DASHBOARD_COLUMNS), gz_path, gzip=True)
+    table = lines.select("case_id", *K.DASHBOARD_COLUMNS)
+    sinks.write_parquet(table, parquet_path, ["ANIO"])
+    sinks.write_csv(table, csv_path)
+    sinks.write_csv(table, gz_path, gzip=True)
     sinks.write_json(funnel.funnel_stages(lines), json_path)
-    back = {
-        "parquet": read_lines(spark, parquet_path),
-        "csv": read_lines(spark, csv_path, fmt="csv"),
-        "csv_gz": read_lines(spark, gz_path, fmt="csv"),
-        "json": sinks.read_json_table(spark, json_path),
-    }
-    parts = [df.agg(F.count(F.lit(1)).alias("filas")).select(F.lit(name).alias("formato"), "filas")
-             for name, df in back.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def digest(name, df):
+        return df.agg(F.count(F.lit(1)).alias("filas"), F.sum("ImporteB").cast("double").alias("importe"),
+                      F.sum(F.length("Desc_Servicio") + F.length("NomCliente")).alias("letras"),
+                      (F.count("Fecha") + F.count("numHP") + F.count("dias_conversion_hp_oi")).alias("valores")) \
+            .select(F.lit(name).alias("formato"), "*")
+
+    stages = sinks.read_json_table(spark, json_path).agg(
+        F.count(F.lit(1)).alias("filas"), F.lit(None).cast("double").alias("importe"),
+        F.sum(F.length("Etapa")).cast("bigint").alias("letras"), F.sum("Registros").alias("valores")) \
+        .select(F.lit("json").alias("formato"), "*")
+    out = digest("parquet", read_lines(spark, parquet_path)).unionByName(digest("csv", read_lines(spark, csv_path, fmt="csv"))) \
+        .unionByName(digest("csv_gz", read_lines(spark, gz_path, fmt="csv"))).unionByName(stages)
+    return rounded(out)
 
 
 # --------------------------------------------------------------------------
@@ -936,16 +992,18 @@ def _bad_rule_spark():
 txt AS (
   SELECT case_id,
     CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['Fecha'])} ELSE strftime(Fecha, '%Y-%m-%d %H:%M:%S') END AS Fecha,
-    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['ANIO'])} ELSE CAST(ANIO AS VARCHAR) END AS ANIO,
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['ANIO'])} ELSE CAST(ANIO AS VARCHAR) || '.0' END AS ANIO,
+    CAST(numHP AS VARCHAR) || CASE WHEN length(case_id) % 2 = 0 THEN '.0' ELSE '.5' END AS numHP,
     CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['ImporteB'])} ELSE CAST(ImporteB AS VARCHAR) END AS ImporteB,
     CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['nParticipante'])} ELSE CAST(nParticipante AS VARCHAR) END AS nParticipante,
     CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['duracion'])} ELSE CAST(duracion AS VARCHAR) END AS duracion,
     CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['propuesta_convertida'])} ELSE CAST(propuesta_convertida AS VARCHAR) END AS propuesta_convertida,
-    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['NomCliente'])} ELSE NomCliente END AS NomCliente
+    CASE WHEN length(case_id) % 7 = 0 THEN {q(_BAD_TEXT['NomCliente'])} ELSE NomCliente || ' "a"' || chr(10) || 'b, c' END AS NomCliente
   FROM raw)
 SELECT case_id,
   strftime(TRY_CAST(Fecha AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS Fecha,
-  TRY_CAST(ANIO AS INTEGER) AS ANIO,
+  CAST(TRY_CAST(ANIO AS DOUBLE) AS INTEGER) AS ANIO,
+  CASE WHEN ends_with(numHP, '.0') THEN CAST(TRY_CAST(numHP AS DOUBLE) AS BIGINT) END AS numHP,
   {R("TRY_CAST(ImporteB AS DECIMAL(18,2))")} AS ImporteB,
   {R("CASE WHEN isnan(TRY_CAST(nParticipante AS DOUBLE)) THEN NULL ELSE TRY_CAST(nParticipante AS DOUBLE) END")} AS nParticipante,
   CASE WHEN isinf(TRY_CAST(duracion AS DOUBLE)) THEN 'inf' ELSE CAST({R("TRY_CAST(duracion AS DOUBLE)")} AS VARCHAR) END AS duracion,
@@ -953,17 +1011,27 @@ SELECT case_id,
   {clean_sql('NomCliente')} AS NomCliente
 FROM txt""")
 def q_typed_ingest(spark, sf_dir):
+    from ..sources import sinks
     from ..sources.adapter import raw_proposal_lines
     from ..sources.proposals import type_lines
     from ..functions.text import clean_category
-    raw = raw_proposal_lines(spark, sf_dir)
     bad = _bad_rule_spark()
-    txt = raw.select("case_id", *[
-        F.when(bad, F.lit(v)).otherwise(
-            F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "Fecha" else F.col(c).cast("string")).alias(c)
-        for c, v in _BAD_TEXT.items()])
-    typed = type_lines(txt).select(
-        "case_id", "Fecha", "ANIO", "ImporteB", "nParticipante", "duracion",
+
+    def text(c):
+        if c == "Fecha":
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        if c == "ANIO":
+            return F.concat(F.col(c).cast("string"), F.lit(".0"))
+        return F.concat(F.col(c), F.lit(' "a"\nb, c')) if c == "NomCliente" else F.col(c).cast("string")
+
+    half = F.when(F.length("case_id") % 2 == 0, F.lit(".0")).otherwise(F.lit(".5"))
+    txt = raw_proposal_lines(spark, sf_dir).select(
+        "case_id", *[F.when(bad, F.lit(v)).otherwise(text(c)).alias(c) for c, v in _BAD_TEXT.items()],
+        F.concat(F.col("numHP").cast("string"), half).alias("numHP"))
+    path = shared_path(spark, "ingest")
+    sinks.write_csv(txt, path)
+    typed = type_lines(sinks.read_csv_table(spark, path)).select(
+        "case_id", "Fecha", "ANIO", "numHP", "ImporteB", "nParticipante", "duracion",
         F.coalesce("propuesta_convertida", F.lit(False)).alias("propuesta_convertida"),
         clean_category(F.col("NomCliente")).alias("NomCliente"))
     out = finalize(typed)
@@ -981,13 +1049,13 @@ rk AS (
   SELECT *, row_number() OVER (PARTITION BY segmento_negocio, Moneda ORDER BY Facturacion DESC, NomCliente) AS Posicion
   FROM pc WHERE n > 0)
 SELECT segmento_negocio AS Segmento, Moneda, CAST(Posicion AS INTEGER) AS Posicion, NomCliente AS Cliente,
-       {R("Facturacion")} AS Facturacion
+       {R("Facturacion")} AS Facturacion, {_money_sql("Facturacion", "Moneda")} AS Facturacion_texto
 FROM rk WHERE Posicion <= 10 AND segmento_negocio = {q(K.SEGMENT_HIGH)} AND Moneda = {q(K.USD)}"""))
 def q_top_clients_slice(spark, sf_dir):
     from ..operators import clients as C
     from ..operators.report import top_clients_slice
     _, seg = _rule_segmented(spark, sf_dir)
-    return rounded(top_clients_slice(C.top_clients(seg), K.SEGMENT_HIGH, K.USD, 10).drop("Facturacion_texto"))
+    return rounded(top_clients_slice(C.top_clients(seg), K.SEGMENT_HIGH, K.USD, 10))
 
 
 @register("rf_class_report")

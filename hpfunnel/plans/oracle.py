@@ -112,10 +112,6 @@ def with_lines(body: str) -> str:
     return f"WITH {LINES_SQL.strip()}\n{body}"
 
 
-def with_lines_and(extra_ctes: str, body: str) -> str:
-    return f"WITH {LINES_SQL.strip()},\n{extra_ctes}\n{body}"
-
-
 def norm_sql(col: str) -> str:
     return _norm(col)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,11 @@ def get_session(master: str | None = None, app: str = "hpfunnel",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured
-    (local tests) a private folder under the system temp dir is set.
+    The cluster's setting always wins.  A local session without one gets a
+    private folder; on a cluster that would be each machine's own disk, so
+    there a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="hpfunnel-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -65,35 +69,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+def source_version(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of the files below ``path``.
+
+    What is kept by path is kept under this version too, so files that are
+    added or rewritten later in the session are seen.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
 
 
-def materialize(df, eager: bool = True):
-    """Cut lineage by writing ``df`` to the shared checkpoint folder.
+def materialize(df):
+    """``df`` written as Parquet into the shared folder and read back.
 
     Used where a derived table (client features, modelling base, scored
-    grid) feeds several later plans: each of them then starts from the
-    written files instead of re-planning and re-running the whole upstream
-    plan, and a lost executor only costs the re-read of those files.
+    grid) feeds several later plans: each of them starts from the files,
+    with column pruning, pushed filters and a size that Catalyst knows, and
+    a lost executor only costs the re-read.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df, min_partitions: int | None = None):
-    """Give an iterative learner at least one partition per core.
+def dealt(df, key: str, parts: int = 32):
+    """Rows dealt by key into a fixed number of sorted partitions.
 
-    AQE coalesces small results into few partitions, which is right for
-    one-pass queries but leaves most cores idle when an estimator scans the
-    same data dozens of times.  Large inputs already have enough partitions
-    and are returned untouched.
+    Learners sample by partition and position; with this layout the model
+    depends neither on the number of cores nor on the files.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+    return df.repartition(parts, key).sortWithinPartitions(key)

@@ -40,18 +40,9 @@ REASON_TEXTS = [
 ]
 
 
-_SCANS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table.  The scan DataFrame (file listing
-    and footer schema) is reused per session; every query still reads the
-    files afresh."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+    """Parquet scan of one driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def raw_proposal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.text import categorize_reason, clean_category, normalize_text
-from .adapter import raw_proposal_lines
+from ..session import shared_path, source_version
+from .adapter import TABLES, raw_proposal_lines
+from .sinks import CSV_OPTIONS
 
 # Declared types of the source columns (everything else passes through).
 LINE_TYPES: dict[str, str] = {
@@ -32,31 +33,19 @@ LINE_TYPES: dict[str, str] = {
 OPTIONAL_COLUMNS = {"Fecha_dt", "FechaOI_dt"}
 PREPARED_COLUMNS = [c for c in LINE_TYPES if c not in OPTIONAL_COLUMNS] + ["etapa_comercial", "motivo_negocio"]
 
-_TYPE_OBJECTS = {
-    "string": T.StringType(),
-    "timestamp_ntz": T.TimestampNTZType(),
-    "int": T.IntegerType(),
-    "bigint": T.LongType(),
-    "double": T.DoubleType(),
-    "decimal(18,2)": T.DecimalType(18, 2),
-    "boolean": T.BooleanType(),
-}
-
-
-def line_schema() -> T.StructType:
-    """Declared schema of the proposal-line table (all nullable)."""
-    return T.StructType([
-        T.StructField(name, _TYPE_OBJECTS[t], True)
-        for name, t in LINE_TYPES.items() if name not in OPTIONAL_COLUMNS
-    ])
-
-
 def coerce(col: Column, type_name: str) -> Column:
     """Type a column; unparsable values become null (never an error).
 
     ``try_cast`` is used because ANSI mode makes a plain cast throw.  For
     doubles, NaN is mapped to null so that null is the only "missing".
+    Integers are often stored as float text (``2020.0``): whole numbers are
+    kept, anything with a fraction is null.  Amounts are ``decimal(18,2)``:
+    finer ones are rounded to cents.
     """
+    if type_name in ("int", "bigint"):
+        number = col.try_cast("double")
+        whole = F.coalesce(col.try_cast("bigint"), F.when(number == F.rint(number), number).try_cast("bigint"))
+        return whole.try_cast(type_name)
     typed = col.try_cast(type_name)
     if type_name in ("double", "float"):
         typed = F.when(F.isnan(typed), F.lit(None).cast(type_name)).otherwise(typed)
@@ -107,18 +96,20 @@ def load_lines(spark: SparkSession, sf_dir: str, materialized: bool = True) -> D
     """Prepared proposal lines built from the driver tables.
 
     With ``materialized`` (default) the prepared table is written once per
-    session as Parquet partitioned by year into the shared checkpoint
+    version of its sources as Parquet partitioned by year into the shared
     folder and read back, so every later query starts from a columnar scan
     with column pruning, pushed filters and year-partition pruning instead
-    of re-running the seven-table join and the text folding.
+    of re-running the seven-table join and the text folding.  Rows are
+    rebalanced by year first, so a year's files have AQE's advisory size
+    instead of one small file a task.
     """
     if not materialized:
         return prepare_lines(raw_proposal_lines(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    version = "".join(source_version(spark, f"{sf_dir.rstrip('/')}/{t}.parquet") for t in TABLES)
+    key = (spark.sparkContext.applicationId, version)
     if key not in _PREPARED:
-        from ..session import shared_path
         path = shared_path(spark, "lines")
-        prepare_lines(raw_proposal_lines(spark, sf_dir)).write.mode("overwrite") \
+        prepare_lines(raw_proposal_lines(spark, sf_dir)).hint("rebalance", "ANIO").write \
             .partitionBy("ANIO").parquet(path)
         _PREPARED[key] = path
     df = spark.read.parquet(_PREPARED[key])
@@ -135,8 +126,7 @@ def read_lines(spark: SparkSession, path: str, fmt: str = "parquet",
     bad cell becomes null instead of failing the job.
     """
     if fmt == "csv":
-        raw = spark.read.option("header", header).option("multiLine", False) \
-            .option("encoding", "UTF-8").csv(path)
+        raw = spark.read.options(**CSV_OPTIONS).option("header", header).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
     return prepare_lines(raw)

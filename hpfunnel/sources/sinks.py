@@ -15,9 +15,14 @@ from pyspark.sql import types as T
 from .. import constants as K
 
 
+#: CSV as data-frame libraries write it: quotes doubled, newlines inside quotes.
+CSV_OPTIONS = {"header": True, "encoding": "UTF-8", "multiLine": True, "escape": '"'}
+
+
 def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     """Header CSV, optionally gzip-compressed."""
-    w = df.write.mode("overwrite").option("header", True)
+    w = df.write.mode("overwrite").option("header", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if gzip:
         w = w.option("compression", "gzip")
     w.csv(path)
@@ -40,7 +45,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
     """Header CSV (gzip detected from the extension).  With a schema
     the columns are read as text and typed with ``try_cast`` so bad cells
     become null."""
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
     if schema is None:
         return raw
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields

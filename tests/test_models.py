@@ -39,7 +39,8 @@ def test_regressors_and_tree_ranges(spark, lines):
     # the array lookup equals an explicit explode + join of the leaf table
     r = regs[K.PEN]
     scored = r.forest.transform(r.preprocessor.transform(r.test))
-    ranged = M.tree_ranges(scored, r.leaves).select("case_id", "rango_p10", "rango_p90")
+    ranged = M.tree_ranges(scored, r.values).select("case_id", "rango_p10", "rango_p90")
+    assert "Join" not in ranged._jdf.queryExecution().executedPlan().toString()
     ex = scored.select("case_id", F.posexplode(vector_to_array("leaves")).alias("treeID", "leaf")) \
         .withColumn("leaf", F.col("leaf").cast("int")).join(r.leaves, ["treeID", "leaf"]) \
         .groupBy("case_id").agg(F.percentile("pred", [0.1, 0.9]).alias("q"))

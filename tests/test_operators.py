@@ -117,3 +117,53 @@ def test_csv_roundtrip_types_bad_cells(spark, tmp_path):
     assert rows["b"].Fecha is None and rows["b"].ImporteB is None and rows["b"].ANIO is None
     assert rows["b"].propuesta_convertida is False and rows["b"].NomCliente == K.NOT_SPECIFIED
     assert rows["a"].etapa_comercial == K.STAGE_CONVERTED and rows["b"].etapa_comercial == K.STAGE_INACTIVE
+
+
+def test_csv_as_data_frame_libraries_write_it(spark, tmp_path):
+    import pandas as pd
+
+    from hpfunnel.sources.proposals import read_lines
+    p = tmp_path / "lines.csv"
+    pd.DataFrame({"case_id": ["a", "b"], "ANIO": [2020.0, None], "numHP": [77.0, 8.5], "dias_conversion_hp_oi": [5.0, None],
+                  "NomCliente": ['He said "no"', "two\nlines, and more"], "ImporteB": [12.345, 1e3]}).to_csv(p, index=False)
+    rows = {r.case_id: r for r in read_lines(spark, str(p), fmt="csv").collect()}
+    assert len(rows) == 2
+    assert (rows["a"].ANIO, rows["a"].numHP, rows["a"].dias_conversion_hp_oi) == (2020, 77, 5)
+    assert (rows["b"].ANIO, rows["b"].numHP, rows["b"].dias_conversion_hp_oi) == (None, None, None)
+    assert rows["a"].NomCliente == 'He said "no"' and rows["b"].NomCliente == "two\nlines, and more"
+    assert float(rows["a"].ImporteB) == 12.35  # amounts are kept to the cent
+
+
+def test_scenario_points_and_detail(spark):
+    assert len(S.slider_points()) == 31 * 26 * 31 and (10, 20, 0) in S.slider_points()
+    schema = ("case_id string, ImporteB decimal(18,2), nParticipante double, duracion double, ANIO int, "
+              "MON string, numHP bigint, impFacturado decimal(18,2), " +
+              ", ".join(f"{c} string" for c in K.CATEGORICAL_REG_FEATURES))
+    from decimal import Decimal
+    cases = spark.createDataFrame([("a", Decimal("50000.00"), 10.0, 2.5, 2020, K.PEN, 1, None,
+                                    *["x"] * len(K.CATEGORICAL_REG_FEATURES))], schema)
+    scored = S.formula_scores(S.scenario_grid(cases, [(10, 20, 0)]))
+    r = scored.first()
+    assert (r.ImporteB, r.nParticipante, r.level) == (pytest.approx(55000), 12.0, "Potencial medio-alto")
+    assert r.message == K.BAND_MESSAGES["Potencial medio-alto"]
+    assert [d.valor for d in S.scenario_detail(scored).collect()] == [
+        "x", "x", "x", "S/ 55,000", "12", "2", "52.4%", "Sin facturación registrada"]
+
+
+def test_missing_shared_folder_is_an_error_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from hpfunnel.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", getConf=lambda: {})
+    session = SimpleNamespace(sparkContext=sc, conf={})
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)
+
+
+def test_rewritten_sources_are_seen(spark, tmp_path):
+    from hpfunnel.session import source_version
+    spark.range(3).write.parquet(str(tmp_path / "t.parquet"))
+    one = source_version(spark, str(tmp_path / "t.parquet"))
+    assert one == source_version(spark, str(tmp_path / "t.parquet"))
+    spark.range(9).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert one != source_version(spark, str(tmp_path / "t.parquet"))

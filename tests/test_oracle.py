@@ -10,7 +10,8 @@ from .conftest import SF_SMALL
 
 FAST = ["funnel_stages", "reason_category_counts", "hp_status_counts", "conversion_days_stats", "active_aging",
         "area_portfolio", "business_kpis", "filtered_summary_full", "client_features", "segment_summary",
-        "top_clients_by_segment", "model_split", "classification_metrics", "regression_metrics", "scenario_grid"]
+        "top_clients_by_segment", "model_split", "classification_metrics", "regression_metrics", "scenario_grid",
+        "scenario_detail", "case_lookup", "case_summaries", "typed_ingest", "sink_roundtrip"]
 
 
 def _norm(v):

@@ -32,3 +32,18 @@ def test_global_and_many(spark):
     assert abs(g["q25"] - np.quantile(vals, 0.25)) < 1e-9
     m = exact_quantiles_many(df.withColumn("w", F.col("v") * 2), ["k"], ["v", "w"], 0.5, "_med").orderBy("k").collect()
     assert all(abs(r.w_med - 2 * r.v_med) < 1e-9 for r in m)
+
+
+def test_hot_group_is_dealt_over_tasks_without_cartesian_plans(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=4000)
+    rows = [("hot" if i % 10 else f"k{i % 7}", float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(8)
+    for keys in (["k"], []):
+        q = exact_quantiles(df, keys, "v", [0.5], accuracy=500)
+        plan = q._jdf.queryExecution().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert abs(q.first()[0] - np.quantile(vals, 0.5)) < 1e-12
+    salted = df.groupBy("k", "v").count().repartition(16, "k", F.pmod(F.xxhash64("v"), F.lit(16)))
+    sizes = [r["count"] for r in salted.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.5 * 4000

@@ -1,5 +1,3 @@
-import unicodedata
-
 from pyspark.sql import functions as F
 
 from hpfunnel import constants as K
@@ -7,23 +5,44 @@ from hpfunnel.functions.formatting import case_label, format_currency, format_nu
 from hpfunnel.functions.text import categorize_reason, clean_category, normalize_text, shorten
 
 
-def _py_normalize(v):
-    if v is None:
-        return ""
-    t = unicodedata.normalize("NFKD", str(v)).encode("ascii", "ignore").decode("ascii")
-    return " ".join(t.upper().strip().split())
-
-
 def _one(spark, expr, values, schema="s string"):
     df = spark.createDataFrame([(v,) for v in values], schema)
     return [r[0] for r in df.select(expr(F.col("s"))).collect()]
 
 
-def test_normalize_matches_python(spark):
-    values = ["  Habilitación de  Inspector ", None, "日本 x", "ﬁn ½", "a…b\tc", "Ǆx 𝐀", "ß", "Ñandú x",
-              "x\x1cy", "Ⅻ ㎏", ""]
-    got = _one(spark, normalize_text, values)
-    assert got == [_py_normalize(v) for v in values]
+def test_normalize(spark):
+    expected = {
+        "  Habilitación de  Inspector ": "HABILITACION DE INSPECTOR",
+        None: "",
+        "日本 x": "X",
+        "ﬁn ½": "FIN 12",
+        "a…b\tc": "A...B C",
+        "Ǆx 𝐀": "DZX A",
+        "ß": "",
+        "Ñandú x": "NANDU X",
+        "x\x1cy": "X Y",
+        "Ⅻ ㎏": "XII KG",
+        "": "",
+    }
+    assert _one(spark, normalize_text, list(expected)) == list(expected.values())
+
+
+def test_reason_of_every_driver_text(spark):
+    expected = {
+        None: "No especificado",
+        " costo de  referencia ": "Costo de referencia",
+        "Precio muy alto": "Precio / presupuesto",
+        "Proyecto en Stand By": "Proyecto en stand by",
+        "Ausencia de respuesta": "Ausencia de respuesta / vencimiento",
+        "Eligió otro proveedor": "Eligió otro proveedor",
+        "No contaba con equipo": "No cuenta con equipo",
+        "Sin habilitación de inspector": "Disponibilidad / habilitación de personal",
+        "Atendido con otra HP": "Atendido con otra HP/OI",
+        "No requiere servicio": "Servicio no requerido",
+        "Cambio de gerencia ñandú": "Otros motivos",
+        "Costo referencial y precio": "Costo de referencia",
+    }
+    assert _one(spark, categorize_reason, list(expected)) == list(expected.values())
 
 
 def test_fixture_examples(spark):

@@ -1074,3 +1074,74 @@ def q_rf_class_report(spark, sf_dir):
 def q_rf_reg_importance_top(spark, sf_dir):
     from ..operators.report import importance_for, top_importances
     return top_importances(importance_for(q_rf_reg_importance(spark, sf_dir), K.PEN), 8)
+
+
+def _one_row(name: str, alias: str, cols: str) -> str:
+    return f"(SELECT {cols} FROM ({REGISTRY[name][1]}) {alias})"
+
+
+@register("run_metadata", f"""
+SELECT CAST({K.RANDOM_STATE} AS INTEGER) AS random_state, {R(str(K.TEST_SIZE))} AS test_size,
+       {q(",".join(K.VALID_CURRENCIES))} AS valid_currencies, CAST({len(K.NUMERIC_FEATURES)} AS INTEGER) AS numeric_features,
+       CAST({len(K.CATEGORICAL_REG_FEATURES)} AS INTEGER) AS categorical_features,
+       c.Accuracy AS accuracy, c.ROC_AUC AS roc_auc, c.Muestra_prueba AS muestra,
+       t.pen AS umbral_pen, t.usd AS umbral_usd, m.casos AS aciertos_altos,
+       r.moneda AS moneda, r.muestra AS muestra_regresion, r.mae AS mae, r.rmse AS rmse, r.r2 AS r2,
+       s.clientes AS clientes, s.segmentos AS segmentos,
+       b.total_registros, b.fecha_min, b.fecha_max, b.lineas_convertidas, b.conversion_lineas_pct, b.hp_analiticas,
+       b.total_facturacion_pen, b.total_facturacion_usd
+FROM ({REGISTRY["classification_metrics"][1]}) c,
+     {_one_row("train_thresholds", "x", f"max(CASE WHEN MON = {q(K.PEN)} THEN umbral END) AS pen, max(CASE WHEN MON = {q(K.USD)} THEN umbral END) AS usd")} t,
+     {_one_row("confusion_cells", "x", "max(CASE WHEN real = 1 AND prediccion = 1 THEN casos END) AS casos")} m,
+     (SELECT MON AS moneda, records AS muestra, mae, rmse, r2 FROM ({REGISTRY["regression_metrics"][1]}) x) r,
+     {_one_row("rule_segments", "x", "CAST(count(*) AS BIGINT) AS clientes, CAST(count(DISTINCT segmento_negocio) AS BIGINT) AS segmentos")} s,
+     ({REGISTRY["business_kpis"][1]}) b""")
+def q_run_metadata(spark, sf_dir):
+    """The run record written as JSON and read back by its schema, a row a regression entry
+    (metrics of the closed-form scores, which SQL can check)."""
+    from ..operators import evaluate as EV
+    from ..operators import report as RP
+    from ..sources import sinks
+    split, th, _ = _labeled(spark, sf_dir)
+    ev = _cached(spark, sf_dir, "evaluation", lambda: materialize(_eval_frame(spark, sf_dir)))
+    record = RP.classification_record(EV.classification_metrics(ev), th, EV.confusion_cells(ev), split)
+    regression = RP.regression_table(EV.regression_metrics(ev, ["MON"], "yreal", "yhat"), split)
+    _, seg = _rule_segmented(spark, sf_dir)
+    segmentation = seg.agg(F.count(F.lit(1)).alias("clientes"), F.count_distinct("segmento_negocio").alias("segmentos"))
+    path = shared_path(spark, "metadata")
+    sinks.write_json(RP.run_metadata(funnel.business_kpis(load_lines(spark, sf_dir)), record, regression, segmentation), path)
+    back = sinks.read_json_table(spark, path, RP.METADATA_SCHEMA)
+    c, r = F.col("classification"), F.col("r")
+    return rounded(back.withColumn("r", F.explode("regression")).select(
+        "random_state", "test_size", F.array_join("valid_currencies", ",").alias("valid_currencies"),
+        F.size("classification_features.numeric").alias("numeric_features"),
+        F.size("regression_features.categorical").alias("categorical_features"),
+        c["Accuracy"].alias("accuracy"), c["ROC_AUC"].alias("roc_auc"), c["Muestra_prueba"].alias("muestra"),
+        c["Umbrales"][K.PEN].alias("umbral_pen"), c["Umbrales"][K.USD].alias("umbral_usd"),
+        c["Matriz_confusion"][1][1].alias("aciertos_altos"), r["Moneda"].alias("moneda"),
+        r["Muestra_prueba"].alias("muestra_regresion"), r["MAE_prueba"].alias("mae"), r["RMSE_prueba"].alias("rmse"),
+        r["R2_prueba"].alias("r2"), "segmentation.clientes", "segmentation.segmentos", "business_summary.*"))
+
+
+@register("saved_models", with_lines(_SPLIT_SQL + f"\nSELECT case_id, MON, {R('yreal')} AS real, true AS same FROM ev"))
+def q_saved_models(spark, sf_dir):
+    """Save every currency's pipeline and forest, load them by currency, score the test rows;
+    ``same`` tells whether the loaded model gives the estimate of the one in memory."""
+    from pyspark.ml import PipelineModel
+
+    from ..sources import sinks
+    regressors = _regressors(spark, sf_dir)
+    base, frames = shared_path(spark, "models"), []
+    paths = {cur: f"{base}/{i}" for i, cur in enumerate(regressors)}
+    for cur, m in regressors.items():
+        sinks.save_model(PipelineModel([m.preprocessor, m.forest]), paths[cur])
+    for cur, m in regressors.items():
+        loaded = sinks.load_pipeline(sinks.regressor_for(paths, cur))
+        mine = m.forest.transform(m.preprocessor.transform(m.test)).select("case_id", F.col("prediction").alias("_p"))
+        frames.append(loaded.transform(m.test).select("case_id", "MON", F.col("impFacturado").cast("double").alias("real"),
+                                                      "prediction").join(mine, "case_id")
+                      .select("case_id", "MON", "real", (F.col("prediction") == F.col("_p")).alias("same")))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return rounded(out)

@@ -19,12 +19,11 @@ looking at their pairs.
 Everyone is aligned with its bucket's leader, the text with most slack; that
 settles nearly all.  Texts that then still share a bucket with the leader
 but not its class may be linked to another member.  Two members differ at
-least by the difference of what they lost of the leader's shingles, beyond
-their private ones; who has no partner left by that exact bound (looked up
-in the most slack that members of each loss have) is settled too.  The few
-others are aligned with the bucket's other classes, with no cap, so that no
-link between classes is lost.  Classes are the connected components of the
-links.
+least by the difference of what they lost of the leader's shingles, region
+by region of the leader, beyond their private ones; who has no partner left
+by that exact bound is settled too.  The few others are aligned with the
+bucket's other classes, with no cap, so that no link between classes is
+lost.  Classes are the connected components of the links.
 
 A pair is linked if an alignment of the labelled shingles, within a band
 around the diagonal that any pair of sufficient similarity keeps to, matches
@@ -44,12 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, quoted, written
+from .common import packed, quoted, small_batches, written
 from .licences import words_of
 
 SHINGLE, BANDS, PICK = 5, 20, 3
 #: Least similarity, as a fraction of whole numbers.
 SIMILAR = (4, 5)
+#: Regions of a leader by which losses are counted.
+REGIONS = 32
 #: Parts into which the members of one bucket or class are dealt.
 SALTS = 1024
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -159,6 +160,14 @@ def compare(a: np.ndarray, b: np.ndarray) -> tuple[bool, int]:
     return matched > 0 and SIMILAR[1] * matched >= SIMILAR[0] * union, both
 
 
+def lost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct shingles of ``a`` that ``b`` has not, by region of ``a``."""
+    ha = shingles(a)
+    own, first = np.unique(ha, return_index=True)
+    gone = ~np.isin(own, shingles(b))
+    return np.bincount(first[gone] * REGIONS // max(1, len(ha)), minlength=REGIONS)
+
+
 PREPARED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("words", T.BinaryType()),
                          T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -211,21 +220,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with ``similar`` and ``both``, from the texts' words (no, words).
+    """The pairs (a, b) with ``similar``, and what each lost of the other by region, from
+    the texts' words (no, words).
 
     A text that is in many pairs makes its key hot; both joins are plain
     sort-merge joins of fresh shuffles, whose hot partitions AQE splits.
     """
-    @F.pandas_udf("similar boolean, both bigint")
+    @F.pandas_udf("similar boolean, lost_a array<int>, lost_b array<int>")
     def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for left, right in batches:
-            yield pd.DataFrame([compare(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))
-                                for x, y in zip(left, right)], columns=["similar", "both"])
+            rows = []
+            for x, y in zip(left, right):
+                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                rows.append((compare(a, b)[0], lost(a, b), lost(b, a)))
+            yield pd.DataFrame(rows, columns=["similar", "lost_a", "lost_b"])
 
     a = blobs.select(F.col("no").alias("a"), F.col("words").alias("left"))
     b = blobs.select(F.col("no").alias("b"), F.col("words").alias("right"))
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", check("left", "right").alias("v"))
-    return written(checked.select("a", "b", "v.similar", "v.both"), "verified")
+    with small_batches(pairs.sparkSession):
+        return written(checked.select("a", "b", "v.*"), "verified")
 
 
 def slacks(words: DataFrame) -> DataFrame:
@@ -256,7 +270,8 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
         .filter("low < high").select("bucket")
     members = written(hand_back(buckets, shared, "bucket"), "bucket-members")
     blobs = written(words.join(members.select("no").distinct(), "no", "left_semi"), "candidate-words")
-    known = written(slacks(blobs), "slacks")
+    with small_batches(blobs.sparkSession):
+        known = written(slacks(blobs), "slacks")
 
     members = written(members.join(known, "no"), "known-members")
     leaders = members.groupBy("bucket").agg(F.max(F.struct("slack", "no", "size")).alias("lead"), F.count("*").alias("n")) \
@@ -269,16 +284,17 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
     links = verified.filter("similar").select("a", "b")
 
     # The same outcome seen from either side, to hand it back to the buckets' members.
-    seen = verified.select(F.col("a").alias("no"), F.col("b").alias("lead_no"), "both") \
-        .union(verified.select(F.col("b").alias("no"), F.col("a").alias("lead_no"), "both"))
+    seen = verified.select(F.col("a").alias("no"), F.col("b").alias("lead_no"), F.col("lost_b").alias("regions")) \
+        .union(verified.select(F.col("b").alias("no"), F.col("a").alias("lead_no"), F.col("lost_a").alias("regions")))
     labels = written(components(links), "leader-classes")
     of_leader = labels.select(F.col("no").alias("lead_no"), F.col("label").alias("lead_label"))
-    classed = led.select("bucket", "no", "size", "slack", F.col("lead.no").alias("lead_no"), F.col("lead.size").alias("lead_size")) \
+    classed = led.select("bucket", "no", "size", "slack", F.col("lead.no").alias("lead_no")) \
         .join(labels, "no", "left").join(of_leader, "lead_no", "left").join(seen, ["no", "lead_no"], "left")
     # shingles of the leader that a member has not; unknown (null) where sizes are too far apart
-    loss = F.when(F.col("no") == F.col("lead_no"), F.lit(0)).otherwise(F.col("lead_size") - F.col("both")).cast("bigint")
+    regions = F.when(F.col("no") == F.col("lead_no"), F.array_repeat(F.lit(0), REGIONS)).otherwise(F.col("regions"))
+    loss = F.aggregate(regions, F.lit(0), lambda x, y: x + y)
     classed = written(classed.select(
-        "bucket", "no", "size", "slack", loss.alias("loss"), F.coalesce("label", "no").alias("label"),
+        "bucket", "no", "size", "slack", regions.alias("regions"), loss.alias("loss"), F.coalesce("label", "no").alias("label"),
         (F.coalesce("label", "no") != F.coalesce("lead_label", "lead_no")).alias("outside")), "classed-members")
 
     def of(*names: str) -> list[Column]:
@@ -286,11 +302,13 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     room = F.col("slack") + F.col("slack_x") - 9 * F.coalesce(F.abs(F.col("loss") - F.col("loss_x")), F.lit(0))
     profile = classed.groupBy("bucket", "loss").agg(F.max("slack").alias("slack"))
-    outside = classed.filter("outside").select("bucket", *of("no", "size", "slack", "loss", "label"))
+    apart = F.aggregate(F.zip_with("regions", "regions_x", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    close = F.col("slack") + F.col("slack_x") - 9 * F.coalesce(apart, F.lit(0)) >= 0
+    outside = classed.filter("outside").select("bucket", *of("no", "size", "slack", "regions", "loss", "label"))
     hopeful = outside.join(profile, "bucket").filter(room >= 0).select("bucket", "no_x").distinct()
     outside = outside.join(written(hopeful, "open-members"), ["bucket", "no_x"], "left_semi")
     across = outside.join(classed, "bucket").filter(
-        (F.col("label") != F.col("label_x")) & (room >= 0) & _of_a_size(F.col("size"), F.col("size_x"))) \
+        (F.col("label") != F.col("label_x")) & (room >= 0) & _of_a_size(F.col("size"), F.col("size_x")) & close) \
         .select(F.least("no", "no_x").alias("a"), F.greatest("no", "no_x").alias("b")).distinct()
     across = written(across.join(verified, ["a", "b"], "left_anti"), "class-pairs")
     return links.union(verify(across, blobs).filter("similar").select("a", "b"))
@@ -307,9 +325,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     See ``mark_near_copies`` for what counts as near.
     """
     columns = packed(df, id=id_col, text=text_col)
-    rows = written(columns.select("doc", F.col("id").cast("bigint").alias("id"),
-                                  F.pandas_udf(prepare, PREPARED)("text").alias("p"),
-                                  F.monotonically_increasing_id().alias("no")), "near-rows")
+    with small_batches(df.sparkSession):
+        rows = written(columns.select("doc", F.col("id").cast("bigint").alias("id"),
+                                      F.pandas_udf(prepare, PREPARED)("text").alias("p"),
+                                      F.monotonically_increasing_id().alias("no")), "near-rows")
     facts = rows.select("no", "id", F.col("p.digest").alias("digest"), F.col("p.bands").alias("bands"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("no")))
     texts = written(facts.groupBy("digest").agg(

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +27,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Within it, what is executed sends Python workers at most ``rows`` rows at a time.
+#: Most rows, with whole texts, that a Python worker gets at a time.
+BATCH_ROWS = 1_000
 
-    Bounds a worker's memory where rows hold whole texts; the session's
-    setting is put back afterwards.
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, after lowering the session's Arrow batches to ``BATCH_ROWS`` rows.
+
+    Spark's default of 10,000 rows would make a worker hold that many whole
+    texts.  A smaller setting is left as it is; a lowered one stays, as
+    plans read it only when they run.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    rows = int(df.sparkSession.conf.get(key))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
 
 
 def quoted(name: str) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, packed, quoted, unpacked
+from .common import bounded_batches, held_out, packed, quoted, unpacked
 
 #: Labelled rows that are learnt from (documented bound of the sample).
 TRAIN_ROWS = 50_000
@@ -130,7 +130,7 @@ def fit(counts: dict[str, np.ndarray]) -> Model:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           rows: int = TRAIN_ROWS) -> Model:
     """Learn from rows that are not held out, whose text and label are not null."""
-    known = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang")) \
+    known = bounded_batches(df).select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     n = known.count()
     if n > rows:
@@ -170,5 +170,5 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=SCHEMA.names)
 
-    scored = packed(df, text=text_col).select("doc", decode("text").alias("s"))
+    scored = packed(bounded_batches(df), text=text_col).select("doc", decode("text").alias("s"))
     return unpacked(scored, columns, {c: F.col("s").getField(c) for c in SCHEMA.names})

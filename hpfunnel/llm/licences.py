@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import bounded_batches, packed, unpacked
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Rare words a notice is indexed by, how many of them must agree, words by
@@ -187,7 +187,7 @@ def scan_licences(df: DataFrame, text_col: str = "text", phrases: tuple[Template
     columns = df.columns
     templates = (*phrases, *notices)
     vocabulary = sorted({w for t in templates for w in t.words})
-    rows = packed(df, text=text_col)
+    rows = packed(bounded_batches(df), text=text_col)
     counts, n = document_frequencies(rows, vocabulary)
     idf = {w: log(1 + (n + 1) / (c + 1)) for w, c in counts.items()}
     index = build_index(templates, idf)

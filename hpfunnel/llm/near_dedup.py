@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, quoted, small_batches, written
+from .common import bounded_batches, packed, quoted, written
 from .licences import words_of
 
 SHINGLE, BANDS, PICK = 5, 20, 3
@@ -238,8 +238,7 @@ def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
     a = blobs.select(F.col("no").alias("a"), F.col("words").alias("left"))
     b = blobs.select(F.col("no").alias("b"), F.col("words").alias("right"))
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", check("left", "right").alias("v"))
-    with small_batches(pairs.sparkSession):
-        return written(checked.select("a", "b", "v.*"), "verified")
+    return written(checked.select("a", "b", "v.*"), "verified")
 
 
 def slacks(words: DataFrame) -> DataFrame:
@@ -270,8 +269,7 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
         .filter("low < high").select("bucket")
     members = written(hand_back(buckets, shared, "bucket"), "bucket-members")
     blobs = written(words.join(members.select("no").distinct(), "no", "left_semi"), "candidate-words")
-    with small_batches(blobs.sparkSession):
-        known = written(slacks(blobs), "slacks")
+    known = written(slacks(blobs), "slacks")
 
     members = written(members.join(known, "no"), "known-members")
     leaders = members.groupBy("bucket").agg(F.max(F.struct("slack", "no", "size")).alias("lead"), F.count("*").alias("n")) \
@@ -324,11 +322,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     See ``mark_near_copies`` for what counts as near.
     """
-    columns = packed(df, id=id_col, text=text_col)
-    with small_batches(df.sparkSession):
-        rows = written(columns.select("doc", F.col("id").cast("bigint").alias("id"),
-                                      F.pandas_udf(prepare, PREPARED)("text").alias("p"),
-                                      F.monotonically_increasing_id().alias("no")), "near-rows")
+    columns = packed(bounded_batches(df), id=id_col, text=text_col)
+    rows = written(columns.select("doc", F.col("id").cast("bigint").alias("id"),
+                                  F.pandas_udf(prepare, PREPARED)("text").alias("p"),
+                                  F.monotonically_increasing_id().alias("no")), "near-rows")
     facts = rows.select("no", "id", F.col("p.digest").alias("digest"), F.col("p.bands").alias("bands"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("no")))
     texts = written(facts.groupBy("digest").agg(

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, written
+from .common import bounded_batches, quoted, written
 
 CAPACITY, END = 4096, 1
 #: Runs and pre-tokens whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -122,7 +122,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: in
                     seen[n] += 1
             yield pd.DataFrame(rows, columns=PIECES.names)
 
-    rows = docs.select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
+    rows = bounded_batches(docs).select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
     return written(rows.mapInPandas(run, PIECES), "pieces")
 
 

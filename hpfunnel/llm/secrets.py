@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, unpacked
+from .common import bounded_batches, packed, unpacked
 
 #: The base patterns, as (kind, pattern, measured group, least length).
 BASE = (
@@ -139,7 +139,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     input column named ``spans`` is replaced.
     """
     columns = df.columns
-    rows = packed(df, text=text_col)
+    rows = packed(bounded_batches(df), text=text_col)
     words = identifiers(rows)
 
     @F.pandas_udf(T.ArrayType(SPAN))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, packed, quoted, unpacked, written
+from .common import bounded_batches, held_out, packed, quoted, unpacked, written
 
 #: Labelled rows that are learnt from (documented bound of the sample); one
 #: part in ``CALIBRATE`` of them only calibrates.
@@ -251,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
     # about `rows` rows of 12 bytes: the bound of this broadcast
-    sample = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(known), "id") \
+    sample = bounded_batches(docs).select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(known), "id") \
         .groupBy("id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"))
     sample = written(sample.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(CALIBRATE)) == 0), "toxic-sample")
     terms = learn_lexicon(sample.filter(~F.col("fold")))
@@ -284,5 +284,5 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text") -> DataF
         for texts in batches:
             yield pd.Series(model.score(texts.tolist(), lexicon), dtype=float)
 
-    scored = packed(df, text=text_col).select("doc", rate("text").alias("s"))
+    scored = packed(bounded_batches(df), text=text_col).select("doc", rate("text").alias("s"))
     return unpacked(scored, columns, {"score": F.col("s"), "predicted": (F.col("s") >= 0.5).cast("int")})

@@ -1,7 +1,7 @@
 """Secret scan: pattern spans plus dictionary-primed zstandard novelty.
 
-Patterns give the base spans.  Beyond them every mixed string that stands
-shortly after a sensitive word is a candidate.  Its novelty is its marginal
+Patterns give the base spans.  Beyond them every long string that stands
+shortly after a sensitive word is a candidate, whatever its characters.  Its novelty is its marginal
 compressed size: the bytes a zstandard frame of (context + candidate) needs
 beyond the frame of the context alone, for each character of the candidate,
 with a compressor primed by a dictionary of identifiers.  Strings that the
@@ -9,7 +9,9 @@ context and the identifiers explain cost little; keys do not compress, and
 are reported.
 
 The dictionary holds the identifiers that stand around sensitive words most
-often, counted over all documents, up to ``DICT_BYTES``.
+often, counted over all documents, up to ``DICT_BYTES``.  A key must not
+explain itself or its copies, so words inside a string of candidate length
+count only if that string reads as words, by its pairs of letters.
 """
 
 from __future__ import annotations
@@ -44,6 +46,14 @@ SENSITIVE = re.compile(
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
 
+#: The most frequent letter pairs of written words, and the least share of
+#: them in a string that reads as words (random letters have about 0.15).
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne"
+    " ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa"
+    " ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os".split())
+READS = 0.5
+
 #: Characters after a sensitive word in which candidates are looked for, and
 #: characters of context before a candidate.
 REACH, CONTEXT = 64, 256
@@ -62,17 +72,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Strings of letters and digits that begin within reach of a sensitive word."""
+    """Long strings that begin within reach of a sensitive word."""
     found: dict[int, int] = {}
     for s in SENSITIVE.finditer(text):
         for m in CANDIDATE.finditer(text, s.end(), min(len(text), s.end() + REACH)):
             whole = CANDIDATE.match(text, m.start())  # reach bounds the start, not the end
-            t = whole[0]
-            if sum(c.isdigit() for c in t) >= 3 and sum(c.isalpha() for c in t) >= 3:
-                found[whole.start()] = whole.end()
+            found[whole.start()] = whole.end()
     return sorted(found.items())
 
 
+def reads(string: str) -> bool:
+    """Whether a string's neighbouring letters and digits are mostly pairs that words have."""
+    t = string.lower()
+    pairs = [p for p in map("".join, zip(t, t[1:])) if p.isalnum()]
+    return sum(p in PAIRS for p in pairs) >= READS * len(pairs)
+
+
 def identifiers(texts: DataFrame) -> bytes:
     """Identifiers around sensitive words, most frequent last, as a raw dictionary.
 
@@ -84,8 +99,11 @@ def identifiers(texts: DataFrame) -> bytes:
         for b in batches:
             seen: Counter[str] = Counter()
             for t in b["text"]:
+                plain = None
                 for s in SENSITIVE.finditer(t or ""):
-                    around = t[max(0, s.start() - REACH):s.end() + REACH]
+                    if plain is None:  # places stay, so that a key cut by the reach is no word either
+                        plain = CANDIDATE.sub(lambda m: m[0] if reads(m[0]) else " " * len(m[0]), t)
+                    around = plain[max(0, s.start() - REACH):s.end() + REACH]
                     seen.update(w for w in IDENTIFIER.findall(around) if sum(c.isdigit() for c in w) < 3)
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"word": "object", "n": "int64"})
 

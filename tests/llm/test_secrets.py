@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -61,6 +63,23 @@ def test_novelty_adds_keys_and_leaves_prose(spark):
     assert S.Novelty(b"")(texts[4], 7, 7 + len(key)) < 0.5 < S.Novelty(b"")(texts[0], 22, 22 + len(key))
 
 
+def test_novelty_adds_keys_of_few_digits_or_letters(spark):
+    rng = random.Random(7)
+    alphabets = [string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits]
+    keys = ["kQvTzLmRwXsYbNdHcJfG", "kQvTzLmRwXs2YbNdHcJfG", "kQvTzLmR-wXsYbNdH+cJfG/pTk", "9182736450918264a70"]
+    keys += ["".join(rng.choice(alphabets[i % 4]) for _ in range(rng.choice([16, 20, 24, 40]))) for i in range(120)]
+    texts = [f"we sent it with {w} {k} to them" for k in keys for w in ("authorization bearer", "access key", "the credential")]
+    got = by_id(S.scan_secrets(docs(spark, texts * 2, ids=list(range(2 * len(texts))))))
+    for i, t in enumerate(texts * 2):
+        key = keys[i % len(texts) // 3]
+        assert [t[s["start"]:s["end"]] for s in got[i]["spans"]] == [key], t
+
+
+def test_strings_that_read_as_words():
+    assert all(map(S.reads, ["thingsthatareverylongwords", "authentication_provider", "getClientAccessToken", "REQUEST_SIGNATURE_HEADER"]))
+    assert not any(map(S.reads, ["kQvTzLmRwXsYbNdHcJfG", "xkqvtzlmrwsybndhcjfg", "Zq8vT3pLx0Rk7Wn2Jd5Yb9Hc"]))
+
+
 def test_dictionary_counts_all_rows_and_clashes(spark):
     df = docs(spark, ["token client_name = x"] * 40 + ["client_name"] + [None]).withColumns(
         {"SPANS": F.lit(1), "word": F.lit("w"), "doc": F.lit(2)})

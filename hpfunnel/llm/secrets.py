@@ -1,7 +1,8 @@
 """Secret scan: pattern spans plus dictionary-primed zstandard novelty.
 
 Patterns give the base spans.  Beyond them every long string that stands
-shortly after a sensitive word is a candidate, whatever its characters.  Its novelty is its marginal
+shortly after or before a sensitive word is a candidate, whatever its
+characters.  Its novelty is its marginal
 compressed size: the bytes a zstandard frame of (context + candidate) needs
 beyond the frame of the context alone, for each character of the candidate,
 with a compressor primed by a dictionary of identifiers.  Strings that the
@@ -17,6 +18,7 @@ count only if that string reads as words, by its pairs of letters.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,6 +46,8 @@ SENSITIVE = re.compile(
     r"password|passwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer"
     r"|authorization|signature", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What joins two candidates to one dotted string.
+DOTS = re.compile(r"\.(?:[A-Za-z0-9+/_=-]+\.)*")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
 
 #: The most frequent letter pairs of written words, and the least share of
@@ -54,8 +58,8 @@ PAIRS = frozenset(
     " ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os".split())
 READS = 0.5
 
-#: Characters after a sensitive word in which candidates are looked for, and
-#: characters of context before a candidate.
+#: Characters after and before a sensitive word in which candidates are looked for, and
+#: characters of context on either side of a candidate.
 REACH, CONTEXT = 64, 256
 #: Least novelty (marginal bytes a character), and bytes of the dictionary.
 LEAST, DICT_BYTES = 0.55, 16_384
@@ -72,13 +76,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Long strings that begin within reach of a sensitive word."""
-    found: dict[int, int] = {}
-    for s in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, s.end(), min(len(text), s.end() + REACH)):
-            whole = CANDIDATE.match(text, m.start())  # reach bounds the start, not the end
-            found[whole.start()] = whole.end()
-    return sorted(found.items())
+    """Long strings that begin within reach after a sensitive word or end within reach before it.
+
+    The reach bounds the near end only.  Strings joined by dots (the parts of
+    a signed token) are in reach together.  A string with a sensitive word in
+    it is cut there.
+    """
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    strings = [m.span() for m in CANDIDATE.finditer(text)]
+    starts, ends = [a for a, _ in strings], [b for _, b in strings]
+    joined = [False, *(bool(DOTS.fullmatch(text, b, a)) for b, a in zip(ends, starts[1:])), False]
+    found = set()
+    for _, b in reversed(words):
+        first = i = bisect_right(ends, b)
+        while i < len(strings) and (max(starts[i], b) < b + REACH or i > first and joined[i]):
+            if strings[i] in found:
+                break  # the rest was found from a later word
+            found.add((max(starts[i], b), ends[i]))
+            i += 1
+    last = 0  # end of the word before, from which all that begins earlier was found
+    for a, b in words:
+        first = i = bisect_left(starts, a) - 1
+        while i >= 0 and starts[i] >= last and (min(ends[i], a) > a - REACH or i < first and joined[i + 1]):
+            found.add((starts[i], min(ends[i], a)))
+            i -= 1
+        last = b
+    return sorted((x, y) for x, y in found if CANDIDATE.fullmatch(text, x, y))
 
 
 def reads(string: str) -> bool:

@@ -75,6 +75,35 @@ def test_novelty_adds_keys_of_few_digits_or_letters(spark):
         assert [t[s["start"]:s["end"]] for s in got[i]["spans"]] == [key], t
 
 
+def test_reach_after_and_before_a_sensitive_word(spark):
+    key, near, far = "Zq8vT3pLx0Rk7Wn2Jd5Yb9Hc", (0, 1, 48, 49, 63), (64, 80)
+    jwt = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0",
+           "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+    texts = ["bearer" + " " * n + key for n in near + far] + [key + " " * n + "bearer" for n in near + far]
+    n = len(texts)
+    texts += [f"{key} # api key", "authorization bearer " + ".".join(jwt), ".".join(jwt) + " # the credential",
+              f"bearer {jwt[0]}.x.{key}", f"our bearer of {key}-secret, and {key}_signature_{key[::-1]}"]
+    got = by_id(S.scan_secrets(docs(spark, texts)))
+    found = [[t[s["start"]:s["end"]] for s in got[i]["spans"]] for i, t in enumerate(texts)]
+    assert found[:n] == ([[key]] * len(near) + [[]] * len(far)) * 2
+    assert found[n:n + 4] == [[key], jwt, jwt, [jwt[0], key]]
+    assert S.candidates(texts[n + 4])[0] == (texts[n + 4].index(key), texts[n + 4].index("secret"))
+
+
+def test_candidates_equal_a_plain_search():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["bearer", " ", ".", "Ab3" * 6, "x" * 9, " " * 30, "secret "]) for _ in range(rng.randint(1, 12)))
+        got = S.candidates(text)
+        for m in S.CANDIDATE.finditer(text):
+            if S.SENSITIVE.search(m[0]):
+                continue
+            close = any(0 <= m.start() - s.end() < S.REACH or 0 <= s.start() - m.end() < S.REACH
+                        for s in S.SENSITIVE.finditer(text))
+            assert m.span() in got or not close, text
+        assert all(len(text[a:b]) >= 16 and S.CANDIDATE.fullmatch(text, a, b) for a, b in got)
+
+
 def test_strings_that_read_as_words():
     assert all(map(S.reads, ["thingsthatareverylongwords", "authentication_provider", "getClientAccessToken", "REQUEST_SIGNATURE_HEADER"]))
     assert not any(map(S.reads, ["kQvTzLmRwXsYbNdHcJfG", "xkqvtzlmrwsybndhcjfg", "Zq8vT3pLx0Rk7Wn2Jd5Yb9Hc"]))

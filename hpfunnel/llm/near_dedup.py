@@ -7,6 +7,8 @@ distinct texts go on.  A text's shingles are labelled by their occurrence
 functions picks the ``PICK`` smallest labelled shingles and keeps them in
 text order: texts agree in a band if they share those shingles in the same
 order, which is likely at high edit similarity and unlikely otherwise.
+As many further bands sketch the distinct shingles without labels and order,
+so that repeated lines and moved paragraphs part no similar texts.
 
 Texts that agree in a band share a bucket and are candidates.  A shingle that
 no other candidate has counts against every pair of its text: a similar
@@ -26,8 +28,8 @@ bucket's other classes, with no cap, so that no link between classes is
 lost.  Classes are the connected components of the links.
 
 A pair is linked if an alignment of the labelled shingles, within a band
-around the diagonal that any pair of sufficient similarity keeps to, matches
-distinct shingles worth at least ``SIMILAR`` of the union.
+around the diagonal, matches distinct shingles worth at least ``SIMILAR`` of
+the union, or else if the distinct shingles that both have anywhere are.
 """
 
 from __future__ import annotations
@@ -106,14 +108,21 @@ def sketch(marks: np.ndarray) -> np.ndarray:
     return x
 
 
+def sketches(h: np.ndarray) -> np.ndarray:
+    """The bands of the labelled shingles in text order, then those of the distinct shingles
+    in the order of their hashes, whatever their places and repeats."""
+    return np.concatenate([sketch(labelled(h)), sketch(np.unique(h))])
+
+
 def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Distinct shingles that the best alignment of two word sequences matches, their
     union, and how many distinct shingles both have anywhere.
 
     A match joins equal labelled shingles; matches may not cross (their
     longest chain is the alignment) and lie within a band around the
-    diagonal.  A similar pair leaves under a ninth of its shingles unmatched,
-    so positions drift by less than the band's quarter of the longer text.
+    diagonal.  A similar pair without repeats and moves leaves under a ninth
+    of its shingles unmatched, so positions drift by less than the band's
+    quarter of the longer text.
     Matches are not counted where the pair cannot be similar.
     """
     ha, hb = shingles(a), shingles(b)
@@ -155,11 +164,19 @@ def chain(values: np.ndarray) -> np.ndarray:
 
 
 def compare(a: np.ndarray, b: np.ndarray) -> tuple[bool, int]:
-    """Whether the pair is similar, and the shingles both have."""
+    """Whether the pair is similar as aligned, and the shingles both have."""
     matched, union, both = aligned(a, b)
     return matched > 0 and SIMILAR[1] * matched >= SIMILAR[0] * union, both
 
 
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the pair is similar as aligned, or by all distinct shingles wherever they stand."""
+    matched, union, both = aligned(a, b)
+    if matched > 0 and SIMILAR[1] * matched >= SIMILAR[0] * union:
+        return True
+    return both > 0 and SIMILAR[1] * both >= SIMILAR[0] * (matched + union - both)
+
+
 def lost(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distinct shingles of ``a`` that ``b`` has not, by region of ``a``."""
     ha = shingles(a)
@@ -173,14 +190,14 @@ PREPARED = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField(
 
 
 def prepare(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Digest of the words, the words' hashes, and the sketch (null under two shingles:
+    """Digest of the words, the words' hashes, and both sketches (null under ``SHINGLE`` words:
     such texts are similar to texts with the same words only)."""
     for batch in texts:
         rows = []
         for t in batch:
             words = words_of(t)
             w = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-            bands = sketch(labelled(shingles(w))).view(np.int64) if len(w) > SHINGLE else None
+            bands = sketches(shingles(w)).view(np.int64) if len(w) >= SHINGLE else None
             rows.append((blake2b(b" ".join(words), digest_size=16).digest(), w.tobytes(), bands))
         yield pd.DataFrame(rows, columns=PREPARED.names)
 
@@ -232,7 +249,7 @@ def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
             rows = []
             for x, y in zip(left, right):
                 a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                rows.append((compare(a, b)[0], lost(a, b), lost(b, a)))
+                rows.append((near(a, b), lost(a, b), lost(b, a)))
             yield pd.DataFrame(rows, columns=["similar", "lost_a", "lost_b"])
 
     a = blobs.select(F.col("no").alias("a"), F.col("words").alias("left"))
@@ -347,7 +364,7 @@ def mark_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Every row's ``id_col`` with ``class_id`` (smallest id of its class), ``class_size`` and ``kept``.
 
     Linked texts have a similarity of 0.8 or more on their shingles of five
-    words; texts under six words are near only to texts with the same words,
+    words; texts under five words are near only to texts with the same words,
     and all texts without words (null and empty too) are one class.  One row
     a class is kept: the smallest id, of repeated rows one; a null id comes
     last.  An empty table gives an empty result.

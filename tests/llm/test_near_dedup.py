@@ -130,3 +130,25 @@ def test_rows_nulls_clashes_and_empty(spark):
     assert sorted((r["class_id"] or 0, r["class_size"], r["kept"]) for r in marks) == [
         (0, 1, True), (0, 1, True), (5, 3, False), (5, 3, False), (5, 3, True)]
     assert as_dicts(N.near_dedup(df.limit(0))) == [] and as_dicts(N.mark_near_copies(df.limit(0))) == []
+
+
+def test_repeats_and_moves_part_no_similar_texts(spark):
+    rng = random.Random(4)
+
+    def fresh(n):
+        return ["w" + str(rng.randrange(10**9)) for _ in range(n)]
+
+    pairs = []
+    for _ in range(40):
+        words = fresh(200)
+        pairs.append((words, words[:100] + words[90:100] * 30 + words[100:]))
+        one, two, three = fresh(80), fresh(70), fresh(90)
+        pairs.append((one + two + three, three + one + two))
+    pairs += [(["v"] * 5, ["v"] * 6), (["u"] * 6, ["u"] * 9), (["t"] * 40, ["t"] * 4000)]
+    texts = [" ".join(t) for pair in pairs for t in pair]
+    # alike in fewer than four fifths of the shingles, whatever their order
+    apart = fresh(60)
+    texts += [" ".join(apart + fresh(40)), " ".join(fresh(40) + apart), "s s s s", "s s s s s"]
+    got = by_id(N.mark_near_copies(docs(spark, texts).repartition(3)))
+    n = 2 * len(pairs)
+    assert [got[i]["class_id"] for i in range(len(texts))] == [i - i % 2 for i in range(n)] + list(range(n, n + 4))

@@ -29,18 +29,17 @@ from .features import FEATURES, fit_preprocessor, slot_sources
 @dataclass
 class ForestParams:
     num_trees: int = 200
-    max_depth: int = 12          # Spark allows up to 30; the reference grows unlimited trees
+    max_depth: int = 30          # Spark's most; the reference grows unlimited trees
     min_instances: int = 2
     max_bins: int = 64
     seed: int = K.RANDOM_STATE
     # node statistics aggregated per pass over the data: a larger budget
     # means fewer passes for deep forests over wide one-hot vectors
     max_memory_mb: int = 1024
-    # features tried per split in the regressors.  The reference tries all
-    # of them; over a one-hot vector with thousands of slots that multiplies
-    # the node statistics of every level, so the default is Spark's own
-    # regression default (one third); pass "all" for the reference setting.
-    regression_features: str = "onethird"
+    # features tried per split in the regressors: all of them, as in the
+    # reference; over a one-hot vector with thousands of slots "onethird"
+    # cuts the node statistics of every level, and gives other trees
+    regression_features: str = "all"
 
 
 @dataclass

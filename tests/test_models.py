@@ -57,6 +57,14 @@ def test_regressors_and_tree_ranges(spark, lines):
     assert diff < 1e-6
 
 
+def test_default_forests_are_not_cut(lines):
+    regs = M.train_regressors(lines, M.ForestParams(num_trees=2))
+    for r in regs.values():
+        assert r.forest.getMaxDepth() == 30 and r.forest.getFeatureSubsetStrategy() == "all"
+    assert max(t.depth for r in regs.values() for t in r.forest.trees) > 12
+    assert M.ForestParams().num_trees == 200
+
+
 def test_kmeans_segments(spark, lines):
     from hpfunnel.session import materialize
     feats = materialize(client_features(lines))

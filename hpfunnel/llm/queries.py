@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, mixing, near_dedup, packing, secrets, topk, toxicity, urls
+from . import exact_dedup, langid, licences, mixing, near_dedup, packing, secrets, topk, toxicity, trie, urls
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -131,6 +131,61 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out(F.col("doc_id"))), model).drop("text")
 
 
+def trie_digest(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``ends`` as lower-case hex."""
+    return nodes.withColumn("ends_sha256", F.lower(F.hex("ends"))).drop("ends")
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_digest(trie.conversation_trie(table(spark, sf_dir, "conversations")))
+
+
+# crc32 bit by bit: each byte enters with the first of its eight steps.  A
+# node is named by its turns' digests in a row; its subtree is found through
+# the prefixes of the names.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS said,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'s': said, 'w': words} ORDER BY turn NULLS FIRST, said) AS t FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, t, CAST(xor(list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+             lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda x, y: xor(xor(x, y) >> 1, CAST(3988292384 AS BIGINT) * (xor(x, y) & 1))),
+         CAST(4294967295 AS BIGINT)) % 4 AS BIGINT) AS h
+  FROM own),
+convs AS (
+  SELECT c.conv_id, list_concat(coalesce(b.t, [])[1:c.h], c.t[c.h + 1:]) AS t
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+members AS (
+  SELECT conv_id, len(t) AS size, d AS depth,
+         array_to_string(list_transform(t[1:d], lambda x: x.s), ' ') AS name,
+         CASE WHEN d > 0 THEN array_to_string(list_transform(t[1:d - 1], lambda x: x.s), ' ') END AS parent,
+         CASE WHEN d > 0 THEN t[d].w ELSE 0 END AS words
+  FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM convs)),
+nodes AS (
+  SELECT name, depth, any_value(parent) AS parent, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM members GROUP BY name, depth),
+kids AS (SELECT parent AS name, depth - 1 AS depth, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY ALL),
+facts AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, (n.n_convs - 1) * n.words AS saved
+  FROM nodes n LEFT JOIN kids k USING (name, depth)),
+above AS (
+  SELECT array_to_string(string_split(name, ' ')[1:up], ' ') AS top, up AS top_depth, saved, CAST(n_children = 0 AS BIGINT) AS leaf
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM facts)),
+sums AS (SELECT top, top_depth, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY ALL)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM facts f JOIN sums s ON s.top = f.name AND s.top_depth = f.depth
+LEFT JOIN nodes p ON p.name = f.parent AND p.depth = f.depth - 1
+"""
+
+
 REGISTRY = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
@@ -142,4 +197,5 @@ REGISTRY = {
     "op8_near_dedup": (op8_near_dedup, None),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
 }

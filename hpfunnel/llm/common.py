@@ -27,6 +27,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame, size_col: str, limit: int) -> DataFrame:
+    """``df``, written, with ``part``: rows dealt into as many parts as keep each one's ``size_col`` bounded.
+
+    No part's sizes sum to more than twice ``limit``, or than the largest row
+    if that is more; this is measured, so a part can be broadcast.
+    """
+    rows = written(df.withColumn("part_no", F.monotonically_increasing_id()), "parted-rows")
+    total, largest = rows.agg(F.sum(size_col), F.max(size_col)).first()
+    parts = max(1, -(-(total or 0) // limit))
+    while True:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("part_no"), F.lit(parts)).cast("int"))
+        most = dealt.groupBy("part").agg(F.sum(size_col).alias("size")).agg(F.max("size")).first()[0]
+        if parts == 1 or (most or 0) <= max(2 * limit, largest):
+            return dealt.drop("part_no")
+        parts *= 2
+
+
 #: Most rows, with whole texts, that a Python worker gets at a time.
 BATCH_ROWS = 1_000
 

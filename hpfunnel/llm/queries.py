@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, mixing, near_dedup, packing, secrets, topk, toxicity, trie, urls
+from . import (decontaminate, exact_dedup, langid, licences, mixing, near_dedup, packing, secrets, topk, toxicity, trie,
+               urls)
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -186,6 +187,41 @@ LEFT JOIN nodes p ON p.name = f.parent AND p.depth = f.depth - 1
 """
 
 
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(named.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS said
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT no, n, p, array_to_string(w[p:p + n - 1], ' ') AS said
+  FROM (SELECT no, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, lengths WHERE len(w) >= n)),
+hits AS (SELECT no, n, p, item_id FROM places JOIN windows USING (n, said)),
+hit_words AS (
+  SELECT no, count(DISTINCT spot) AS n_hit FROM (SELECT no, unnest(range(p, p + n)) AS spot FROM hits) GROUP BY no),
+items AS (
+  SELECT no, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS named
+  FROM (SELECT DISTINCT no, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY no)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(named, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (no) LEFT JOIN items USING (no)
+"""
+
+
 REGISTRY = {
     "op1_license_scan": (op1_license_scan, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
@@ -198,4 +234,5 @@ REGISTRY = {
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op13_benchmark_decontamination": (op13_benchmark_decontamination, OP13_SQL),
 }

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, exact_dedup, langid, licences, mixing, near_dedup, packing, secrets, topk, toxicity, trie,
-               urls)
+from . import (decontaminate, exact_dedup, langid, licences, mixing, near_dedup, packing, ranked, secrets, topk,
+               toxicity, trie, urls)
 from .common import held_out, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -187,6 +187,36 @@ LEFT JOIN nodes p ON p.name = f.parent AND p.depth = f.depth - 1
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.ranked_search(docs, table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS length FROM d WHERE len(w) > 0),
+p AS (
+  SELECT no, doc_id, term, count(*) AS tf, any_value(10 + (90 * n * n_docs) // length) AS m
+  FROM (SELECT no, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d), c GROUP BY no, doc_id, term),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, c),
+s AS (
+  SELECT item_id, no, doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * p.m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) GROUP BY item_id, no, doc_id),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -234,5 +264,6 @@ REGISTRY = {
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op12_ranked_search": (op12_ranked_search, OP12_SQL),
     "op13_benchmark_decontamination": (op13_benchmark_decontamination, OP13_SQL),
 }

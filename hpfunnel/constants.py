@@ -163,6 +163,9 @@ MIN_FREQUENCY_CLASS = 10
 MIN_FREQUENCY_REG = {PEN: 10, USD: 5}
 RECENT_CASES = 2500
 # changes in percent (amount, participants, duration) of the registered scenario queries
+# labelled rows a currency that the registered queries fit their forests on
+# (ForestParams.max_rows); see README for times and quality at other bounds
+FOREST_ROWS = 1_000
 SCENARIO_POINTS = [(0, 0, 0), (10, 20, 0), (-20, 0, 50), (50, 100, -50)]
 AGED_DAYS = 90
 

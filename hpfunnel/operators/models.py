@@ -1,29 +1,33 @@
 """Random forests on Spark ML: high-billing classifier and per-currency
 regressors, scoring, importances and per-tree prediction ranges.
 
-Training data is written once to the shared checkpoint folder before the
-forest iterates over it; tree induction itself is Spark ML's data-parallel
-level-wise algorithm.  The P10/P90 range across trees looks each row's leaf
-indices (``leafCol``) up in the forest's leaf values inside the row; nothing
-is exploded, joined or shuffled for it.
+A forest is fitted on a bounded number of labelled rows a currency (those of
+the smallest hashes; ``ForestParams.max_rows``), written once to the shared
+folder; thresholds, class weights and the split cover all rows.  Categories
+are nominal features, whose splits order them by their mean target.  For the
+P10/P90 range across trees, the values of a forest's leaves are stored in
+blocks of a few trees; a row's leaf indices (``leafCol``) are looked up in
+one block after the other, each a broadcast of bounded size, so rows are
+neither exploded nor shuffled and the plan holds no table of leaves.
 """
 
 from __future__ import annotations
 
-import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import dealt, materialize, shared_path
+from ..session import dealt, if_small, materialize, shared_path
 from . import split as SP
-from .features import FEATURES, fit_preprocessor, slot_sources
+from .features import FEATURES, assembled, encoded, fit_preprocessor, most_codes, slot_sources
+from .scenarios import CHANGED, Point, at_points, scenario_bases
 
 
 @dataclass
@@ -31,15 +35,21 @@ class ForestParams:
     num_trees: int = 200
     max_depth: int = 30          # Spark's most; the reference grows unlimited trees
     min_instances: int = 2
-    max_bins: int = 64
+    max_bins: int = 32           # of numbers; categories get a bin each, however many there are
     seed: int = K.RANDOM_STATE
+    # labelled rows a forest is fitted on, a currency: about as many as the
+    # reference's own table has; all rows if there are fewer
+    max_rows: int = 12_000
+    # parts that those rows are dealt into; every part of every pass fills
+    # statistics for all open nodes, so more parts than cores only cost
+    parts: int = 4
     # node statistics aggregated per pass over the data: a larger budget
-    # means fewer passes for deep forests over wide one-hot vectors
+    # means fewer passes for deep forests
     max_memory_mb: int = 1024
-    # features tried per split in the regressors: all of them, as in the
-    # reference; over a one-hot vector with thousands of slots "onethird"
-    # cuts the node statistics of every level, and gives other trees
+    # features tried per split in the regressors: all of them, as in the reference
     regression_features: str = "all"
+    # one slot a category instead of nominal features
+    onehot: bool = False
 
 
 @dataclass
@@ -57,28 +67,34 @@ class Regressor:
     preprocessor: PipelineModel
     forest: RandomForestRegressionModel
     leaves: DataFrame            # treeID, leaf, pred
-    values: str                  # the same as JSON, an array a tree
+    store: DataFrame             # the same in blocks of trees
     test: DataFrame = field(repr=False, default=None)
 
 
+#: Trees whose leaf values are broadcast together.
+BLOCK_TREES = 25
 PRED_COLS = ["case_id", "Fecha", "ANIO", "MON", "DES_AO", "NomCliente", "numHP"]
 
 
 def train_classifier(lines: DataFrame, params: ForestParams | None = None) -> Classifier:
     """M5: RF classifier of ``impFacturado > training median of its currency``
-    with balanced class weights (A25), on an exact stratified split (M1)."""
+    with balanced class weights (A25), on an exact stratified split (M1).
+
+    Split, medians and weights are those of all rows; the forest and its
+    encoding are fitted on at most ``params.max_rows`` training rows a currency.
+    """
     params = params or ForestParams()
     base = SP.modelling_base(lines, K.CATEGORICAL_CLASS_FEATURES)
     split = materialize(SP.stratified_split(base))
     thresholds = materialize(SP.train_thresholds(split))
     labeled = SP.label_targets(split, thresholds)
     weights = SP.class_weights(labeled)
-    train = materialize(dealt(labeled.where(~F.col("is_test")).join(
-        F.broadcast(weights.select("target", "peso")), "target"), "case_id"))
-    pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_CLASS_FEATURES, K.MIN_FREQUENCY_CLASS)
+    train = labeled.where(~F.col("is_test")).join(if_small(weights.select("target", "peso")), "target")
+    train = materialize(dealt(SP.bounded_rows(train, params.max_rows), "case_id", params.parts))
+    pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_CLASS_FEATURES, K.MIN_FREQUENCY_CLASS, params.onehot)
     rf = RandomForestClassifier(
         featuresCol=FEATURES, labelCol="target", weightCol="peso", numTrees=params.num_trees,
-        maxDepth=params.max_depth, minInstancesPerNode=params.min_instances, maxBins=params.max_bins,
+        maxDepth=params.max_depth, minInstancesPerNode=params.min_instances, maxBins=max(params.max_bins, most_codes(pre)),
         featureSubsetStrategy="sqrt", bootstrap=True, seed=params.seed,
         maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
     forest = rf.fit(pre.transform(train))
@@ -138,73 +154,108 @@ def leaf_table(spark: SparkSession, forest) -> DataFrame:
                              .cast("int")).drop("_nid")
 
 
-def leaf_values(leaves: DataFrame) -> str:
-    """The leaf predictions as JSON, an array a tree; as large as the model itself,
-    which the driver holds anyway."""
-    per_tree = leaves.groupBy("treeID").agg(F.array_sort(F.collect_list(F.struct("leaf", "pred"))).alias("v"))
-    rows = per_tree.select("treeID", F.transform("v", lambda x: x["pred"]).alias("v")).orderBy("treeID").collect()
-    return json.dumps([r["v"] for r in rows])
+def leaf_store(leaves: DataFrame, currency: str, trees: int) -> DataFrame:
+    """The leaf predictions (treeID, leaf, pred) in blocks of ``trees`` trees: (model, block, values), written.
+
+    ``values`` has an array a tree.  A tree has at most a leaf for every two
+    rows that it was fitted on, and those are bounded (``max_rows``).
+    """
+    def in_order(key: str, value: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
 
+    per_tree = leaves.groupBy("treeID").agg(in_order("leaf", "pred").alias("v"))
+    blocks = per_tree.groupBy(F.floor(F.col("treeID") / trees).cast("int").alias("block")).agg(in_order("treeID", "v").alias("values"))
+    return materialize(blocks.select(F.lit(currency).alias("model"), "block", "values"))
 
-def tree_ranges(scored: DataFrame, values: str, probs=(0.1, 0.9)) -> DataFrame:
+
+def tree_ranges(scored: DataFrame, store: DataFrame, num_trees: int, probs=(0.1, 0.9)) -> DataFrame:
     """Add ``rango_p10`` and ``rango_p90``, quantiles of the
     individual tree predictions of every row (linear interpolation).
 
-    ``values`` (from ``leaf_values``) becomes a constant of the plan, in
-    which every row looks its leaves up.
+    ``scored`` has the forest's leaf indices (``leaves``) and the currency of
+    its model (``MON``); ``store`` comes from ``leaf_store``.
     """
-    table = F.from_json(F.lit(values), "array<array<double>>")
-    hits = F.transform(vector_to_array("leaves"), lambda leaf, tree: F.get(F.get(table, tree), leaf.cast("int")))
-    out = scored.withColumn("_trees", F.array_sort(hits))
-
-    def quantile(p: float):
-        h = (F.size("_trees") - 1) * F.lit(p)
-        low = F.get("_trees", F.floor(h).cast("int"))
-        return low + (F.get("_trees", F.ceil(h).cast("int")) - low) * (h - F.floor(h))
+    out = scored.withColumn("_leaves", vector_to_array("leaves"))
+    found = []
+    for first in range(0, num_trees, BLOCK_TREES):
+        block = store.where(F.col("block") == first // BLOCK_TREES).select(F.col("model").alias("_model"), F.col("values").alias("_v"))
+        found.append(f"_found_{first}")
+        hits = [F.get(F.get("_v", F.lit(t - first)), F.get("_leaves", F.lit(t)).cast("int"))
+                for t in range(first, min(first + BLOCK_TREES, num_trees))]
+        out = out.join(F.broadcast(block), F.col("MON") == F.col("_model")).withColumn(found[-1], F.array(*hits)).drop("_model", "_v")
+    out = out.withColumn("_trees", F.sort_array(F.concat(*found))).drop("_leaves", *found)
+
+    def quantile(p: float) -> Column:
+        h = (num_trees - 1) * p
+        low, high = F.get("_trees", F.lit(int(h))), F.get("_trees", F.lit(min(int(h) + 1, num_trees - 1)))
+        return low + (high - low) * F.lit(h - int(h))
 
     return out.withColumns({"rango_p10": quantile(probs[0]), "rango_p90": quantile(probs[1])}).drop("_trees")
 
 
 def train_regressors(lines: DataFrame, params: ForestParams | None = None) -> dict[str, Regressor]:
-    """One RF regressor per currency on the same exact split."""
+    """One RF regressor per currency on the same exact split, each fitted
+    on at most ``params.max_rows`` of its training rows."""
     params = params or ForestParams()
-    spark = lines.sparkSession
     base = SP.modelling_base(lines, K.CATEGORICAL_REG_FEATURES)
     split = materialize(SP.stratified_split(base))
-    out = {}
-    for cur in K.VALID_CURRENCIES:  # group order of the reference (sorted currency codes)
-        part = split.where(F.col("MON") == cur)
-        train = materialize(dealt(part.where(~F.col("is_test")).withColumn(
-            "y", F.col("impFacturado").cast("double")), "case_id"))
+    rows = SP.bounded_rows(split.where(~F.col("is_test")), params.max_rows)
+    rows = materialize(rows.withColumn("y", F.col("impFacturado").cast("double")))
+
+    def fit(cur: str) -> Regressor:
+        train = materialize(dealt(rows.where(F.col("MON") == cur), "case_id", params.parts))
         pre = fit_preprocessor(train, K.NUMERIC_FEATURES, K.CATEGORICAL_REG_FEATURES,
-                               K.MIN_FREQUENCY_REG[cur])
+                               K.MIN_FREQUENCY_REG[cur], params.onehot)
         rf = RandomForestRegressor(
             featuresCol=FEATURES, labelCol="y", numTrees=params.num_trees, maxDepth=params.max_depth,
-            minInstancesPerNode=params.min_instances, maxBins=params.max_bins,
+            minInstancesPerNode=params.min_instances, maxBins=max(params.max_bins, most_codes(pre)),
             featureSubsetStrategy=params.regression_features,
-            bootstrap=True, seed=params.seed, leafCol="leaves",
-            maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
+            bootstrap=True, seed=params.seed, leafCol="leaves", maxMemoryInMB=params.max_memory_mb, cacheNodeIds=True)
         forest = rf.fit(pre.transform(train))
-        leaves = leaf_table(spark, forest)
-        out[cur] = Regressor(cur, pre, forest, leaves, leaf_values(leaves), part.where(F.col("is_test")))
-    return out
+        leaves = leaf_table(lines.sparkSession, forest)
+        return Regressor(cur, pre, forest, leaves, leaf_store(leaves, cur, BLOCK_TREES),
+                         split.where((F.col("MON") == cur) & F.col("is_test")))
+
+    # group order of the reference (sorted currency codes); the fits are independent jobs
+    with ThreadPoolExecutor(max_workers=len(K.VALID_CURRENCIES)) as pool:
+        return dict(zip(K.VALID_CURRENCIES, pool.map(fit, K.VALID_CURRENCIES)))
 
 
 def regress(model: Regressor, df: DataFrame) -> DataFrame:
     """Estimate plus P10/P90 tree range for every row of ``df``."""
-    scored = model.forest.transform(model.preprocessor.transform(df))
-    return tree_ranges(scored, model.values).drop("leaves")
+    return ranged(model, model.preprocessor.transform(df))
+
 
+def ranged(model: Regressor, features: DataFrame) -> DataFrame:
+    """Estimate plus P10/P90 tree range of rows that have their feature vector."""
+    return tree_ranges(model.forest.transform(features), model.store, model.forest.getNumTrees).drop("leaves")
 
-def score_scenarios(classifier: Classifier, regressors: dict[str, Regressor], grid: DataFrame) -> DataFrame:
-    """Probability, estimate and range of every scenario; its columns are carried
-    through one transform of each model, and each currency takes its own regressor."""
-    columns = grid.columns
+
+def score_scenarios(classifier: Classifier, regressors: dict[str, Regressor], cases: DataFrame,
+                    points: list[Point]) -> DataFrame:
+    """Probability, estimate and range of every case at every point.
+
+    A case is imputed and encoded once for each model; a point only changes
+    the three numbers of its vectors.  Each currency takes its own regressor.
+    """
     frames = []
+    bases = scenario_bases(cases)
     for currency, regressor in regressors.items():
-        part = classify(classifier, grid.where(F.col("MON") == currency)) \
-            .select(*columns, F.col("probabilidad_alta").alias("probability"))
-        frames.append(regress(regressor, part).select(
+        part = bases.where(F.col("MON") == currency)
+        columns = at_points(bases, points).columns
+        kept = {}
+        for name, pre, categorical in (("class", classifier.preprocessor, K.CATEGORICAL_CLASS_FEATURES),
+                                       ("reg", regressor.preprocessor, K.CATEGORICAL_REG_FEATURES)):
+            own = part.columns
+            known = [f"num_{c}" for c in K.NUMERIC_FEATURES if c not in CHANGED] + [f"idx_{c}" for c in categorical]
+            part = encoded(pre, part).select(*own, F.struct(*known).alias(f"_{name}"))
+            kept[name] = assembled([F.col(c) if c in CHANGED else F.col(f"_{name}.num_{c}") for c in K.NUMERIC_FEATURES],
+                                   [F.col(f"_{name}.idx_{c}") for c in categorical])
+        scored = at_points(part, points)
+        p = classifier.forest.transform(scored.withColumn(FEATURES, kept["class"])) \
+            .withColumn("_p", vector_to_array("probability")[1])
+        p = p.select(*columns, "_reg", F.col("_p").alias("probability")).withColumn(FEATURES, kept["reg"])
+        frames.append(ranged(regressor, p).select(
             *columns, "probability", F.col("prediction").alias("estimate"),
             F.col("rango_p10").alias("range_low"), F.col("rango_p90").alias("range_high")))
     out = frames[0]

@@ -4,19 +4,21 @@ The split is exact (``ceil(test_size * n)`` test rows per stratum, chosen
 by a seeded md5 of the case key) without sorting any stratum: a histogram
 of the leading hash digits per stratum locates the boundary bucket, only
 the rows of that one bucket are ranked, and the resulting per-stratum
-threshold (a handful of rows) is broadcast back.  A stratum holding most
-of the data therefore never lands in one task.
+threshold is joined back (broadcast if the strata are few, which is
+checked).  A stratum holding most of the data therefore never lands in one
+task.  The same selection gives models a bounded number of training rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import clean_category
+from ..session import if_small
 from .quantiles import exact_quantiles, exact_quantiles_many
 
 HASH_DIGITS = 5  # 16**5 = 1,048,576 histogram buckets per stratum
@@ -34,9 +36,13 @@ def split_hash(key: Column, seed: int = K.RANDOM_STATE) -> Column:
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
 
 
-def stratified_split(df: DataFrame, strata: Sequence[str] = ("MON",), key: str = "case_id",
-                     test_size: float = K.TEST_SIZE, seed: int = K.RANDOM_STATE) -> DataFrame:
-    """Add ``is_test`` with exactly ``ceil(test_size*n)`` rows per stratum."""
+def smallest_hashes(df: DataFrame, strata: Sequence[str], key: str, how_many: Callable[[Column], Column],
+                    flag: str, seed: int = K.RANDOM_STATE) -> DataFrame:
+    """Add ``flag``: true for exactly ``how_many(n)`` of the n rows of each stratum, those of the smallest hashes.
+
+    Rows of equal keys count as one another's equals: a key that the cut
+    falls into is taken with all its rows.
+    """
     strata = list(strata)
     h = df.withColumn("_h", split_hash(F.col(key), seed)) \
         .withColumn("_bk", F.conv(F.substring("_h", 1, HASH_DIGITS), 16, 10).cast("long"))
@@ -46,19 +52,30 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("MON",), key: str =
     hist = hist.withColumns({
         "_n": F.sum("_cnt").over(w_all),
         "_end": F.sum("_cnt").over(w_cum)}) \
-        .withColumn("_k", F.ceil(F.col("_n") * F.lit(test_size)).cast("long"))
+        .withColumn("_k", how_many(F.col("_n")).cast("long"))
     boundary = hist.where((F.col("_end") >= F.col("_k")) & (F.col("_end") - F.col("_cnt") < F.col("_k"))) \
         .select(*strata, "_bk", (F.col("_k") - (F.col("_end") - F.col("_cnt"))).alias("_need"))
     # rank only the rows of each stratum's boundary bucket
-    edge = h.join(F.broadcast(boundary), strata + ["_bk"]) \
+    edge = h.join(if_small(boundary), strata + ["_bk"]) \
         .withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", key))) \
         .where(F.col("_r") == F.col("_need")) \
         .select(*strata, F.col("_h").alias("_th"), F.col(key).alias("_tk"))
-    # one row per stratum (strata are the valid currencies): safe to broadcast
-    marked = h.join(F.broadcast(edge), strata, "left")
-    is_test = F.coalesce((F.col("_h") < F.col("_th")) |
-                         ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk"))), F.lit(False))
-    return marked.withColumn("is_test", is_test).drop("_h", "_bk", "_th", "_tk")
+    marked = h.join(if_small(edge), strata, "left")
+    taken = F.coalesce((F.col("_h") < F.col("_th")) |
+                       ((F.col("_h") == F.col("_th")) & (F.col(key) <= F.col("_tk"))), F.lit(False))
+    return marked.withColumn(flag, taken).drop("_h", "_bk", "_th", "_tk")
+
+
+def stratified_split(df: DataFrame, strata: Sequence[str] = ("MON",), key: str = "case_id",
+                     test_size: float = K.TEST_SIZE, seed: int = K.RANDOM_STATE) -> DataFrame:
+    """Add ``is_test`` with exactly ``ceil(test_size*n)`` rows per stratum."""
+    return smallest_hashes(df, strata, key, lambda n: F.ceil(n * F.lit(test_size)), "is_test", seed)
+
+
+def bounded_rows(df: DataFrame, most: int, strata: Sequence[str] = ("MON",), key: str = "case_id",
+                 seed: int = K.RANDOM_STATE + 1) -> DataFrame:
+    """The ``most`` rows of each stratum with the smallest hashes; all of them, if there are fewer."""
+    return smallest_hashes(df, strata, key, lambda n: F.least(n, F.lit(most)), "_taken", seed).where("_taken").drop("_taken")
 
 
 def train_thresholds(split: DataFrame, value: str = "impFacturado", by: str = "MON",
@@ -69,9 +86,9 @@ def train_thresholds(split: DataFrame, value: str = "impFacturado", by: str = "M
 
 def label_targets(split: DataFrame, thresholds: DataFrame, by: str = "MON",
                   value: str = "impFacturado") -> DataFrame:
-    """``target = value > threshold of its currency`` (strict);
-    thresholds are one row per currency, broadcast."""
-    return split.join(F.broadcast(thresholds), by) \
+    """``target = value > threshold of its currency`` (strict); the
+    thresholds, one row a value of ``by``, are broadcast if they are few."""
+    return split.join(if_small(thresholds), by) \
         .withColumn("target", (F.col(value).cast("double") > F.col("umbral")).cast("int"))
 
 
@@ -92,14 +109,17 @@ def imputer_medians(split: DataFrame, features: Sequence[str] = K.NUMERIC_FEATUR
 INFREQUENT = "infrequent_sklearn"
 
 
+def category_counts(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(variable, categoria, n): how often each value of each column occurs, in one unpivoted pass."""
+    long = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("categoria")) for c in features
+    ])).alias("_kv")).select("_kv.*")
+    return long.groupBy("variable", "categoria").agg(F.count(F.lit(1)).alias("n"))
+
+
 def category_buckets(split: DataFrame, features: Sequence[str] = K.CATEGORICAL_CLASS_FEATURES,
                      min_frequency: int = K.MIN_FREQUENCY_CLASS) -> DataFrame:
     """Training frequency of every category and its encoding bucket
     (categories seen fewer than ``min_frequency`` times share one slot)."""
-    train = split.where(~F.col("is_test"))
-    long = train.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("categoria")) for c in features
-    ])).alias("_kv")).select("_kv.*")
-    counts = long.groupBy("variable", "categoria").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("bucket", F.when(F.col("n") >= min_frequency, F.col("categoria"))
-                             .otherwise(F.lit(INFREQUENT)))
+    return category_counts(split.where(~F.col("is_test")), features) \
+        .withColumn("bucket", F.when(F.col("n") >= min_frequency, F.col("categoria")).otherwise(F.lit(INFREQUENT)))

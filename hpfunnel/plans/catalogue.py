@@ -791,12 +791,14 @@ def q_regression_points(spark, sf_dir):
 
 def _classifier(spark, sf_dir):
     from ..operators import models as M
-    return _cached(spark, sf_dir, "clf", lambda: M.train_classifier(load_lines(spark, sf_dir)))
+    return _cached(spark, sf_dir, "clf", lambda: M.train_classifier(
+        load_lines(spark, sf_dir), M.ForestParams(max_rows=K.FOREST_ROWS)))
 
 
 def _regressors(spark, sf_dir):
     from ..operators import models as M
-    return _cached(spark, sf_dir, "reg", lambda: M.train_regressors(load_lines(spark, sf_dir)))
+    return _cached(spark, sf_dir, "reg", lambda: M.train_regressors(
+        load_lines(spark, sf_dir), M.ForestParams(max_rows=K.FOREST_ROWS)))
 
 
 def _segmentation(spark, sf_dir):
@@ -866,7 +868,7 @@ def q_rf_scenarios(spark, sf_dir):
     from ..operators import scenarios as S
     clf, regs = _classifier(spark, sf_dir), _regressors(spark, sf_dir)
     cases = C.eligible_cases(load_lines(spark, sf_dir))
-    scored = M.score_scenarios(clf, regs, S.scenario_grid(cases, K.SCENARIO_POINTS))
+    scored = M.score_scenarios(clf, regs, cases, K.SCENARIO_POINTS)
     out = S.decorate_scores(scored).join(F.broadcast(clf.thresholds), "MON")
     return finalize(out.select("case_id", "pct_importe", "pct_participantes", "pct_duracion", "MON",
                                "probability", "classification", "level", "message", "gauge", "estimate",

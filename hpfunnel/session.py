@@ -97,6 +97,20 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table that is hinted for broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def if_small(df):
+    """``df`` written, and hinted for broadcast only if it has at most ``BROADCAST_ROWS`` rows.
+
+    Larger ones are left to Catalyst's and AQE's own choice of join.
+    """
+    from pyspark.sql import functions as F
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def dealt(df, key: str, parts: int = 32):
     """Rows dealt by key into a fixed number of sorted partitions.
 

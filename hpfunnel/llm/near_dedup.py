@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, packed, quoted, written
+from .common import bounded_batches, discard, packed, quoted, written
 from .licences import words_of
 
 SHINGLE, BANDS, PICK = 5, 20, 3
@@ -231,9 +231,11 @@ def components(links: DataFrame) -> DataFrame:
         after = least.join(jump, least["label"] == jump["at"], "left").select(
             "no", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
         after = written(after, "labels")
-        labels = after.select("no", "label")
+        discard(least, labels)
         if not after.filter("was <> label").limit(1).count():
-            return labels
+            discard(both)
+            return after.select("no", "label")
+        labels = after
 
 
 def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -284,18 +286,22 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
         "no", F.posexplode("bands").alias("band", "hash")).select("no", F.xxhash64("band", "hash").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("no").alias("low"), F.max("no").alias("high")) \
         .filter("low < high").select("bucket")
-    members = written(hand_back(buckets, shared, "bucket"), "bucket-members")
+    members = written(buckets.join(shared, "bucket", "left_semi"), "bucket-members")  # AQE splits a hot bucket
     blobs = written(words.join(members.select("no").distinct(), "no", "left_semi"), "candidate-words")
     known = written(slacks(blobs), "slacks")
 
-    members = written(members.join(known, "no"), "known-members")
-    leaders = members.groupBy("bucket").agg(F.max(F.struct("slack", "no", "size")).alias("lead"), F.count("*").alias("n")) \
+    with_slack = written(members.join(known, "no"), "known-members")
+    discard(members, known)
+    leaders = with_slack.groupBy("bucket").agg(F.max(F.struct("slack", "no", "size")).alias("lead"), F.count("*").alias("n")) \
         .filter("n > 1").select("bucket", "lead")
     # who cannot be similar to the text of most slack cannot be similar to anyone in the bucket
-    led = written(hand_back(members, leaders, "bucket").filter(F.col("slack") + F.col("lead.slack") >= 0), "led-members")
+    led = written(hand_back(with_slack, leaders, "bucket").filter(F.col("slack") + F.col("lead.slack") >= 0), "led-members")
+    discard(with_slack)
     pairs = led.filter((F.col("no") != F.col("lead.no")) & _of_a_size(F.col("size"), F.col("lead.size"))) \
         .select(F.least("no", "lead.no").alias("a"), F.greatest("no", "lead.no").alias("b")).distinct()
-    verified = verify(written(pairs, "leader-pairs"), blobs)
+    pairs = written(pairs, "leader-pairs")
+    verified = verify(pairs, blobs)
+    discard(pairs)
     links = verified.filter("similar").select("a", "b")
 
     # The same outcome seen from either side, to hand it back to the buckets' members.
@@ -311,6 +317,7 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
     classed = written(classed.select(
         "bucket", "no", "size", "slack", regions.alias("regions"), loss.alias("loss"), F.coalesce("label", "no").alias("label"),
         (F.coalesce("label", "no") != F.coalesce("lead_label", "lead_no")).alias("outside")), "classed-members")
+    discard(led, labels)
 
     def of(*names: str) -> list[Column]:
         return [F.col(c).alias(f"{c}_x") for c in names]
@@ -321,12 +328,16 @@ def find_links(texts: DataFrame, words: DataFrame) -> DataFrame:
     close = F.col("slack") + F.col("slack_x") - 9 * F.coalesce(apart, F.lit(0)) >= 0
     outside = classed.filter("outside").select("bucket", *of("no", "size", "slack", "regions", "loss", "label"))
     hopeful = outside.join(profile, "bucket").filter(room >= 0).select("bucket", "no_x").distinct()
-    outside = outside.join(written(hopeful, "open-members"), ["bucket", "no_x"], "left_semi")
+    hopeful = written(hopeful, "open-members")
+    outside = outside.join(hopeful, ["bucket", "no_x"], "left_semi")
     across = outside.join(classed, "bucket").filter(
         (F.col("label") != F.col("label_x")) & (room >= 0) & _of_a_size(F.col("size"), F.col("size_x")) & close) \
         .select(F.least("no", "no_x").alias("a"), F.greatest("no", "no_x").alias("b")).distinct()
     across = written(across.join(verified, ["a", "b"], "left_anti"), "class-pairs")
-    return links.union(verify(across, blobs).filter("similar").select("a", "b"))
+    discard(classed, hopeful)
+    more = verify(across, blobs).filter("similar").select("a", "b")
+    discard(across, blobs)
+    return links.union(more)
 
 
 def _of_a_size(x: Column, y: Column) -> Column:
@@ -334,13 +345,14 @@ def _of_a_size(x: Column, y: Column) -> Column:
     return F.least(x, y) * SIMILAR[1] >= F.greatest(x, y) * SIMILAR[0]
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows as written (doc, id, no, digest) and their classes (no, class_id, class_size, kept).
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows as written (id, no, digest; with ``whole`` also doc, all columns) and their classes
+    (no, class_id, class_size, kept).
 
     See ``mark_near_copies`` for what counts as near.
     """
     columns = packed(bounded_batches(df), id=id_col, text=text_col)
-    rows = written(columns.select("doc", F.col("id").cast("bigint").alias("id"),
+    rows = written(columns.select(*["doc"] * whole, F.col("id").cast("bigint").alias("id"),
                                   F.pandas_udf(prepare, PREPARED)("text").alias("p"),
                                   F.monotonically_increasing_id().alias("no")), "near-rows")
     facts = rows.select("no", "id", F.col("p.digest").alias("digest"), F.col("p.bands").alias("bands"))
@@ -352,12 +364,15 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classed = texts.select("digest", "first", "n", "no").join(components(links), "no", "left") \
         .withColumn("label", F.coalesce("label", "no"))
     classed = written(classed, "classed-texts")
+    discard(texts)
     groups = classed.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("size"))
     of_text = hand_back(classed.select("digest", "no", "label"), groups, "label").drop("no", "label")
     marked = hand_back(facts.select("no", "digest"), of_text, "digest").select(
         "no", F.col("first.id").alias("class_id"), F.col("size").alias("class_size"),
         (F.col("no") == F.col("first.no")).alias("kept"))
-    return rows.select("doc", "id", "no"), written(marked, "near-marks")
+    marked = written(marked, "near-marks")
+    discard(classed)
+    return rows.select(*["doc"] * whole, "id", "no"), marked
 
 
 def mark_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,8 +389,11 @@ def mark_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each near-duplicate class, with all its columns."""
-    rows, marked = near_classes(df, id_col, text_col)
+    """``df`` with one row of each near-duplicate class, with all its columns, whatever their names.
+
+    Which rows are a class, and which one stays, is as in ``mark_near_copies``.
+    """
+    rows, marked = near_classes(df, id_col, text_col, whole=True)
     dropped = written(marked.filter("not kept").select("no"), "near-dropped")
     kept = rows.join(dropped, "no", "left_anti")
     return kept.select(*[F.col("doc").getField(c).alias(c) for c in df.columns])

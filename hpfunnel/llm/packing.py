@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, quoted, written
 
 CAPACITY, END = 4096, 1
-#: Runs and pre-tokens whose ids a task remembers.
-REMEMBERED = 400_000
+#: Bytes of runs and pre-tokens, with their ids, that a task remembers, and what one takes beside its characters.
+REMEMBERED_BYTES, ENTRY_BYTES = 80 << 20, 200
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -56,7 +56,7 @@ class Encoder(dict):
     A BPE's ids of a text are those of its pre-tokens in a row, and no
     pre-token holds white space.  So each pre-token goes through the
     vocabulary's model once, and the ids of every run between white space
-    are remembered.  Texts with characters beyond ASCII and Latin-1 letters,
+    are remembered, until they take ``REMEMBERED_BYTES``.  Texts with characters beyond ASCII and Latin-1 letters,
     or with a special token's brackets, go through the tokenizer whole, as
     does everything if the vocabulary's pre-tokens are not the known ones.
     """
@@ -68,6 +68,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.pretokens: dict[str, bytes] = {}
+        self.held = 0
         probe = "It's 3 o'clock: café & ÀÉ--x's, you'll_see!? (2x4)\n\tend 'tis"
         self.known = True
         self.known = self.whole(probe) == self.encode(probe)
@@ -75,21 +76,29 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pretoken(self, word: str) -> bytes:
-        ids = self.pretokens.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-            ids = self.pretokens[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return ids
+    def model_ids(self, word: str) -> bytes:
+        mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
-    def __missing__(self, run: str) -> bytes:
-        if len(self) > REMEMBERED:
+    def remembered(self, known: dict[str, bytes], word: str, ids: bytes) -> bytes:
+        self.held += ENTRY_BYTES + len(word) + len(ids)
+        if self.held > REMEMBERED_BYTES:
             self.clear()
-        if len(self.pretokens) > REMEMBERED:
             self.pretokens.clear()
-        ids = self[run] = b"".join(map(self.pretoken, PRETOKEN.findall(run)))
+            self.held = 0
+        known[word] = ids
         return ids
 
+    def pretoken(self, word: str) -> bytes:
+        ids = self.pretokens.get(word)
+        return self.remembered(self.pretokens, word, self.model_ids(word)) if ids is None else ids
+
+    def __missing__(self, run: str) -> bytes:
+        words = PRETOKEN.findall(run)
+        if len(words) == 1:  # the run itself: no need to remember it twice
+            return self.remembered(self, run, self.pretokens.get(words[0]) or self.model_ids(words[0]))
+        return self.remembered(self, run, b"".join(map(self.pretoken, words)))
+
     def encode(self, text: str) -> bytes:
         if self.known and PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, text.lower().split()))

@@ -1007,8 +1007,8 @@ SELECT case_id,
   CAST(TRY_CAST(ANIO AS DOUBLE) AS INTEGER) AS ANIO,
   CASE WHEN ends_with(numHP, '.0') THEN CAST(TRY_CAST(numHP AS DOUBLE) AS BIGINT) END AS numHP,
   {R("TRY_CAST(ImporteB AS DECIMAL(18,2))")} AS ImporteB,
-  {R("CASE WHEN isnan(TRY_CAST(nParticipante AS DOUBLE)) THEN NULL ELSE TRY_CAST(nParticipante AS DOUBLE) END")} AS nParticipante,
-  CASE WHEN isinf(TRY_CAST(duracion AS DOUBLE)) THEN 'inf' ELSE CAST({R("TRY_CAST(duracion AS DOUBLE)")} AS VARCHAR) END AS duracion,
+  {R("CASE WHEN isfinite(TRY_CAST(nParticipante AS DOUBLE)) THEN TRY_CAST(nParticipante AS DOUBLE) END")} AS nParticipante,
+  {R("CASE WHEN isfinite(TRY_CAST(duracion AS DOUBLE)) THEN TRY_CAST(duracion AS DOUBLE) END")} AS duracion,
   coalesce(TRY_CAST(propuesta_convertida AS BOOLEAN), false) AS propuesta_convertida,
   {clean_sql('NomCliente')} AS NomCliente
 FROM txt""")
@@ -1036,10 +1036,75 @@ def q_typed_ingest(spark, sf_dir):
         "case_id", "Fecha", "ANIO", "numHP", "ImporteB", "nParticipante", "duracion",
         F.coalesce("propuesta_convertida", F.lit(False)).alias("propuesta_convertida"),
         clean_category(F.col("NomCliente")).alias("NomCliente"))
-    out = finalize(typed)
-    inf = F.abs(F.col("duracion")) == F.lit(float("inf"))
-    return out.withColumn("duracion", F.when(inf, F.lit("inf")).otherwise(
-        F.col("duracion").cast("string")))
+    return finalize(typed)
+
+
+# Each table written as CSV, its integers as float text, and read back by its declared schema.
+
+def _reread(spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
+    from ..sources import sinks
+    from ..sources.artifacts import artifact_schema, read_artifact
+    path = shared_path(spark, table)
+    whole = [f.name for f in artifact_schema(table).fields if isinstance(f.dataType, (T.IntegerType, T.LongType))]
+    text = df.select(*[F.concat(F.col(c).cast("string"), F.lit(".0")).alias(c) if c in whole else F.col(c) for c in df.columns])
+    sinks.write_csv(text, path, gzip=True)
+    return finalize(read_artifact(spark, path, table))
+
+
+@register("artifact_cases", REGISTRY["dashboard_table"][1])
+def q_artifact_cases(spark, sf_dir):
+    from ..operators import clients as C
+    return _reread(spark, C.dashboard_table(*_rule_segmented(spark, sf_dir)), "cases")
+
+
+@register("artifact_segment_summary", REGISTRY["segment_summary"][1])
+def q_artifact_segment_summary(spark, sf_dir):
+    from ..operators import clients as C
+    return _reread(spark, C.segment_summary(_rule_segmented(spark, sf_dir)[1]), "segment_summary")
+
+
+@register("artifact_top_clients", REGISTRY["top_clients_by_segment"][1])
+def q_artifact_top_clients(spark, sf_dir):
+    from ..operators import clients as C
+    return _reread(spark, C.top_clients(_rule_segmented(spark, sf_dir)[1]), "top_clients")
+
+
+@register("artifact_segmented_clients", with_lines(f""", {_CF_SQL}
+SELECT NomCliente, {', '.join(f'{R(c)} AS {c}' for c in K.CLIENT_FEATURES)}, CAST(cluster_validado AS INTEGER) AS cluster_validado,
+       segmento_negocio, CAST(NULL AS DOUBLE) AS PCA_1, CAST(NULL AS DOUBLE) AS PCA_2 FROM seg"""))
+def q_artifact_segmented_clients(spark, sf_dir):
+    """The clients with their rule segments; the projected coordinates, which the rule does not have, come back as null."""
+    _, seg = _rule_segmented(spark, sf_dir)
+    return _reread(spark, seg.select("NomCliente", *K.CLIENT_FEATURES, "cluster_validado", "segmento_negocio"), "segmented_clients")
+
+
+@register("artifact_regression_metrics", with_lines(f"""{_SPLIT_SQL},
+n AS (SELECT MON, count(*) AS n FROM sp GROUP BY MON)
+SELECT MON AS Moneda, 'Random Forest pre-OI' AS Modelo, CAST(n AS BIGINT) AS Registros, records AS Muestra_prueba,
+       mae AS MAE_prueba, rmse AS RMSE_prueba, r2 AS R2_prueba
+FROM ({_reg_metrics_sql("", "MON")}) m JOIN n USING (MON)"""))
+def q_artifact_regression_metrics(spark, sf_dir):
+    from ..operators import evaluate as EV
+    from ..operators import report as RP
+    split, _, _ = _labeled(spark, sf_dir)
+    metrics = EV.regression_metrics(_eval_frame(spark, sf_dir), ["MON"], "yreal", "yhat")
+    return _reread(spark, RP.regression_table(metrics, split), "regression_metrics")
+
+
+@register("artifact_regression_predictions", with_lines(f"""{_SPLIT_SQL}
+SELECT case_id, strftime(Fecha, '%Y-%m-%d %H:%M:%S') AS Fecha, CAST(ANIO AS INTEGER) AS ANIO, MON, DES_AO, NomCliente,
+       CAST(numHP AS BIGINT) AS numHP, {R("ImporteB")} AS ImporteB, {R("impFacturado")} AS impFacturado,
+       {R("impFacturado")} AS "real", {R("CAST(ImporteB AS DOUBLE) * 0.97")} AS prediccion,
+       {R("CAST(ImporteB AS DOUBLE) * 0.8")} AS rango_p10, {R("CAST(ImporteB AS DOUBLE) * 1.2")} AS rango_p90
+FROM sp WHERE is_test"""))
+def q_artifact_regression_predictions(spark, sf_dir):
+    """The test rows with closed-form estimates, which SQL can check, in the table of the predictions."""
+    split, _, _ = _labeled(spark, sf_dir)
+    gross, billed = F.col("ImporteB").cast("double"), F.col("impFacturado").cast("double")
+    rows = split.where("is_test").select(
+        "case_id", "Fecha", "ANIO", "MON", "DES_AO", "NomCliente", "numHP", gross.alias("ImporteB"), billed.alias("impFacturado"),
+        billed.alias("real"), (gross * 0.97).alias("prediccion"), (gross * 0.8).alias("rango_p10"), (gross * 1.2).alias("rango_p90"))
+    return _reread(spark, rows, "regression_predictions")
 
 
 @register("top_clients_slice", with_lines(f""", {_CF_SQL},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import categorize_reason, clean_category, normalize_text
+from ..functions.typing import coerce
 from ..session import shared_path, source_version
 from .adapter import TABLES, raw_proposal_lines
 from .sinks import CSV_OPTIONS
@@ -33,24 +34,6 @@ LINE_TYPES: dict[str, str] = {
 OPTIONAL_COLUMNS = {"Fecha_dt", "FechaOI_dt"}
 PREPARED_COLUMNS = [c for c in LINE_TYPES if c not in OPTIONAL_COLUMNS] + ["etapa_comercial", "motivo_negocio"]
 
-def coerce(col: Column, type_name: str) -> Column:
-    """Type a column; unparsable values become null (never an error).
-
-    ``try_cast`` is used because ANSI mode makes a plain cast throw.  For
-    doubles, NaN is mapped to null so that null is the only "missing".
-    Integers are often stored as float text (``2020.0``): whole numbers are
-    kept, anything with a fraction is null.  Amounts are ``decimal(18,2)``:
-    finer ones are rounded to cents.
-    """
-    if type_name in ("int", "bigint"):
-        number = col.try_cast("double")
-        whole = F.coalesce(col.try_cast("bigint"), F.when(number == F.rint(number), number).try_cast("bigint"))
-        return whole.try_cast(type_name)
-    typed = col.try_cast(type_name)
-    if type_name in ("double", "float"):
-        typed = F.when(F.isnan(typed), F.lit(None).cast(type_name)).otherwise(typed)
-    return typed
-
 
 def type_lines(df: DataFrame) -> DataFrame:
     """Coerce every known column, add missing ones as nulls."""

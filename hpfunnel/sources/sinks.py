@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.typing import coerce
 
 
 #: CSV as data-frame libraries write it: quotes doubled, newlines inside quotes.
@@ -43,13 +44,15 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Header CSV (gzip detected from the extension).  With a schema
-    the columns are read as text and typed with ``try_cast`` so bad cells
-    become null."""
+    the columns are read as text and typed by ``coerce``, so whole numbers
+    stored as floats stay and bad cells become null; columns that the file
+    lacks are null, those that the schema lacks are left out."""
     raw = spark.read.options(**CSV_OPTIONS).csv(path)
     if schema is None:
         return raw
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields
-                        if f.name in raw.columns])
+    return raw.select(*[
+        (coerce(F.col(f"`{f.name}`"), f.dataType.simpleString()) if f.name in raw.columns else F.lit(None).cast(f.dataType))
+        .alias(f.name) for f in schema.fields])
 
 
 def read_json_table(spark: SparkSession, path: str, schema: T.StructType | None = None,

@@ -7,24 +7,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _div0(num: Column, den: Column) -> Column:
     """zero_division=0 semantics."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, buckets: int = 1 << 20) -> DataFrame:
-    """Exact ROC-AUC (Mann-Whitney with half credit for ties), one row.
+def score_ranges(df: DataFrame, label: str, score: str, ranges: int | None = None) -> DataFrame:
+    """(_s, _pos, _neg, _b), written: the distinct scores with their labels' counts, dealt into ranges.
 
-    Scores are probabilities in [0, 1].  Rows are first collapsed to
-    distinct scores (map-side), then a running count of negatives is built
-    in two levels: a prefix over at most ``buckets`` score buckets and a
-    running sum inside each bucket, so no step orders the whole table in
-    one task.
+    The ranges follow the scores' own distribution, so scores that crowd in a
+    narrow interval still spread over tasks.  By default there are as many as
+    shuffle partitions, which AQE joins where they are small.
     """
-    d = df.groupBy(F.col(score).alias("_s")).agg(
+    d = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    d = d.withColumn("_b", F.least(F.floor(F.col("_s") * F.lit(buckets)), F.lit(buckets - 1)))
+    d = d.repartitionByRange(ranges, "_s") if ranges else d.repartitionByRange("_s")
+    return materialize(d.withColumn("_b", F.spark_partition_id()))
+
+
+def roc_auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
+    """Exact ROC-AUC (Mann-Whitney with half credit for ties), one row.
+
+    Rows are first collapsed to distinct scores (map-side), then a running
+    count of negatives is built in two levels: a prefix over the ranges of
+    ``score_ranges`` (one row each) and a running sum inside each range, so
+    no step orders the whole table in one task.
+    """
+    d = score_ranges(df, label, score, buckets)
     bt = d.groupBy("_b").agg(F.sum("_neg").alias("_bneg"))
     bt = bt.withColumn("_before_b", F.coalesce(F.sum("_bneg").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

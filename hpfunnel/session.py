@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -69,6 +70,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def published(spark: SparkSession, name: str, version: str, write) -> str:
+    """Path of a table that all sessions of the shared folder use: written once for each ``version``.
+
+    ``write(path)`` makes it in a folder of its own, which gets its lasting
+    name only when it is complete; if another session was first, its table
+    is used.
+    """
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    last = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{version}")
+    fs, done = last.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(last, "_SUCCESS")
+    if not fs.exists(done):
+        fresh = shared_path(spark, name)
+        write(fresh)
+        try:  # fails if the name is taken, where FileSystem.rename would move into it
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(last.toUri(), conf)
+            none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+            files.rename(jvm.org.apache.hadoop.fs.Path(fresh), last, none)
+        except Py4JJavaError:
+            if not fs.exists(done):
+                return fresh
+    return last.toString()
+
+
 def source_version(spark: SparkSession, path: str) -> str:
     """Digest of the names, sizes and times of the files below ``path``.
 

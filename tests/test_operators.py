@@ -42,6 +42,41 @@ def test_auc_against_brute_force(spark):
     assert abs(got - _auc_brute(pairs)) < 1e-12
 
 
+def test_auc_of_crowded_scores_spreads_over_tasks(spark):
+    n = 200_000  # distinct scores within one millionth
+    df = spark.range(n).select(F.when(F.xxhash64("id") % 3 == 0, 1).otherwise(0).alias("y"),
+                               (0.5 + F.col("id") * 1e-6 / n).alias("s"))
+    ranged = EV.score_ranges(df, "y", "s", 8)
+    sizes = [r["count"] for r in ranged.groupBy("_b").count().collect()]
+    assert sum(sizes) == n and len(sizes) == 8 and max(sizes) < 2 * n / 8
+    y = [r["y"] for r in df.orderBy("s").collect()]
+    pos = sum(y)
+    rank_sum = sum(i + 1 for i, v in enumerate(y) if v)
+    want = (rank_sum - pos * (pos + 1) / 2) / (pos * (n - pos))
+    assert abs(EV.roc_auc(df, "y", "s", buckets=8).first()[0] - want) < 1e-9
+    none = spark.createDataFrame([(1, None), (1, 0.5), (0, 0.25)], "y int, s double")
+    assert EV.roc_auc(none, "y", "s").first()[0] == 1.0
+
+
+def test_second_session_finds_the_stored_lines(spark, monkeypatch):
+    from hpfunnel.sources import proposals as P
+    first = P.load_lines(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(P, "_PREPARED", {})  # as a new session would begin
+
+    def rebuilt(*_):
+        raise AssertionError("the lines are built again")
+
+    monkeypatch.setattr(P, "raw_proposal_lines", rebuilt)
+    again = P.load_lines(spark, "/root/testdata/sf0.001")
+    assert again.inputFiles() == first.inputFiles() and again.count() == first.count() > 0
+    monkeypatch.setattr(P, "LINES_FORMAT", P.LINES_FORMAT + 1)
+    with pytest.raises(AssertionError):
+        P.load_lines(spark, "/root/testdata/sf0.001")
+    one = first.select("case_id").first()[0]
+    plan = first.where(F.col("case_id") == one)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(case_id" in plan
+
+
 @pytest.mark.parametrize("n,expect_null", [(0, True), (1, True), (2, False), (3, False)])
 def test_regression_metric_edges(spark, n, expect_null):
     rows = [(float(i), float(i) + 1.0) for i in range(n)]

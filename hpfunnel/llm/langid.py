@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def lettered(text_col: str) -> Column:
+    """``has_letter`` of a column; null has none."""
+    return F.coalesce(quoted(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def grams(text: str) -> np.ndarray:
     """Hashed 1-, 2- and 3-grams of the lower-cased letters; the rest counts as one space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)

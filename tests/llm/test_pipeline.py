@@ -16,7 +16,7 @@ def test_stages_and_registration():
     import __spark_entry__ as E
     assert [n for n, _ in P.STAGES] == NAMES and P.ORACLE_SQL is None
     names = list(E.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,13 @@ def test_rejects_null_and_repeated_rows(spark):
     assert {r["doc_id"] for r in rows} <= set(range(60))
     assert as_dicts(P.run_on(spark, df.limit(0), SF)) == []
     assert as_dicts(near_dedup.near_dedup(df.limit(0))) == []
+
+
+def test_unlabelled_corpus_is_kept(spark):
+    texts = ["Plain words of a clean text", None, "", "123 ...", "Más texto limpio", "x"]
+    rows = docs(spark, texts, langs=[None] * len(texts))
+    assert sorted(r["doc_id"] for r in as_dicts(P.language_id(spark, rows, SF))) == [0, 4, 5]
+    clashing = rows.selectExpr("*", "1 AS row", "2 AS lang_pred", "3 AS ambiguous", "4 AS score")
+    kept = as_dicts(P.language_id(spark, clashing, SF))
+    assert {r["doc_id"] for r in kept} == {0, 4, 5} and all(r["lang_pred"] == 2 and r["row"] == 1 for r in kept)
+    assert {r["doc_id"] for r in as_dicts(P.run_on(spark, rows, SF))} <= {0, 4, 5}

@@ -29,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release_memory() -> None:
+    """Give memory that this Python worker has freed back to the system; workers are kept for later stages."""
+    import ctypes
+
+    import pyarrow
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``written`` made, once all that was derived from them is written too."""
     for t in tables:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out, packed, quoted, unpacked
+from .common import bounded_batches, held_out, packed, quoted, release_memory, unpacked
 
 #: Labelled rows that are learnt from (documented bound of the sample).
 TRAIN_ROWS = 50_000
@@ -151,6 +151,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for lang, c in sums.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "gram": at, "n": c[at]})
+        release_memory()
 
     total = known.select("text", "lang").mapInPandas(count, "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
@@ -174,6 +175,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=SCHEMA.names)
+        release_memory()
 
     scored = packed(bounded_batches(df), text=text_col).select("doc", decode("text").alias("s"))
     return unpacked(scored, columns, {c: F.col("s").getField(c) for c in SCHEMA.names})

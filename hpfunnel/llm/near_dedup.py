@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, packed, quoted, written
+from .common import bounded_batches, discard, packed, quoted, release_memory, written
 from .licences import words_of
 
 SHINGLE, BANDS, PICK = 5, 20, 3
@@ -200,6 +200,7 @@ def prepare(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             bands = sketches(shingles(w)).view(np.int64) if len(w) >= SHINGLE else None
             rows.append((blake2b(b" ".join(words), digest_size=16).digest(), w.tobytes(), bands))
         yield pd.DataFrame(rows, columns=PREPARED.names)
+    release_memory()
 
 
 def hand_back(rows: DataFrame, outcome: DataFrame, key: str) -> DataFrame:
@@ -253,6 +254,7 @@ def verify(pairs: DataFrame, blobs: DataFrame) -> DataFrame:
                 a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 rows.append((near(a, b), lost(a, b), lost(b, a)))
             yield pd.DataFrame(rows, columns=["similar", "lost_a", "lost_b"])
+        release_memory()
 
     a = blobs.select(F.col("no").alias("a"), F.col("words").alias("left"))
     b = blobs.select(F.col("no").alias("b"), F.col("words").alias("right"))
@@ -270,6 +272,7 @@ def slacks(words: DataFrame) -> DataFrame:
     def distinct(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for blobs in batches:
             yield pd.Series([np.unique(shingles(np.frombuffer(x, np.uint32))).view(np.int64) for x in blobs], dtype=object)
+        release_memory()
 
     own = words.select("no", distinct("words").alias("shingles"))
     counted = own.select("no", F.explode("shingles").alias("shingle")).groupBy("shingle") \

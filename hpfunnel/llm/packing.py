@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, quoted, written
+from .common import bounded_batches, quoted, release_memory, written
 
 CAPACITY, END = 4096, 1
 #: Bytes of runs and pre-tokens, with their ids, that a task remembers, and what one takes beside its characters.
@@ -119,6 +119,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: in
     that id alone.  ``keep_ids`` keeps the ids themselves.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         encoder, shard, close = Encoder(vocabulary), TaskContext.get().partitionId(), struct.pack("<I", end)
         seen = [0] * (capacity + 1)
         for b in batches:
@@ -130,6 +131,8 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: in
                                  ids if keep_ids else None, shard, seen[n]))
                     seen[n] += 1
             yield pd.DataFrame(rows, columns=PIECES.names)
+        del encoder
+        release_memory()
 
     rows = bounded_batches(docs).select(quoted(id_col).cast("bigint").alias("doc_id"), quoted(text_col).alias("text"))
     return written(rows.mapInPandas(run, PIECES), "pieces")

@@ -1,6 +1,6 @@
 """Operators of a large-scale training-data pipeline.
 
-Ten operators over documents, pages and embeddings, one module each:
+Thirteen operators over documents, pages, embeddings and conversations, one module each:
 
 * ``licences``     positional rare-token licence scan
 * ``exact_dedup``  two-pass Bloom exact dedup (native)
@@ -12,6 +12,9 @@ Ten operators over documents, pages and embeddings, one module each:
 * ``near_dedup``   Order MinHash near-duplicate classes
 * ``langid``       error-correcting-output-code language ID
 * ``toxicity``     boosted trees over dense features, isotonic scores
+* ``trie``         conversation prefix trie out of double-array tries
+* ``ranked``       ranked lexical search over hashed max-sketches
+* ``decontaminate`` benchmark passages by a broadcast hash set of n-grams
 
 ``queries`` registers one query an operator.  Nothing else in the library
 imports this package.

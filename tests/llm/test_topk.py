@@ -66,3 +66,48 @@ def test_pruning_skips_leaves():
     bounds = np.maximum(q, 0) @ tree["high"].T + np.minimum(q, 0) @ tree["low"].T
     K.search_tree(Counting(tree), -1, bounds, q, 10, None)
     assert len(opened) <= 4 < (tree["left"] == 0).sum()
+
+
+def test_queries_skip_shards_whose_box_excludes_them(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 100)
+    rng = random.Random(3)
+    centres = [[rng.choice((-20.0, 20.0)) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.1) for c in centres[i % 12]], 0) for i in range(1200)]
+    pairs, cells, whole = [], [], K.sent
+
+    def counted(asked, boxes, crowded):
+        cells.append(sum(len(c) for c, _, _ in boxes.values()))
+        pairs.append(whole(asked, boxes, crowded))
+        return pairs[-1]
+
+    monkeypatch.setattr(K, "sent", counted)
+    got = run(spark, table(spark, rows), F.col("vec_id") % 50 == 0)
+    assert got == brute(rows, lambda i: i % 50 == 0)
+    assert cells[0] >= 12 and pairs[0].count() < 24 * (cells[0] - 1) / 2  # 24 queries skip most shards
+
+
+def test_equal_vectors_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 50)
+    rows = [(i, [1.0, 2.0], 0) for i in range(400)] + [(400 + i, [i / 7, -1.0], 0) for i in range(200)]
+    v = K.integer_vectors(table(spark, rows))
+    marked = K.written(K.with_cell(v, K.cell_splits(v, 600)), "test-cells")
+    index = K.build_index(marked, K.crowded_cells(marked))
+    sizes = [len(K.pickle.loads(r["tree"])["ids"]) for r in index.collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 110
+    assert run(spark, table(spark, rows), F.col("vec_id") % 50 == 0) == brute(rows, lambda i: i % 50 == 0)
+
+
+def test_scores_past_doubles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 8)
+    rng = random.Random(9)
+    rows = [(i, [(2 ** 30 + rng.randrange(2 ** 12)) / 1024 for _ in range(2)], 0) for i in range(80)]
+    rows += [(100, [3.0], 0), (101, [4.0], 0)]  # a query without ten candidates beside the others
+    assert run(spark, table(spark, rows), F.col("vec_id") % 50 == 0, 4) == brute(rows, lambda i: i % 50 == 0, 4)
+
+
+def test_bounds_admit_every_vector_of_a_box():
+    rng = np.random.default_rng(4)
+    for size in (10, 2 ** 20, 2 ** 30):
+        v, q = rng.integers(-size, size, (50, 3)), rng.integers(-size, size, (20, 3))
+        bounds = K.box_bounds(q, v.min(axis=0)[None], v.max(axis=0)[None])[:, 0]
+        assert all(int(a) <= int(b) for row, b in zip(q @ v.T, bounds) for a in row)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -908,6 +908,108 @@ def q_kmeans_invariants(spark, sf_dir):
     return rounded(seg.clients.select("NomCliente", *K.CLIENT_FEATURES, ok.alias("ok")))
 
 
+@register("rf_quality", with_lines(_SPLIT_SQL + """
+SELECT 'clasificacion' AS modelo, NULL AS MON, CAST(count(*) AS BIGINT) AS muestra, true AS ok FROM ev
+UNION ALL SELECT 'regresion', MON, CAST(count(*) AS BIGINT), true FROM ev GROUP BY MON"""))
+def q_rf_quality(spark, sf_dir):
+    """The forests reach the quality floors on the test rows; a constant model reaches neither."""
+    from ..operators import evaluate as EV
+    from ..operators import models as M
+    clf = EV.classification_metrics(M.classification_predictions(_classifier(spark, sf_dir)))
+    reg = EV.regression_metrics(M.regression_predictions(_regressors(spark, sf_dir)), ["MON"])
+    return clf.select(F.lit("clasificacion").alias("modelo"), F.lit(None).cast("string").alias("MON"),
+                      F.col("Muestra_prueba").alias("muestra"), (F.col("ROC_AUC") > K.AUC_FLOOR).alias("ok")) \
+        .unionByName(reg.select(F.lit("regresion").alias("modelo"), "MON", F.col("records").alias("muestra"),
+                                (F.col("r2") > K.R2_FLOOR).alias("ok")))
+
+
+@register("rf_class_margins", with_lines(_SPLIT_SQL + f"""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM sp) AS Registros, CAST(count(*) AS BIGINT) AS Muestra_prueba,
+       CAST(count_if(real = 0) AS BIGINT) AS negativos, CAST(count_if(real = 1) AS BIGINT) AS positivos,
+       (SELECT {R('umbral')} FROM th WHERE MON = {q(K.PEN)}) AS umbral_pen,
+       (SELECT {R('umbral')} FROM th WHERE MON = {q(K.USD)}) AS umbral_usd, true AS ok
+FROM ev"""))
+def q_rf_class_margins(spark, sf_dir):
+    """What any classifier's report must say: sizes, thresholds, both rows of the confusion matrix;
+    ``ok``: its accuracy is that of the matrix, and the JSON fields read back as the nested ones."""
+    r = _class_record(spark, sf_dir)
+    cells = F.col("Matriz_confusion")
+    right = (cells[0][0] + cells[1][1]) / F.col("Muestra_prueba")
+    back = F.from_json("Umbrales_json", "map<string, double>")[K.PEN].eqNullSafe(F.col("Umbrales")[K.PEN]) & \
+        (F.from_json("Matriz_confusion_json", "array<array<bigint>>") == cells)
+    return rounded(r.select(
+        "Registros", "Muestra_prueba", (cells[0][0] + cells[0][1]).alias("negativos"),
+        (cells[1][0] + cells[1][1]).alias("positivos"), F.col("Umbrales")[K.PEN].alias("umbral_pen"),
+        F.col("Umbrales")[K.USD].alias("umbral_usd"), ((F.abs(right - F.col("Accuracy")) < 1e-9) & back).alias("ok")))
+
+
+def _importance_sql(modelo: str, moneda: str, categorical) -> str:
+    rows = ", ".join(f"({q(v)}, {q(K.BUSINESS_NAMES[v]) if v in K.BUSINESS_NAMES else 'NULL'})"
+                     for v in [*K.NUMERIC_FEATURES, *categorical])
+    source = "(SELECT NULL AS MON)" if moneda == "NULL" else "(SELECT DISTINCT MON FROM lab)"
+    return f"SELECT {q(modelo)} AS modelo, {moneda} AS Moneda, v AS Variable_tecnica, b AS Nombre_para_negocio, true AS ok " \
+        f"FROM {source} c, (VALUES {rows}) t(v, b)"
+
+
+@register("rf_importance_shares", with_lines(_SPLIT_SQL + "\n" + _importance_sql("clasificacion", "NULL", K.CATEGORICAL_CLASS_FEATURES)
+                                             + " UNION ALL " + _importance_sql("regresion", "MON", K.CATEGORICAL_REG_FEATURES)))
+def q_rf_importance_shares(spark, sf_dir):
+    """One row a model and source variable with its business name; ``ok``: a model's shares are not
+    negative and sum to 100, and the top eight are those that no other variable exceeds."""
+    from ..operators.report import importance_for, top_importances
+    clf = q_rf_class_importance(spark, sf_dir).withColumn("Moneda", F.lit(None).cast("string"))
+    reg = q_rf_reg_importance(spark, sf_dir)
+    top = top_importances(importance_for(reg, K.PEN), 8).agg(F.min("Importancia_pct")).scalar()
+    above = reg.where((F.col("Moneda") == K.PEN) & (F.col("Importancia_pct") > top)).agg(F.count(F.lit(1))).scalar()
+    every = clf.select(F.lit("clasificacion").alias("modelo"), "*").unionByName(reg.select(F.lit("regresion").alias("modelo"), "*"))
+    w = Window.partitionBy("modelo", "Moneda")  # one row a variable
+    ok = (F.abs(F.sum("Importancia_pct").over(w) - 100.0) < 1e-3) & (F.min("Importancia_pct").over(w) >= 0)
+    return every.select("modelo", "Moneda", "Variable_tecnica", "Nombre_para_negocio", ok.alias("ok")) \
+        .withColumn("ok", F.col("ok") & (above < 8))
+
+
+@register("kmeans_segment_totals", with_lines(f""", {_CF_SQL}
+SELECT CAST(count(*) AS BIGINT) AS clientes, 100.0 AS pct_clientes, 100.0 AS pct_operaciones,
+       CASE WHEN sum(facturacion_soles_total) <> 0 THEN 100.0 END AS pct_facturacion_PEN,
+       CASE WHEN sum(facturacion_dolares_total) <> 0 THEN 100.0 END AS pct_facturacion_USD, true AS ok FROM cf"""))
+def q_kmeans_segment_totals(spark, sf_dir):
+    """Whatever the clusters: their summary covers all clients and shares add up; ``ok``: as many
+    segments as the chosen k, which is the best of the sweep, and the metadata says the same."""
+    from ..operators import clients as C
+    from ..operators import segments as SG
+    seg = _segmentation(spark, sf_dir)
+    meta = SG.segment_meta(seg)
+    best = seg.scores.agg(F.max_by("k", F.struct("silhouette_score", -F.col("k")))).scalar()
+    ok = (F.count(F.lit(1)) == meta.select("k").scalar()) & (best == meta.select("k").scalar()) & \
+        (F.sum("Clientes") == meta.select("clientes").scalar())
+    return rounded(C.segment_summary(seg.clients).agg(
+        F.sum("Clientes").alias("clientes"), *[F.sum(c).alias(c) for c in (
+            "pct_clientes", "pct_operaciones", "pct_facturacion_PEN", "pct_facturacion_USD")], ok.alias("ok")))
+
+
+@register("pca_invariants", with_lines(f""", {_CF_SQL}
+SELECT CAST(count(*) AS BIGINT) AS clientes,
+       {R(' + '.join(f'var_samp({c})' for c in K.CLIENT_FEATURES))} AS varianza_total, true AS ok FROM sc"""))
+def q_pca_invariants(spark, sf_dir):
+    """The scaled features' variance, and what any principal components hold: mean 0, no covariance,
+    the variances that the metadata says, the first at least that of every feature and of the second."""
+    from ..operators import clients as C
+    seg = _segmentation(spark, sf_dir)
+    scaled = C.scaled_features(_clients_ready(spark, sf_dir)[1])
+    of = scaled.agg(*[F.var_samp(c).alias(c) for c in K.CLIENT_FEATURES]).select(
+        sum((F.col(c) for c in K.CLIENT_FEATURES), F.lit(0.0)).alias("total"), F.greatest(*K.CLIENT_FEATURES).alias("most"))
+    total, most = of.select("total").scalar(), of.select("most").scalar()
+    p = seg.clients.agg(F.count(F.lit(1)).alias("clientes"), *[f(c).alias(f"{n}{i}") for i, c in enumerate(("PCA_1", "PCA_2"))
+                                                              for n, f in (("m", F.avg), ("v", F.var_samp))],
+                        F.covar_samp("PCA_1", "PCA_2").alias("c")).withColumns({"varianza_total": total, "most": most})
+    near = [F.abs(F.col(f"m{i}")) < 1e-6 for i in (0, 1)] + [F.abs(F.col("c")) < 1e-6] + [
+        F.abs(F.col(f"v{i}") / F.col("varianza_total") - seg.explained_variance[i]) < 1e-6 for i in (0, 1)]
+    ok = (F.col("v0") >= F.col("most") - 1e-9) & (F.col("v0") >= F.col("v1"))
+    for n in near:
+        ok = ok & n
+    return rounded(p.select("clientes", "varianza_total", ok.alias("ok")))
+
+
 @register("kmeans_k_sweep")
 def q_kmeans_k_sweep(spark, sf_dir):
     return rounded(_segmentation(spark, sf_dir).scores)
@@ -1125,16 +1227,18 @@ def q_top_clients_slice(spark, sf_dir):
     return rounded(top_clients_slice(C.top_clients(seg), K.SEGMENT_HIGH, K.USD, 10))
 
 
-@register("rf_class_report")
-def q_rf_class_report(spark, sf_dir):
+def _class_record(spark, sf_dir):
     from ..operators import evaluate as EV
     from ..operators import models as M
     from ..operators.report import classification_record
     m = _classifier(spark, sf_dir)
     preds = M.classification_predictions(m)
-    rec = classification_record(EV.classification_metrics(preds), m.thresholds, EV.confusion_cells(preds),
-                                m.split)
-    return rounded(rec.drop("Umbrales", "Matriz_confusion"))
+    return classification_record(EV.classification_metrics(preds), m.thresholds, EV.confusion_cells(preds), m.split)
+
+
+@register("rf_class_report")
+def q_rf_class_report(spark, sf_dir):
+    return rounded(_class_record(spark, sf_dir).drop("Umbrales", "Matriz_confusion"))
 
 
 @register("rf_reg_importance_top")

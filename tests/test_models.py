@@ -187,3 +187,13 @@ def test_kmeans_of_few_distinct_points(spark):
     found = SG.k_sweep(points, 2, 6, restarts=2, max_k=4)
     assert [r.k for r, _ in found] == [2, 3, 4] and all(np.isclose(r.cost, 0) for r, _ in found)
     assert np.isclose(found[0][1], 1.0)
+
+
+def test_a_constant_model_misses_the_quality_floors(spark):
+    from hpfunnel import constants as K
+    from hpfunnel.operators import evaluate as EV
+    df = spark.range(40).select(
+        (F.col("id") % 2).cast("int").alias("real"), F.lit(1).alias("prediccion"), F.lit(0.7).alias("probabilidad_alta"),
+        F.col("id").cast("double").alias("y"), F.lit(19.5).alias("yhat"))
+    assert EV.classification_metrics(df).first()["ROC_AUC"] == 0.5 < K.AUC_FLOOR
+    assert EV.regression_metrics(df, [], "y", "yhat").first()["r2"] == 0.0 < K.R2_FLOOR

@@ -7,10 +7,15 @@ every row against that filter: rows that miss are certainly alone and pass
 straight through without a shuffle; rows that hit are *possibly* repeated
 and only those shuffle, to be grouped by their full SHA-256.
 
-The filter has at most ``MAX_WORDS`` words (16 MiB of bits), whatever the
-input, so its broadcast is bounded; with more rows than it can tell apart
-more of them count as possibly repeated and take the exact way, and the
-result stays the same.
+What shuffles: pass one sends one small record (word, bits, count) for every
+distinct text of a task, since a repeat may be in any other task; whole rows
+shuffle only if they are possibly repeated.
+
+The filter has at most ``max_words`` words, whatever the input, so its
+broadcast is bounded: by default ``MAX_WORDS`` (16 MiB of bits, meant for 8.4
+million texts).  Raise it with the broadcast budget.  With more repeated texts
+than it can tell apart more rows count as possibly repeated and take the exact
+way; the result stays the same.
 """
 
 from __future__ import annotations
@@ -32,10 +37,11 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(fold_ascii(text), 256))
 
 
-def filter_words(rows: int) -> int:
-    """Words for about ``rows`` texts: a power of two, at most ``MAX_WORDS``."""
-    words = 1024
-    while words * ROWS_PER_WORD < rows and words < MAX_WORDS:
+def filter_words(rows: int, max_words: int | None = None) -> int:
+    """Words for about ``rows`` texts: a power of two, at most ``max_words`` (rounded down to one)."""
+    most = MAX_WORDS if max_words is None else max(1, max_words)
+    words = 1
+    while words * 2 <= most and (words < 1024 or words * ROWS_PER_WORD < rows):
         words *= 2
     return words
 
@@ -61,9 +67,12 @@ def repeat_filter(digests: DataFrame, words: int) -> DataFrame:
     return written(again, "bloom")
 
 
-def mark_copies(df: DataFrame, id_col: str = "doc_id", digest_col: str = "digest") -> DataFrame:
+def mark_copies(df: DataFrame, id_col: str = "doc_id", digest_col: str = "digest",
+                max_words: int | None = None) -> DataFrame:
     """Group rows by digest; the one with the largest id of a group stays.
 
+    ``max_words``: most words of the broadcast filter (``MAX_WORDS`` if not given).
+
     Returns every input row (without ``digest_col``) with ``keep_id``,
     ``group_size``, ``kept`` and ``text_sha256``.  Of rows that share text
     and id exactly one is kept; a null id counts as the smallest; an empty
@@ -73,7 +82,7 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", digest_col: str = "digest
     columns = [c for c in df.columns if c != digest_col]
     rows = packed(df.select(*[quoted(c) for c in df.columns]), id=id_col, digest=digest_col)
     rows = rows.withColumn("doc", F.struct(*[F.col("doc").getField(c).alias(c) for c in columns]))
-    words = filter_words(df.count())
+    words = filter_words(df.count()) if max_words is None else filter_words(df.count(), max_words)
     seen = repeat_filter(rows.select("digest"), words)
     word, bits = _cell(F.col("digest"), words)
     probed = rows.withColumns({"word": word, "bits": bits}) \
@@ -101,14 +110,20 @@ def mark_copies(df: DataFrame, id_col: str = "doc_id", digest_col: str = "digest
         "text_sha256": F.lower(F.hex("digest"))})
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                max_words: int | None = None) -> DataFrame:
     """``docs`` without exact copies: of equal texts (A-Z lower-cased; null is
-    empty) the row with the largest id stays, with all its columns."""
+    empty) the row with the largest id stays, with all its columns.
+
+    Rows that share text and id leave one of them; a null id counts as the
+    smallest; an empty table gives an empty one; columns may have any name.
+    ``max_words`` as in ``mark_copies``.
+    """
     columns = docs.columns
     digest = "digest"
     while digest in columns:
         digest += "_"
     marked = mark_copies(docs.withColumn(digest, text_digest(quoted(text_col))).select(
         F.struct(*[quoted(c).alias(c) for c in columns]).alias("row"), quoted(id_col).alias("id"),
-        quoted(digest).alias("digest")), "id", "digest")
+        quoted(digest).alias("digest")), "id", "digest", max_words)
     return marked.filter("kept").select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -55,3 +55,14 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = mark(docs(spark, ["a", "a", "b"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_filter_size_is_a_parameter_and_saturation_keeps_the_result(spark):
+    assert X.filter_words(10) == 1024 and X.filter_words(10_000) == 4096 and X.filter_words(10 ** 12) == X.MAX_WORDS
+    assert X.filter_words(10 ** 12, 5000) == 4096 and X.filter_words(10 ** 12, 1) == 1
+    texts = [f"t{i % 600}" for i in range(900)]
+    df = docs(spark, texts).withColumn("digest", X.text_digest(F.col("text")))
+    for words in (1, 16, None):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+               for r in as_dicts(X.mark_copies(df, max_words=words))}
+        assert got == brute(list(enumerate(texts)))

@@ -190,7 +190,6 @@ def test_kmeans_of_few_distinct_points(spark):
 
 
 def test_a_constant_model_misses_the_quality_floors(spark):
-    from hpfunnel import constants as K
     from hpfunnel.operators import evaluate as EV
     df = spark.range(40).select(
         (F.col("id") % 2).cast("int").alias("real"), F.lit(1).alias("prediccion"), F.lit(0.7).alias("probabilidad_alta"),

@@ -66,7 +66,9 @@ class Encoder(dict):
         from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model = self.tokenizer.model
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokens = self.model.tokenize
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.mapped = {c: as_bytes(chr(c))[0][0] for c in range(0xc0, 0x100)}
         self.pretokens: dict[str, bytes] = {}
         self.held = 0
         probe = "It's 3 o'clock: café & ÀÉ--x's, you'll_see!? (2x4)\n\tend 'tis"
@@ -77,8 +79,8 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def model_ids(self, word: str) -> bytes:
-        mapped = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        ids = [t.id for t in self.tokens(word if word.isascii() else word.translate(self.mapped))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def remembered(self, known: dict[str, bytes], word: str, ids: bytes) -> bytes:
         self.held += ENTRY_BYTES + len(word) + len(ids)
@@ -94,10 +96,11 @@ class Encoder(dict):
         return self.remembered(self.pretokens, word, self.model_ids(word)) if ids is None else ids
 
     def __missing__(self, run: str) -> bytes:
-        words = PRETOKEN.findall(run)
-        if len(words) == 1:  # the run itself: no need to remember it twice
-            return self.remembered(self, run, self.pretokens.get(words[0]) or self.model_ids(words[0]))
-        return self.remembered(self, run, b"".join(map(self.pretoken, words)))
+        # letters alone are one pre-token: the run itself, no need to remember it twice
+        words = [run] if run.isalpha() else PRETOKEN.findall(run)
+        if len(words) == 1:
+            return self.remembered(self, run, self.pretokens.get(run) or self.model_ids(run))
+        return self.remembered(self, run, b"".join([self.pretoken(w) for w in words]))
 
     def encode(self, text: str) -> bytes:
         if self.known and PLAIN.fullmatch(text) and "<|" not in text:

@@ -41,7 +41,7 @@ def modelling_clients(lines: DataFrame) -> DataFrame:
     })
 
 
-def client_features(lines: DataFrame, accuracy: int = 100_000) -> DataFrame:
+def client_features(lines: DataFrame) -> DataFrame:
     """One row per client with the eight features.
 
     ``_n_pen``/``_n_usd`` (lines per currency) ride along for the top-client
@@ -64,7 +64,7 @@ def client_features(lines: DataFrame, accuracy: int = 100_000) -> DataFrame:
         F.count_if(F.col("MON_limpia") == K.USD).alias("_n_usd"),
     ).where((F.col("facturacion_soles_total") + F.col("facturacion_dolares_total")) > 0)
     med = exact_median(m, ["NomCliente"], "porcentaje_diferencia_operacion",
-                       "porcentaje_diferencia_mediana", accuracy)
+                       "porcentaje_diferencia_mediana")
     joined = agg.join(med, "NomCliente", "left")
 
     def finite(c: str) -> Column:
@@ -108,12 +108,12 @@ def rule_clusters(scaled: DataFrame) -> DataFrame:
     return scaled.select("NomCliente", (F.col("cantidad_registros") >= 0).cast("int").alias("cluster_validado"))
 
 
-def label_segments(clients: DataFrame, clusters: DataFrame, accuracy: int = 100_000) -> DataFrame:
+def label_segments(clients: DataFrame, clusters: DataFrame) -> DataFrame:
     """The cluster with the highest median activity is the
     high-value segment, every other cluster the low-activity one (ties go to
     the smallest cluster id)."""
     c = clients.join(clusters, "NomCliente")
-    med = exact_median(c, ["cluster_validado"], "cantidad_registros", "_act", accuracy)
+    med = exact_median(c, ["cluster_validado"], "cantidad_registros", "_act")
     top = med.agg(F.min_by("cluster_validado", F.struct(-F.col("_act"), F.col("cluster_validado")))).scalar()
     return c.withColumn("segmento_negocio", F.when(F.col("cluster_validado") == top, F.lit(K.SEGMENT_HIGH))
                         .otherwise(F.lit(K.SEGMENT_LOW)))
@@ -130,7 +130,7 @@ _SUMMARY_MEDIANS = [
 ]
 
 
-def segment_summary(segmented: DataFrame, accuracy: int = 100_000) -> DataFrame:
+def segment_summary(segmented: DataFrame) -> DataFrame:
     """Per cluster: clients, shares of clients/operations/billing and
     seven medians.  Shares of billing are null when the currency total is 0.
 
@@ -154,8 +154,7 @@ def segment_summary(segmented: DataFrame, accuracy: int = 100_000) -> DataFrame:
         (F.col("_ops") / F.sum("_ops").over(tot) * F.lit(100.0)).alias("pct_operaciones"),
         share("_pen").alias("pct_facturacion_PEN"),
         share("_usd").alias("pct_facturacion_USD"))
-    meds = exact_quantiles_many(segmented, ["cluster_validado"], [m for m, _, _ in _SUMMARY_MEDIANS], 0.5,
-                                accuracy=accuracy)
+    meds = exact_quantiles_many(segmented, ["cluster_validado"], [m for m, _, _ in _SUMMARY_MEDIANS], 0.5)
     meds = meds.select("cluster_validado", *[(F.col(m) * F.lit(f)).alias(n) for m, n, f in _SUMMARY_MEDIANS])
     return shares.join(meds, "cluster_validado", "left")
 
@@ -225,7 +224,7 @@ def client_billing_pivot(lines: DataFrame) -> DataFrame:
         F.coalesce(F.col(f"`{K.USD}`"), F.lit(0).cast("decimal(28,2)")).cast("double").alias("facturacion_dolares_total"))
 
 
-def client_operations(lines: DataFrame, accuracy: int = 100_000) -> DataFrame:
+def client_operations(lines: DataFrame) -> DataFrame:
     """Operational profile per client (before any filter)."""
     m = modelling_clients(lines)
     agg = m.groupBy("NomCliente").agg(
@@ -235,5 +234,5 @@ def client_operations(lines: DataFrame, accuracy: int = 100_000) -> DataFrame:
         F.count_distinct("Desc_Servicio").alias("cantidad_servicios_distintos"),
         F.count(F.lit(1)).alias("cantidad_registros"))
     med = exact_median(m, ["NomCliente"], "porcentaje_diferencia_operacion",
-                       "porcentaje_diferencia_mediana", accuracy)
+                       "porcentaje_diferencia_mediana")
     return agg.join(med, "NomCliente", "left")

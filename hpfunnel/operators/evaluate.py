@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import dealt_in_ranges
 
 
 def _div0(num: Column, den: Column) -> Column:
@@ -16,16 +16,10 @@ def _div0(num: Column, den: Column) -> Column:
 
 
 def score_ranges(df: DataFrame, label: str, score: str, ranges: int | None = None) -> DataFrame:
-    """(_s, _pos, _neg, _b), written: the distinct scores with their labels' counts, dealt into ranges.
-
-    The ranges follow the scores' own distribution, so scores that crowd in a
-    narrow interval still spread over tasks.  By default there are as many as
-    shuffle partitions, which AQE joins where they are small.
-    """
+    """(_s, _pos, _neg, _b), written: the distinct scores with their labels' counts, dealt into ranges."""
     d = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    d = d.repartitionByRange(ranges, "_s") if ranges else d.repartitionByRange("_s")
-    return materialize(d.withColumn("_b", F.spark_partition_id()))
+    return dealt_in_ranges(d, ["_s"], ranges)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:

@@ -3,118 +3,109 @@
 Spark's exact ``percentile``/``median`` keep one value->count map per group
 in a single aggregation buffer.  That is fine when the value domain is small
 (days, years, counts) but a group holding a third of a 100 TB table with
-continuous money values would have to fit in one task.  This operator works
-on the distinct values of each group and their counts instead:
-
-1. ``percentile_approx`` per group gives, for each wanted probability ``p``,
-   a bracket ``[lo, hi]`` around the true order statistics (its rank error is
-   bounded by ``n / accuracy``; a group of a few values is its own bracket).
-2. One aggregation counts what lies below ``lo`` and collects the distinct
-   values inside the bracket (a few ``n/accuracy`` rows per group); a running
-   count over that small table locates the two order statistics exactly.
-
-A hot group's values are dealt by a salt that depends on the value, and its
-bracket goes to every salt, so the join of the two does not gather a group
-in one task.  A bracket that missed its order statistic fails the query.
-The interpolation is ``lo + (hi - lo) * frac`` on the two neighbouring order
-statistics, the definition used by numpy, pandas and SQL ``quantile_cont``.
+continuous money values would have to fit in one task.  This operator selects
+by rank, the same way for groups of every size:
+
+1. ``value_ranges`` counts the distinct values of each group (combined before
+   the shuffle) and deals them, in the order of (keys, value), into ranges of
+   about equal size, so a large group is spread over many ranges.
+2. The ranges' totals, one row a (group, range), give by a running sum how
+   many values of the group lie before each range, and so which ranges hold
+   the wanted order statistics.
+3. Only those ranges are read again; a running count inside them finds the
+   order statistics.
+
+Nothing is approximate: where the ranges begin decides who does the work,
+not the result.  The interpolation is ``lo + (hi - lo) * frac`` on the two
+neighbouring order statistics, the definition used by numpy, pandas and SQL
+``quantile_cont``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt_in_ranges
 
-SALTS = 16
+
+def value_ranges(df: DataFrame, keys: Sequence[str], value: str, ranges: int | None = None) -> DataFrame:
+    """keys + (_v, _c, _b), written: each group's distinct values, how often they occur, their range.
+
+    Nulls and NaN are no values.  Within a group a larger value never has a
+    smaller range.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return dealt_in_ranges(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), [*keys, "_v"], ranges)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float], names: Sequence[str] | None = None,
-                    accuracy: int = 100_000) -> DataFrame:
-    """One row per group with non-null values: ``keys + names`` (double).
+                    ranges: int | None = None) -> DataFrame:
+    """One row per group with values: ``keys + names`` (double).
 
     Nulls in ``value`` are ignored; groups without values are absent, so
-    callers left-join the result where such groups must stay.
+    callers left-join the result where such groups must stay.  A null key is
+    a group like any other.  Without keys there is always one row.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
-    margin = 4.0 / accuracy
-
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")) \
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    approx_points = []
-    for p in probs:
-        approx_points += [max(0.0, p - margin), min(1.0, p + margin)]
-    stats = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", approx_points, accuracy).alias("_ap"))
-    # Groups smaller than accuracy/2 bracket their whole range (at most that
-    # many distinct values); larger ones have >= 1.5 ranks of slack.
-    small = F.col("_n") < F.lit(accuracy // 2)
-    bounds = stats.select(
-        *keys, "_n",
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_pi"), F.lit(p).alias("_p"),
-                     F.when(small, F.col("_min")).otherwise(F.col("_ap")[2 * i]).alias("_lo"),
-                     F.when(small, F.col("_max")).otherwise(F.col("_ap")[2 * i + 1]).alias("_hi"))
-            for i, p in enumerate(probs)])).alias("_b")
-    ).select(*keys, "_n", "_b.*")
-
-    # the salts are join keys too, so even a quantile without keys is an equi-join
-    salted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c1")) \
-        .withColumn("_s", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-    brackets = bounds.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    # what lies below the bracket is one row (value null); _n, _p ride along
-    cand = salted.join(brackets, [*keys, "_s"]).where(F.col("_v") <= F.col("_hi")) \
-        .select(*keys, "_pi", "_p", "_n", "_c1", F.when(inside, F.col("_v")).alias("_c")) \
-        .groupBy(*keys, "_pi", "_p", "_n", "_c").agg(F.sum("_c1").alias("_cnt"))
-    w = Window.partitionBy(*keys, "_pi").orderBy(F.asc_nulls_first("_c")) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = cand.withColumn("_end", F.sum("_cnt").over(w)) \
-        .withColumn("_start", F.col("_end") - F.col("_cnt")) \
-        .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p")) \
-        .withColumn("_i", F.floor("_h")) \
-        .withColumn("_j", F.least(F.col("_i") + 1, F.col("_n") - 1))
-
-    def at(idx: str):
-        return F.min(F.when((F.col("_start") <= F.col(idx)) & (F.col(idx) < F.col("_end")), F.col("_c")))
-
-    picked = ranked.groupBy(*keys, "_pi").agg(
-        at("_i").alias("_a"), at("_j").alias("_b2"),
-        F.max(F.col("_h") - F.col("_i")).alias("_f"))
-    picked = picked.withColumn("_q", F.when(
-        F.col("_a").isNull() | F.col("_b2").isNull(), F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-        .otherwise(F.col("_a") + (F.col("_b2") - F.col("_a")) * F.col("_f")))
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(name)
-        for i, name in enumerate(names)])
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median",
-                 accuracy: int = 100_000) -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5], [name], accuracy)
+    values = value_ranges(df, keys, value, ranges)
+
+    group = Window.partitionBy(*keys)  # over one row a range
+    totals = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"))
+    totals = totals.withColumns({
+        "_n": F.sum("_in").over(group),
+        "_before": F.coalesce(F.sum("_in").over(
+            group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+
+    def places(p: float, n: Column) -> tuple[Column, Column, Column]:
+        """The two order statistics (from 0) around ``p``, and how far it lies between them."""
+        at = (n - 1).cast("double") * F.lit(p)
+        return F.floor(at), F.least(F.floor(at) + 1, n - 1), at - F.floor(at)
+
+    n = F.col("_n")
+    wanted = [k for p in probs for k in places(p, n)[:2]]
+    held = reduce(or_, [(F.col("_before") <= k) & (k < F.col("_before") + F.col("_in")) for k in wanted])
+    needed = totals.where(held).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                       F.col("_b").alias("_kb"), "_n", "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+                  F.col("_b") == F.col("_kb"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = values.join(needed, same).withColumn("_end", F.col("_before") + F.sum("_c").over(inside)) \
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+
+    def at(k: Column) -> Column:
+        return F.min(F.when((F.col("_start") <= k) & (k < F.col("_end")), F.col("_v")))
+
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[
+        at(k).alias(f"_s{i}_{side}") for i, p in enumerate(probs) for side, k in zip("ab", places(p, n))])
+    return found.select(*keys, *[
+        (F.col(f"_s{i}_a") + (F.col(f"_s{i}_b") - F.col(f"_s{i}_a")) * places(p, n)[2]).alias(name)
+        for i, (p, name) in enumerate(zip(probs, names))])
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    return exact_quantiles(df, keys, value, [0.5], [name])
 
 
 def exact_quantiles_many(df: DataFrame, keys: Sequence[str], values: Sequence[str],
-                         prob: float, suffix: str = "", accuracy: int = 100_000) -> DataFrame:
+                         prob: float, suffix: str = "") -> DataFrame:
     """Exact quantile ``prob`` of several columns per group in one run.
 
     The value columns are unpivoted to ``(keys, _var, _val)`` so that all of
-    them share the two distributed passes; the result is pivoted back to one
-    column per input (``<name><suffix>``).
+    them share the same passes; the result is pivoted back to one column per
+    input (``<name><suffix>``).
     """
     keys = list(keys)
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("_var"), F.col(v).cast("double").alias("_val")) for v in values
     ])).alias("_kv")).select(*keys, "_kv._var", "_kv._val")
-    q = exact_quantiles(long, keys + ["_var"], "_val", [prob], ["_q"], accuracy)
-    if keys:
-        return q.groupBy(*keys).agg(*[
-            F.max(F.when(F.col("_var") == v, F.col("_q"))).alias(f"{v}{suffix}") for v in values])
-    return q.agg(*[F.max(F.when(F.col("_var") == v, F.col("_q"))).alias(f"{v}{suffix}") for v in values])
+    q = exact_quantiles(long, keys + ["_var"], "_val", [prob], ["_q"])
+    return q.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_var") == v, F.col("_q"))).alias(f"{v}{suffix}") for v in values])

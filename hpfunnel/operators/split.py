@@ -78,10 +78,9 @@ def bounded_rows(df: DataFrame, most: int, strata: Sequence[str] = ("MON",), key
     return smallest_hashes(df, strata, key, lambda n: F.least(n, F.lit(most)), "_taken", seed).where("_taken").drop("_taken")
 
 
-def train_thresholds(split: DataFrame, value: str = "impFacturado", by: str = "MON",
-                     accuracy: int = 100_000) -> DataFrame:
+def train_thresholds(split: DataFrame, value: str = "impFacturado", by: str = "MON") -> DataFrame:
     """A10: exact median billing per currency over the training rows."""
-    return exact_quantiles(split.where(~F.col("is_test")), [by], value, [0.5], ["umbral"], accuracy)
+    return exact_quantiles(split.where(~F.col("is_test")), [by], value, [0.5], ["umbral"])
 
 
 def label_targets(split: DataFrame, thresholds: DataFrame, by: str = "MON",
@@ -100,10 +99,9 @@ def class_weights(labeled: DataFrame, label: str = "target") -> DataFrame:
     return counts.withColumn("peso", total / (F.lit(2.0) * F.col("n_clase")))
 
 
-def imputer_medians(split: DataFrame, features: Sequence[str] = K.NUMERIC_FEATURES,
-                    accuracy: int = 100_000) -> DataFrame:
+def imputer_medians(split: DataFrame, features: Sequence[str] = K.NUMERIC_FEATURES) -> DataFrame:
     """Exact training medians of the numeric features (one row)."""
-    return exact_quantiles_many(split.where(~F.col("is_test")), [], list(features), 0.5, accuracy=accuracy)
+    return exact_quantiles_many(split.where(~F.col("is_test")), [], list(features), 0.5)
 
 
 INFREQUENT = "infrequent_sklearn"

@@ -123,6 +123,19 @@ def materialize(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_in_ranges(df, keys, ranges: int | None = None):
+    """``df`` with ``_b``, written: rows of ``_b`` = 0 come before those of 1, and so on, in the order of ``keys``.
+
+    The ranges follow the keys' own distribution, so rows that crowd in a
+    narrow interval still spread over tasks.  By default there are as many as
+    shuffle partitions, which AQE joins where they are small.  Written,
+    because a plan that runs twice may begin its ranges elsewhere.
+    """
+    from pyspark.sql import functions as F
+    df = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    return materialize(df.withColumn("_b", F.spark_partition_id()))
+
+
 #: Most rows of a table that is hinted for broadcast.
 BROADCAST_ROWS = 100_000
 

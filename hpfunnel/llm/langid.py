@@ -11,6 +11,9 @@ as near is flagged ambiguous.
 Learning needs n-gram counts by language only, which Spark sums over the
 tasks.  They come from about ``TRAIN_ROWS`` labelled rows, dealt by a hash of
 doc_id from those that are not held out, and cover those rows' whole texts.
+Half of them go to the languages by their numbers of rows and half in equal
+parts, so that a rare language is learnt from as many rows in a large table
+as in a small one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held_out, packed, quoted, release_memory, unpacked
+from .common import bounded_batches, held_out, packed, quoted, release_memory, unpacked, written
 
 #: Labelled rows that are learnt from (documented bound of the sample).
 TRAIN_ROWS = 50_000
@@ -132,14 +135,30 @@ def fit(counts: dict[str, np.ndarray]) -> Model:
     return Model(langs, code, np.array(columns).T, np.array(trust) / sum(trust))
 
 
+def sampled(known: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the (id, text, lang) rows; all of them, if there are no more.
+
+    Half of them are dealt to the languages by their numbers of rows, half in
+    equal parts; a language with fewer rows than its part gives all it has.
+    """
+    per = written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n, langs = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if n <= rows:
+        return known
+    share = F.lit(rows / 2) * (F.lit(1 / n) + 1 / (langs * F.col("n")))
+    dealt = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) < F.col("share") * float(1 << 30)
+    return known.join(per.select("lang", share.alias("share")), "lang").filter(dealt).select("id", "text", "lang")
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           rows: int = TRAIN_ROWS) -> Model:
-    """Learn from rows that are not held out, whose text and label are not null."""
+    """Learn from rows that are not held out, whose text and label are not null.
+
+    About ``rows`` of them if there are more (``sampled``).  The counts of all
+    languages, 16,384 each, come to the driver: labels are a short list.
+    """
     known = bounded_batches(df).select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang")) \
         .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    n = known.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -153,7 +172,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pd.DataFrame({"lang": lang, "gram": at, "n": c[at]})
         release_memory()
 
-    total = known.select("text", "lang").mapInPandas(count, "lang string, gram bigint, n bigint") \
+    total = sampled(known, rows).select("text", "lang").mapInPandas(count, "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {}
     for lang, part in total.groupby("lang"):

@@ -63,3 +63,13 @@ def test_sample_is_bounded(spark):
     df = docs(spark, ["the cat"] * 2000)
     model = G.train(df, rows=100)
     assert model.langs == ["en"]
+
+
+def test_a_rare_language_is_learnt_beside_many_rows(spark):
+    df = docs(spark, ["the cat and the dog"] * 3000 + ["der hund und die katze"] * 10, ["en"] * 3000 + ["de"] * 10)
+    model = G.train(df, rows=100)
+    assert model.langs == ["de", "en"]
+    assert model.predict("die katze und der hund")[0] == "de"
+    taken = G.sampled(df.select(F.col("doc_id").alias("id"), "text", "lang"), 100).groupBy("lang").count().collect()
+    taken = {r["lang"]: r["count"] for r in taken}
+    assert taken["de"] == 10 and 50 <= taken["en"] <= 150

@@ -77,7 +77,8 @@ def _rate(size: Column, lam: Column) -> Column:
 def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
     """Add ``lam`` to (key, source_size, target); ``histogram`` is (key, size, n).
 
-    One job a Newton step; only the largest residual comes to the driver.
+    One job a Newton step; whether any source is off its target comes to the
+    driver.  Sources that are still off after ``STEPS`` steps are an error.
     """
     capped = F.col("target") >= MOST * F.col("source_size")
     state = goals.withColumns({
@@ -104,6 +105,8 @@ def solve(histogram: DataFrame, goals: DataFrame) -> DataFrame:
         state = state.withColumns({"low_": low, "high_": high}).select(
             "key", "source_size", "target", F.when(capped, F.col("lam")).otherwise(lam).alias("lam"),
             F.col("low_").alias("low"), F.col("high_").alias("high"))
+    else:
+        raise RuntimeError(f"no rates found for every source in {STEPS} Newton steps")
     return state.select("key", "source_size", "target", "lam")
 
 

@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from hpfunnel.llm import mixing as M
@@ -80,6 +81,13 @@ def test_lambda_solves_the_dual(spark):
         assert math.isclose(r["lam"], want, rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_rates_that_were_not_found_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "STEPS", 1)
+    base = spark.createDataFrame([("=a", str(i), i % 9 + 1) for i in range(90)] + [("=b", "x", 5000)], "key string, id string, size long")
+    with pytest.raises(RuntimeError):
+        M.plan(base)
+
+
 def test_whole_table_and_empty_ones(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     known = {r["doc_id"]: (r["text"], r["source"]) for r in df.collect()}

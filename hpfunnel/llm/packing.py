@@ -36,7 +36,7 @@ from .common import bounded_batches, quoted, release_memory, written
 
 CAPACITY, END = 4096, 1
 #: Bytes of runs and pre-tokens, with their ids, that a task remembers, and what one takes beside its characters.
-REMEMBERED_BYTES, ENTRY_BYTES = 80 << 20, 200
+REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -124,6 +124,7 @@ def tokenize(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release_memory()
         encoder, shard, close = Encoder(vocabulary), TaskContext.get().partitionId(), struct.pack("<I", end)
+        release_memory()  # what reading the vocabulary took
         seen = [0] * (capacity + 1)
         for b in batches:
             rows = []

@@ -130,6 +130,29 @@ def test_scenarios_encode_a_case_once(spark, lines):
             assert np.isclose(mine["estimate"], x["prediction"]) and np.isclose(mine["probability"], p[x["case_id"], x["pct_importe"]])
 
 
+def test_scoring_walks_each_tree_once(spark, lines, monkeypatch):
+    from hpfunnel.operators.clients import eligible_cases
+    params = M.ForestParams(num_trees=30, max_depth=6, max_rows=300)
+    regs = M.train_regressors(lines, params)
+    for cur, r in regs.items():
+        mine = M.regress(r, r.test).select("case_id", "prediction", "rango_p10", "rango_p90")
+        plan = mine._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan  # no row carries the leaf values of the forest
+        scored = r.forest.transform(r.preprocessor.transform(r.test))
+        both = M.tree_ranges(scored, r.store, 30).select(
+            "case_id", *[F.col(c).alias(f"_{c}") for c in ("prediction", "rango_p10", "rango_p90")]).join(mine, "case_id").collect()
+        assert len(both) == r.test.count() > 0
+        for x in both:  # the forest's own estimate, to the last bit
+            assert x["prediction"] == x["_prediction"]
+            assert np.isclose(x["rango_p10"], x["_rango_p10"], rtol=1e-12) and np.isclose(x["rango_p90"], x["_rango_p90"], rtol=1e-12)
+    # cases are dealt by their number
+    monkeypatch.setattr(M, "CASES_A_TASK", 500)
+    cases = eligible_cases(lines)
+    scored = M.score_scenarios(M.train_classifier(lines, params), regs, cases, [(0, 0, 0)])
+    assert scored.rdd.getNumPartitions() == len(regs) * (cases.count() // 500 + 1)
+    assert M.score_scenarios(M.train_classifier(lines, params), regs, cases.limit(0), [(0, 0, 0)]).count() == 0
+
+
 def test_kmeans_segments(spark, lines):
     from hpfunnel.session import materialize
     feats = materialize(client_features(lines))

@@ -98,3 +98,24 @@ def test_case_label(spark):
                                "f timestamp, n bigint, c string, s string, m string")
     got = df.select(case_label(F.col("f"), F.col("n"), F.col("c"), F.col("s"), F.col("m"))).first()[0]
     assert got == "Sin fecha · HP N/E · Cliente · Servicio · S/."
+
+
+def test_clean_category_strips_like_python_without_regex(spark):
+    from hpfunnel.functions.text import PY_WHITESPACE_CHARS, py_strip
+    ends = [*PY_WHITESPACE_CHARS, "", "a", "!", "~", "\x7f", "\x80", "\x00", "ñ", "日", "𐀀", "\u200b"]
+    values = [a + m + b for a in ends for m in ("", "x y", " ") for b in ends]
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    got = df.select("s", py_strip(F.col("s")).alias("p"), clean_category(F.col("s")).alias("c"))
+    assert all(r.p == r.s.strip() and r.c == (r.s.strip() or K.NOT_SPECIFIED) for r in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan
+
+
+def test_lines_share_one_cleaning_of_their_categories(spark):
+    from hpfunnel.sources.proposals import prepare_lines
+    row = {c: f"\u2003{c} \x1c" for c in K.CATEGORICAL_SOURCE_COLUMNS} | {"case_id": " 1 "}
+    lines = prepare_lines(spark.createDataFrame([row, {**{c: " " for c in row}, "case_id": None}]))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rlike" not in plan and plan.count("btrim") + plan.count("trim(both") <= 2
+    rows = {r["case_id"]: r for r in lines.collect()}
+    assert all(rows[" 1 "][c] == c and rows[None][c] == K.NOT_SPECIFIED for c in K.CATEGORICAL_SOURCE_COLUMNS)

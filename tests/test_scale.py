@@ -17,3 +17,14 @@ def test_services_are_counted_apart_from_the_sums(spark):
     assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r["NomCliente"]: (r["cantidad_servicios_distintos"], r["cantidad_registros"], r["participantes_total"])
             for r in out.collect()} == {"A": (1, 3, 6.0), "B": (1, 2, 4.0)}
+
+
+def test_lookup_reads_the_cases_once_for_the_latest(spark, tmp_path):
+    rows = [("a", "2020-01-01"), ("b", "2021-01-01"), ("b", "2021-01-01"), ("c", None)]
+    spark.createDataFrame(rows, "case_id string, Fecha string").coalesce(1).write.csv(str(tmp_path / "cases"))
+    cases = spark.read.schema("case_id string, Fecha string").csv(str(tmp_path / "cases"))
+    wanted = spark.createDataFrame([("a",), ("b",), ("x",), (None,), (None,)], "wanted string")
+    found = case_lookup(cases, wanted)
+    assert sorted(((r["wanted"] or "", r["case_id"]) for r in found.collect())) == [
+        ("", "b"), ("", "b"), ("a", "a"), ("b", "b"), ("b", "b"), ("x", "b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(" csv") == 1

@@ -62,9 +62,19 @@ def _matrix(batch: pd.DataFrame) -> np.ndarray:
     return batch[[c for c in batch.columns if c[0] == "x"]].to_numpy(float)
 
 
+#: Points whose distances to all runs' centres are handled together, so that they stay in a core's cache.
+BLOCK_POINTS = 256
+
+
+def _blocks(x: np.ndarray) -> Iterator[np.ndarray]:
+    return (x[i:i + BLOCK_POINTS] for i in range(0, len(x), BLOCK_POINTS))
+
+
 def _square_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    d = (x ** 2).sum(axis=1)[:, None] + (centres ** 2).sum(axis=1) - 2 * x @ centres.T
-    return np.maximum(d, 0)
+    d = x @ (-2 * centres.T)
+    d += (x ** 2).sum(axis=1)[:, None]
+    d += (centres ** 2).sum(axis=1)
+    return np.maximum(d, 0, out=d)
 
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
@@ -133,16 +143,13 @@ def update(points: DataFrame, runs: list[Run]) -> None:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(centres), 3 + width))
-        for b in batches:
-            x = _matrix(b)
-            d = _square_distances(x, centres)
-            row = np.column_stack([np.ones(len(x)), np.zeros(len(x)), (x ** 2).sum(axis=1), x])
-            for a, z in zip(first[:-1], first[1:]):
-                nearest = d[:, a:z].argmin(axis=1)
-                row[:, 1] = d[np.arange(len(x)), a + nearest]
-                hot = np.zeros((len(x), z - a))
-                hot[np.arange(len(x)), nearest] = 1
-                sums[a:z] += hot.T @ row
+        for x in (x for b in batches for x in _blocks(_matrix(b))):
+            d, at = _square_distances(x, centres), np.arange(len(x))[:, None]
+            nearest = np.column_stack([a + d[:, a:z].argmin(axis=1) for a, z in zip(first[:-1], first[1:])])
+            hot = np.zeros_like(d)
+            hot[at, nearest] = 1
+            sums[:, [0, *range(2, 3 + width)]] += hot.T @ np.column_stack([np.ones(len(x)), (x ** 2).sum(axis=1), x])
+            sums[first[:-1], 1] += d[at, nearest].sum(axis=0)  # a run's cost, with its first cluster
         out = pd.DataFrame(sums[:, 1:], columns=["cost", "square", *[f"x{i}" for i in range(width)]])
         yield out.assign(cluster=np.arange(len(centres), dtype=np.int32), n=sums[:, 0].astype(np.int64))[schema_names]
 

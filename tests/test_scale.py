@@ -28,3 +28,22 @@ def test_lookup_reads_the_cases_once_for_the_latest(spark, tmp_path):
     assert sorted(((r["wanted"] or "", r["case_id"]) for r in found.collect())) == [
         ("", "b"), ("", "b"), ("a", "a"), ("b", "b"), ("b", "b"), ("x", "b")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count(" csv") == 1
+
+
+@pytest.mark.parametrize("n", [1, 700])
+def test_kmeans_pass_in_blocks_equals_brute_force(spark, n):
+    from hpfunnel.operators import segments as SG
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(n, 3))
+    assert [len(b) for b in SG._blocks(x)] == [len(x[i:i + SG.BLOCK_POINTS]) for i in range(0, n, SG.BLOCK_POINTS)]
+    points = spark.createDataFrame([(str(i), i, *map(float, r)) for i, r in enumerate(x)], "k string, h long, x0 double, x1 double, x2 double")
+    runs = [SG.Run(k, s, rng.normal(size=(k, 3))) for k in (2, 3) for s in (0, 1)]
+    SG.update(points, runs)
+    for r in runs:
+        d = ((x[:, None, :] - r.centres) ** 2).sum(axis=2)
+        own = d.argmin(axis=1)
+        assert r.counts.tolist() == [int((own == c).sum()) for c in range(r.k)]
+        assert np.isclose(r.cost, d.min(axis=1).sum())
+        for c in range(r.k):
+            assert np.allclose(r.sums[c], x[own == c].sum(axis=0))
+            assert np.isclose(r.squares[c], (x[own == c] ** 2).sum())

@@ -47,3 +47,20 @@ def test_kmeans_pass_in_blocks_equals_brute_force(spark, n):
         for c in range(r.k):
             assert np.allclose(r.sums[c], x[own == c].sum(axis=0))
             assert np.isclose(r.squares[c], (x[own == c] ** 2).sum())
+
+
+def test_class_scores_are_made_once(spark, monkeypatch):
+    from hpfunnel.operators import models as M
+    from hpfunnel.plans import catalogue
+    calls = []
+
+    def predictions(model):
+        calls.append(model)
+        return spark.createDataFrame([(1, 1, 0.9), (0, 0, 0.2)], "real int, prediccion int, probabilidad_alta double")
+
+    monkeypatch.setattr(catalogue, "_BUILT", {})
+    monkeypatch.setattr(catalogue, "_classifier", lambda spark, sf_dir: None)
+    monkeypatch.setattr(M, "classification_predictions", predictions)
+    for _ in range(2):
+        assert catalogue.q_rf_class_metrics(spark, "/root/testdata/sf0.001").first()["ROC_AUC"] == 1.0
+    assert len(calls) == 1

@@ -64,3 +64,28 @@ def test_class_scores_are_made_once(spark, monkeypatch):
     for _ in range(2):
         assert catalogue.q_rf_class_metrics(spark, "/root/testdata/sf0.001").first()["ROC_AUC"] == 1.0
     assert len(calls) == 1
+
+
+def test_lines_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
+    from hpfunnel import session
+    from hpfunnel.sources import proposals as P
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before, inside = [spark.conf.get(n) for n in names], []
+
+    def prepare(raw):
+        inside.extend(spark.conf.get(n) for n in names)
+        return raw
+
+    rows = spark.createDataFrame([(str(i), 1990 + i % 2 if i else None) for i in range(101)], "case_id string, ANIO int")
+    monkeypatch.setattr(session, "SORTED_ROWS_A_TASK", 10)
+    monkeypatch.setattr(P, "read_table", lambda spark, sf_dir, name: rows)
+    monkeypatch.setattr(P, "raw_proposal_lines", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(P, "prepare_lines", prepare)
+    P.write_lines(spark, "none", str(tmp_path / "lines"))
+    assert inside == [str(max(int(before[0]), 11)), str(session.SORTED_BYTES_A_TASK)]
+    assert spark.read.parquet(str(tmp_path / "lines")).count() == 101
+    assert [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ValueError):
+        with session.small_sorts(spark, 1000):
+            raise ValueError
+    assert [spark.conf.get(n) for n in names] == before

@@ -89,3 +89,30 @@ def test_lines_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
         with session.small_sorts(spark, 1000):
             raise ValueError
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_smallest_hashes_by_hex_prefix(spark):
+    import hashlib
+
+    from hpfunnel.operators import split as SP
+    rows = [(("a", "b")[i % 2], f"k{i // 3}" if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "MON string, case_id string")
+    out = SP.smallest_hashes(df, ["MON"], "case_id", lambda n: F.ceil(n * F.lit(0.2)), "taken", 5)
+    assert "conv(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["MON"], r["case_id"] or "", r["taken"]) for r in out.collect())
+    want = []
+    for stratum in "ab":
+        def order(k):
+            return hashlib.md5(("5" if k is None else f"{k}|5").encode()).hexdigest()
+        keys = [k for m, k in rows if m == stratum]
+        last = sorted(keys, key=order)[-(-len(keys) // 5) - 1]
+        want += [(stratum, k or "", k is not None and order(k) <= order(last)) for k in keys]
+    # a null key that the cut does not fall into is taken by its hash alone
+    want = [(m, k, t or (k == "" and null_taken(rows, m))) for m, k, t in want]
+    assert got == sorted(want)
+
+
+def null_taken(rows, stratum):
+    import hashlib
+    order = sorted(hashlib.md5(("5" if k is None else f"{k}|5").encode()).hexdigest() for m, k in rows if m == stratum)
+    return hashlib.md5(b"5").hexdigest() < order[-(-len(order) // 5) - 1]

@@ -116,3 +116,20 @@ def null_taken(rows, stratum):
     import hashlib
     order = sorted(hashlib.md5(("5" if k is None else f"{k}|5").encode()).hexdigest() for m, k in rows if m == stratum)
     return hashlib.md5(b"5").hexdigest() < order[-(-len(order) // 5) - 1]
+
+
+def test_forests_start_from_one_split(spark, monkeypatch):
+    from hpfunnel.operators import models as M
+    from hpfunnel.operators import split as SP
+    from hpfunnel.plans import catalogue
+    rows = spark.createDataFrame([("a", "S/.", False), ("b", "S/.", True)], "case_id string, MON string, is_test boolean")
+    splits, given = [], []
+    monkeypatch.setattr(catalogue, "_BUILT", {})
+    monkeypatch.setattr(catalogue, "load_lines", lambda spark, sf_dir: rows)
+    monkeypatch.setattr(SP, "modelling_base", lambda lines, *a: lines)
+    monkeypatch.setattr(SP, "stratified_split", lambda base: splits.append(base) or base)
+    for name in ("train_classifier", "train_regressors"):
+        monkeypatch.setattr(M, name, lambda lines, params, split: given.append(split))
+    catalogue._classifier(spark, "/root/testdata/sf0.001")
+    catalogue._regressors(spark, "/root/testdata/sf0.001")
+    assert len(splits) == 1 and len(given) == 2 and given[0] is given[1]

@@ -133,3 +133,49 @@ def test_forests_start_from_one_split(spark, monkeypatch):
     catalogue._classifier(spark, "/root/testdata/sf0.001")
     catalogue._regressors(spark, "/root/testdata/sf0.001")
     assert len(splits) == 1 and len(given) == 2 and given[0] is given[1]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from hpfunnel import session
+    sc = spark.sparkContext
+    tracker = sc._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    wide = spark.range(20_000).withColumn("k", F.col("id") % 997)
+    for write in (session.materialize, lambda df: session.materialize(df).count()):
+        before, was = tracker.shuffleStatuses().size(), spark.conf.get(session.SHUFFLE_REMOVAL, "false")
+        write(wide.repartition(3, "k").groupBy("k").agg(F.max("id").alias("m")).join(wide.repartition(5, "k"), "k"))
+        for _ in range(50):  # files go in the background
+            if tracker.shuffleStatuses().size() <= before + 1:
+                break
+            time.sleep(0.1)
+        assert tracker.shuffleStatuses().size() <= before + 1  # the count's own
+        assert spark.conf.get(session.SHUFFLE_REMOVAL, "false") == was
+    with session.shuffles_removed(spark), session.shuffles_removed(spark):
+        assert spark.conf.get(session.SHUFFLE_REMOVAL) == "true"
+    assert spark.conf.get(session.SHUFFLE_REMOVAL, "false") == was
+
+
+@pytest.mark.parametrize("together", [3, 10 ** 9])
+def test_formats_are_digested_in_parts_that_go(spark, monkeypatch, together):
+    import os
+
+    from hpfunnel import constants as K
+    from hpfunnel.plans import catalogue
+    from hpfunnel.sources import proposals as P
+    rows = [(f"c{i}", 1990 + i % 3 if i % 5 else None, 1.5 * i, "a\nb" if i % 2 else None, i) for i in range(12)]
+    raw = spark.createDataFrame(rows, "case_id string, ANIO int, ImporteB double, Desc_Servicio string, numHP long")
+    lines, paths = P.prepare_lines(raw), []
+    path = catalogue.shared_path
+    monkeypatch.setattr(catalogue, "LINES_TOGETHER", together)
+    monkeypatch.setattr(catalogue, "load_lines", lambda spark, sf_dir: lines)
+    monkeypatch.setattr(catalogue, "shared_path", lambda *a: paths.append(path(*a)) or paths[-1])
+    assert sorted(sum(catalogue._years_together(lines), []), key=str) == [1990, 1991, 1992, None]
+    assert len(catalogue._years_together(lines)) == (4 if together == 3 else 1)
+    got = {r["formato"]: r for r in catalogue.q_sink_roundtrip(spark, "none").collect()}
+    for name in ("parquet", "csv", "csv_gz"):
+        assert (got[name]["filas"], got[name]["importe"], got[name]["valores"]) == (12, 99.0, 12)
+    letters = lines.agg(F.sum(F.length("Desc_Servicio") + F.length("NomCliente"))).first()[0]
+    assert {got[n]["letras"] for n in ("parquet", "csv", "csv_gz")} == {letters}
+    assert got["json"]["filas"] == len(K.FUNNEL_ORDER) and got["json"]["valores"] == 12
+    assert [x for x in os.listdir(paths[0].removeprefix("file:")) if not x.startswith(".")] == ["json"]
